@@ -13,6 +13,11 @@ from .quantile import global_average_rank
 MAPE_EPSILON = 1e-10
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation over rows complete in both; null when a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def error_columns(actual: str | Column, predicted: str | Column) -> dict[str, Column]:
     """Per-row terms whose sums give MAE, RMSE and MAPE."""
     a = F.col(actual) if isinstance(actual, str) else actual
@@ -51,7 +56,7 @@ def forecast_evaluation(df: DataFrame, actual: str, predicted: str, groups: str
         F.avg((a - p) * (a - p)).alias("mse"),
         (2 * F.avg(F.try_divide(F.abs(a - p), F.abs(a) + F.abs(p))) * 100).alias("smape"),
         F.var_pop(actual).alias("_var"),
-        F.corr(actual, predicted).alias("pearson"),
+        pearson(actual, predicted).alias("pearson"),
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
     )

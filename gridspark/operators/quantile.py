@@ -130,7 +130,8 @@ def global_average_rank(df: DataFrame, value: str, *, slices: int = 64) -> DataF
     cuts = counts.agg(
         F.percentile_approx("v", [i / slices for i in range(1, slices)], ACCURACY).alias("cuts")
     ).scalar()
-    sliced = counts.withColumn("_slice", F.aggregate(cuts, F.lit(0), lambda a, x: a + F.when(x <= F.col("v"), 1).otherwise(0)))
+    past = F.size(F.filter("_cuts", lambda x: x <= F.col("v")))
+    sliced = counts.withColumn("_cuts", cuts).withColumn("_slice", past).drop("_cuts")
     totals = sliced.groupBy("_slice").agg(F.sum("c").alias("_t"))
     prior = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("_slice", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_shift"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import feature_group, is_finite, row_mean
 from ..functions.time import MARKET_TZ, PUBLICATION_HOUR, local_date, local_hour
 from .buckets import as_list, interval
+from .metrics import pearson
 from .patch import best_source, merge_actual_forecast, stack_sources
 from .rollup import daily_brief, local_day_average_on_rows, time_bins
 from .windows import cheapest_windows, horizon_prune, lead_time_cut
@@ -120,7 +121,7 @@ def feature_profile(df: DataFrame, features: Sequence[str], target: str, ts: str
         aggs += [
             F.avg(c).alias(f"_a{i}"),
             F.stddev_pop(c).alias(f"_s{i}"),
-            F.corr(c, target).alias(f"_r{i}"),
+            pearson(c, target).alias(f"_r{i}"),
             F.max_by(c, ts).alias(f"_v{i}"),
         ]
     one = rows.agg(*aggs)

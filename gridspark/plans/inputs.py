@@ -21,7 +21,11 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def with_sql(body: str, *ctes: str) -> str:
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+    """A body that begins with a comma adds expressions of its own."""
+    if not ctes:
+        return body
+    glue = "" if body.startswith(",") else " "
+    return f"WITH {', '.join(ctes)}{glue}{body}"
 
 
 def hourly(t: Tables) -> DataFrame:
@@ -34,6 +38,9 @@ HOURLY = """hourly AS (
     SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS value
     FROM events GROUP BY 1, 2)"""
 
+# The same without rounding, for operators that roll up the raw events themselves.
+HOURLY_RAW = HOURLY.replace("round(avg(value), 6)", "avg(value)")
+
 GRID = """grid AS (
     SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM hourly GROUP BY 1),
   gapped AS (
@@ -42,7 +49,7 @@ GRID = """grid AS (
 
 def wide(t: Tables) -> DataFrame:
     out = t.events.groupBy(F.date_trunc("hour", "ts").alias("ts")).pivot("event_type", TYPES).agg(F.avg("value"))
-    return out.select("ts", *[rnd(c, 6).alias(c) for c in TYPES])
+    return out.select("ts", *[rnd(F.col(c)).alias(c) for c in TYPES])
 
 
 WIDE = (

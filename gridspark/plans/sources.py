@@ -11,7 +11,7 @@ from ..session import scratch_path
 from ..sources import feeds
 from ..sources.store import lookup, read_csv_table, read_store, scan_between, slice_on_grid
 from ..sinks.store import write_store
-from .inputs import DAILY, GRID, HOURLY, SHIP, TZ, daily, hourly, ship, with_sql
+from .inputs import DAILY, GRID, HOURLY, HOURLY_RAW, SHIP, TZ, daily, hourly, ship, with_sql
 from .registry import query
 
 
@@ -300,7 +300,7 @@ INTERP = """known AS (
            ELSE v0 + (v1 - v0) * (epoch(ts) - epoch(t0)) / (epoch(t1) - epoch(t0)) END AS value FROM known)"""
 
 
-@query("s15_station_csv", with_sql("SELECT series_id, ts, round(value, 6) AS value FROM lerped", HOURLY, GRID, INTERP.format(src="gapped")))
+@query("s15_station_csv", with_sql("SELECT series_id, ts, round(value, 6) AS value FROM lerped", HOURLY_RAW, GRID, INTERP.format(src="gapped")))
 def s15(t):
     """One CSV folder per event type is written and read back; the station is the folder's
     files' name part, so the decoded rows carry it themselves."""
@@ -330,9 +330,9 @@ def s16(t):
 @query(
     "s17_assembled_history",
     with_sql(
-        """SELECT l.series_id, l.ts, round(ROUND(l.value, 6), 6) AS value, m.missing FROM lerped l
+        """SELECT l.series_id, l.ts, round(l.value, 6) AS value, m.missing FROM lerped l
            JOIN (SELECT series_id, count(*) FILTER (WHERE value IS NULL) AS missing FROM gapped GROUP BY 1) m USING (series_id)""",
-        HOURLY,
+        HOURLY_RAW,
         GRID,
         INTERP.format(src="gapped"),
     ),
