@@ -53,17 +53,36 @@ def bucket_start(bucket: Column | str, width: str | int = DEFAULT_BUCKET) -> Col
     return F.timestamp_seconds(bucket * F.lit(seconds(width)))
 
 
-def inside(series: Sequence[str], ts: str) -> Window:
+# Frames that look ahead are written as frames that look back over the descending order:
+# Spark extends a growing frame row by row, but evaluates a shrinking one anew for each row.
+
+
+def inside(series: Sequence[str], ts: str):
     return Window.partitionBy(*series, BUCKET).orderBy(ts)
 
 
+def up_to_here(series: Sequence[str], ts: str):
+    return inside(series, ts).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def from_here(series: Sequence[str], ts: str):
+    """Use `last`: the frame runs backwards in time, nearest row last."""
+    down = Window.partitionBy(*series, BUCKET).orderBy(F.col(ts).desc())
+    return down.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def before(series: Sequence[str]):
-    """All earlier buckets of the series, in the summary table."""
+    """All earlier buckets of the series, in the summary table; nearest last."""
     return Window.partitionBy(*series).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def after(series: Sequence[str]):
-    return Window.partitionBy(*series).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
+    """All later buckets, nearest last."""
+    return Window.partitionBy(*series).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def in_order(series: Sequence[str]):
+    return Window.partitionBy(*series).orderBy(BUCKET)
 
 
 def with_carry(
@@ -76,6 +95,11 @@ def with_carry(
 
     `summary` aggregates one (series, bucket); `carry` are window columns over that
     summary.  `df` already has the bucket column.
+
+    `df` is evaluated twice: once, column-pruned and reduced map-side, for the summary, and
+    once for the rows.  Over a stored table that is the cheaper way, one more pruned scan
+    instead of one more shuffle; a costly derived frame should go through
+    `session.materialize` first.
     """
     keys = [*series, BUCKET]
     small = df.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()])

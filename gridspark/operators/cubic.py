@@ -82,7 +82,7 @@ def cubic_interpolate(
     )
     rows = df.join(solved, [*series, ts], "left").withColumn("_h", hours)
     n = with_neighbours(rows, value, series, ts, at="_h", extra=["_m"], bucket=bucket)
-    p, q = F.col("_prev"), F.col("_next")
+    p, q = F.col(f"_prev_{value}"), F.col(f"_next_{value}")
     h = q["x"] - p["x"]
     a, b = (q["x"] - F.col("_x")) / h, (F.col("_x") - p["x"]) / h
     curve = (

@@ -28,7 +28,7 @@ from .patch import (
     wide_by_location,
 )
 from .rollup import across_locations, daily_place_quantiles, hourly_mean, total_capacity
-from .spine import complete_grid
+from .spine import complete_grid, densify
 
 
 def _keyed(df: DataFrame, series: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -88,7 +88,7 @@ def combine_history_forecast(history: DataFrame, forecast: DataFrame, series, ts
     series = as_list(series)
     both = stack_sources({"history": history, "forecast": forecast})
     rows = best_source(both, [*series, ts], "source_rank", value).drop("source_rank")
-    return interpolate(complete_grid(rows, series, ts), value, series, ts)
+    return densify(rows, value, series, ts)
 
 
 def location_wind(frame: DataFrame, history: DataFrame, forecast: DataFrame, locations: Sequence[str], *, location: str = "location", ts: str = "ts", value: str = "value") -> DataFrame:
@@ -109,8 +109,7 @@ def irradiance(frame: DataFrame, history: DataFrame, forecast: DataFrame, *, ts:
     rows = dedup(both, ts, "source_rank", keep="first").select(ts, *IRRADIANCE).withColumn("_one", F.lit(0))
     rows = complete_grid(rows, "_one", ts)
     rows = back_then_forward(rows, "sum_irradiance", "_one", ts)
-    for c in IRRADIANCE:
-        rows = interpolate(rows, c, "_one", ts)
+    rows = interpolate(rows, IRRADIANCE, "_one", ts)
     out, keys = _keyed(replace_feed(frame, rows.drop("_one"), ts, list(IRRADIANCE)), [])
     return forward_fill(out, "sum_irradiance", keys, ts).drop("_one")
 

@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import BUCKET, DEFAULT_BUCKET, after, as_list, before, bucket_of, inside, with_carry
+from .buckets import BUCKET, DEFAULT_BUCKET, after, as_list, before, bucket_of, from_here, up_to_here, with_carry
 
 
 def _known(value: str, ts: str) -> Column:
     return F.when(F.col(value).isNotNull(), F.col(ts))
 
 
-def _fill(df, values, series, ts, bucket, *, forward: bool, backward: bool) -> DataFrame:
+def _fill(df, values, series, ts, bucket, *, forward: bool, backward: bool, look_ahead_first: bool = False) -> DataFrame:
     values, series = as_list(values), as_list(series)
-    base = inside(series, ts)
-    up_to = base.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = base.rowsBetween(0, Window.unboundedFollowing)
     summary, carry = {}, {}
     for i, v in enumerate(values):
         if forward:
@@ -26,16 +23,16 @@ def _fill(df, values, series, ts, bucket, *, forward: bool, backward: bool) -> D
             carry[f"_p{i}"] = F.last(f"_t{i}", ignorenulls=True).over(before(series))
         if backward:
             summary[f"_h{i}"] = F.min_by(v, _known(v, ts))
-            carry[f"_q{i}"] = F.first(f"_h{i}", ignorenulls=True).over(after(series))
+            carry[f"_q{i}"] = F.last(f"_h{i}", ignorenulls=True).over(after(series))
     b = with_carry(df.withColumn(BUCKET, bucket_of(ts, bucket)), series, summary, carry)
     filled = {}
     for i, v in enumerate(values):
-        options = []
+        back, ahead = [], []
         if forward:
-            options += [F.last(v, ignorenulls=True).over(up_to), F.col(f"_p{i}")]
+            back = [F.last(v, ignorenulls=True).over(up_to_here(series, ts)), F.col(f"_p{i}")]
         if backward:
-            options += [F.first(v, ignorenulls=True).over(from_here), F.col(f"_q{i}")]
-        filled[v] = F.coalesce(*options)
+            ahead = [F.last(v, ignorenulls=True).over(from_here(series, ts)), F.col(f"_q{i}")]
+        filled[v] = F.coalesce(*(ahead + back if look_ahead_first else back + ahead))
     return b.withColumns(filled).select(*df.columns)
 
 
@@ -56,17 +53,12 @@ def fill_edges(df: DataFrame, values, series, ts: str = "ts", *, bucket: str = D
 
 def back_then_forward(df: DataFrame, values, series, ts: str = "ts", *, bucket: str = DEFAULT_BUCKET) -> DataFrame:
     """Backward fill, then forward fill what trails."""
-    values, cols = as_list(values), df.columns
-    twin = {f"_fwd_{v}": F.col(v) for v in values}
-    both = df.withColumns(twin)
-    back = _fill(both, values, series, ts, bucket, forward=False, backward=True)
-    tails = _fill(back, list(twin), series, ts, bucket, forward=True, backward=False)
-    return tails.withColumns({v: F.coalesce(v, f"_fwd_{v}") for v in values}).select(*cols)
+    return _fill(df, values, series, ts, bucket, forward=True, backward=True, look_ahead_first=True)
 
 
 def with_neighbours(
     df: DataFrame,
-    value: str,
+    values: str | Sequence[str],
     series,
     ts: str = "ts",
     *,
@@ -74,38 +66,40 @@ def with_neighbours(
     extra: Sequence[str] = (),
     bucket: str = DEFAULT_BUCKET,
 ) -> DataFrame:
-    """Nearest known points on both sides of every row.
+    """Nearest known points on both sides of every row, for all values in one pass.
 
-    Adds structs `_prev` and `_next` of (x, y, *extra), where x is the column `at`
-    (default: the timestamp in seconds) and y the value.  A known row is its own
-    neighbour on both sides.
+    Adds per value structs `_prev_<value>` and `_next_<value>` of (x, y, *extra), and `_x`,
+    where x is the column `at` (default: the timestamp in seconds) and y the value.  A
+    known row is its own neighbour on both sides.
     """
-    series = as_list(series)
+    series, values = as_list(series), as_list(values)
     x = F.col(at).cast("double") if at else F.unix_micros(ts) / F.lit(1e6)
-    point = F.struct(x.alias("x"), F.col(value).alias("y"), *[F.col(c).alias(c) for c in extra])
-    b = df.withColumn(BUCKET, bucket_of(ts, bucket)).withColumn("_point", F.when(F.col(value).isNotNull(), point))
-    b = with_carry(
-        b,
-        series,
-        {"_tail": F.max_by("_point", _known(value, ts)), "_head": F.min_by("_point", _known(value, ts))},
-        {
-            "_p": F.last("_tail", ignorenulls=True).over(before(series)),
-            "_q": F.first("_head", ignorenulls=True).over(after(series)),
-        },
-    )
-    base = inside(series, ts)
-    prev = F.last("_point", ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("_point", ignorenulls=True).over(base.rowsBetween(0, Window.unboundedFollowing))
-    return (
-        b.withColumns({"_prev": F.coalesce(prev, F.col("_p")), "_next": F.coalesce(nxt, F.col("_q"))})
-        .withColumn("_x", x)
-        .drop("_p", "_q", "_point", BUCKET)
-    )
+    b = df.withColumns({BUCKET: bucket_of(ts, bucket), "_x": x})
+    extras = [F.col(c).alias(c) for c in extra]
+    points = {
+        f"_point_{v}": F.when(F.col(v).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(v).alias("y"), *extras))
+        for v in values
+    }
+    b = b.withColumns(points)
+    summary, carry = {}, {}
+    for v in values:
+        summary[f"_tail_{v}"] = F.max_by(f"_point_{v}", _known(v, ts))
+        summary[f"_head_{v}"] = F.min_by(f"_point_{v}", _known(v, ts))
+        carry[f"_p_{v}"] = F.last(f"_tail_{v}", ignorenulls=True).over(before(series))
+        carry[f"_q_{v}"] = F.last(f"_head_{v}", ignorenulls=True).over(after(series))
+    b = with_carry(b, series, summary, carry)
+    near = {}
+    for v in values:
+        prev = F.last(f"_point_{v}", ignorenulls=True).over(up_to_here(series, ts))
+        nxt = F.last(f"_point_{v}", ignorenulls=True).over(from_here(series, ts))
+        near[f"_prev_{v}"] = F.coalesce(prev, F.col(f"_p_{v}"))
+        near[f"_next_{v}"] = F.coalesce(nxt, F.col(f"_q_{v}"))
+    return b.withColumns(near).drop(BUCKET, *points, *carry)
 
 
 def interpolate(
     df: DataFrame,
-    value: str,
+    values: str | Sequence[str],
     series,
     ts: str = "ts",
     *,
@@ -114,16 +108,18 @@ def interpolate(
 ) -> DataFrame:
     """Linear between known neighbours.  Trailing nulls repeat the last value, leading
     nulls stay null.  `at` names a position column to interpolate by row instead of time."""
-    n = with_neighbours(df, value, series, ts, at=at, bucket=bucket)
-    slope = (F.col("_next.y") - F.col("_prev.y")) / (F.col("_next.x") - F.col("_prev.x"))
-    line = F.col("_prev.y") + slope * (F.col("_x") - F.col("_prev.x"))
-    out = (
-        F.when(F.col(value).isNotNull(), F.col(value))
-        .when(F.col("_prev").isNull(), None)
-        .when(F.col("_next").isNull(), F.col("_prev.y"))
-        .otherwise(line)
-    )
-    return n.withColumn(value, out).select(*df.columns)
+    n = with_neighbours(df, values, series, ts, at=at, bucket=bucket)
+    out = {}
+    for v in as_list(values):
+        p, q = F.col(f"_prev_{v}"), F.col(f"_next_{v}")
+        slope = (q["y"] - p["y"]) / (q["x"] - p["x"])
+        out[v] = (
+            F.when(F.col(v).isNotNull(), F.col(v))
+            .when(p.isNull(), None)
+            .when(q.isNull(), p["y"])
+            .otherwise(p["y"] + slope * (F.col("_x") - p["x"]))
+        )
+    return n.withColumns(out).select(*df.columns)
 
 
 def zero_to_last(df: DataFrame, value: str, series, ts: str = "ts", *, bucket: str = DEFAULT_BUCKET) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .buckets import (
     BUCKET,
     DEFAULT_BUCKET,
-    after,
     as_list,
     bucket_of,
     bucket_start,
+    in_order,
     inside,
     interval,
     seconds,
@@ -85,8 +85,8 @@ def complete_grid(
         series,
         {"_first": F.min(ts)},
         {
-            "_following": F.min("_first").over(after(series)),
-            "_leads": F.row_number().over(_order(series)) == 1,
+            "_following": F.lead("_first").over(in_order(series)),
+            "_leads": F.row_number().over(in_order(series)) == 1,
         },
     )
     following = F.coalesce(F.lead(ts).over(inside(series, ts)), F.col("_following"))
@@ -115,10 +115,50 @@ def complete_grid(
     )
 
 
-def _order(series):
-    from pyspark.sql import Window
+def densify(
+    df: DataFrame,
+    value: str,
+    series: str | Sequence[str],
+    ts: str = "ts",
+    *,
+    step: str = "1 hour",
+    method: str = "linear",
+    bucket: str = DEFAULT_BUCKET,
+) -> DataFrame:
+    """Complete grid and fill in one: every step between a series' first and last known
+    value, missing ones on the line between their neighbours ("linear") or equal to the
+    last known one ("forward").
 
-    return Window.partitionBy(*series).orderBy(BUCKET)
+    Each known point emits the steps up to the next one with their values, which saves the
+    second pass that filling a completed grid would take.
+    """
+    series, width = as_list(series), seconds(step)
+    point = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
+    b = df.where(F.col(value).isNotNull()).select(*series, ts, value).withColumn(BUCKET, bucket_of(ts, bucket))
+    b = with_carry(
+        b,
+        series,
+        {"_head": F.min_by(point, ts)},
+        {"_following": F.lead("_head").over(in_order(series))},
+    )
+    order = inside(series, ts)
+    b = b.withColumns(
+        {
+            "_nt": F.coalesce(F.lead(ts).over(order), F.col("_following.t")),
+            "_nv": F.coalesce(F.lead(value).over(order), F.col("_following.v")),
+        }
+    )
+    gap = (F.unix_seconds("_nt") - F.unix_seconds(ts)) / F.lit(float(width))
+    last = F.coalesce(F.ceil(gap).cast("int") - 1, F.lit(0))
+    out = b.withColumns({"_gap": gap, "_k": F.explode(F.sequence(F.lit(0), last))})
+    filled = F.col(value)
+    if method == "linear":
+        line = F.col(value) + (F.col("_nv") - F.col(value)) * F.col("_k") / F.col("_gap")
+        filled = F.when(F.col("_k") == 0, F.col(value)).otherwise(line)
+    elif method != "forward":
+        raise ValueError(f"unknown method {method!r}")
+    at = F.timestamp_seconds(F.unix_seconds(ts) + F.col("_k") * F.lit(width))
+    return out.select(*series, at.alias(ts), filled.alias(value))
 
 
 def reindex(df: DataFrame, grid: DataFrame, keys: str | Sequence[str]) -> DataFrame:

@@ -17,10 +17,10 @@ from ..functions.time import (
 from .buckets import (
     BUCKET,
     DEFAULT_BUCKET,
-    after,
     as_list,
     bucket_of,
     hour_index,
+    in_order,
     inside,
     interval,
     salted_join,
@@ -45,27 +45,37 @@ def moving_average(df: DataFrame, n: int, series, ts: str = "ts", value: str = "
     return out.select(*df.columns, "moving_average")
 
 
-def contiguous_windows(df: DataFrame, hours: int, series, ts: str = "ts", value: str = "value", *, block: int = BLOCK) -> DataFrame:
-    """Every run of `hours` finite rows exactly one hour apart: start, end, average.
+def contiguous_windows(
+    df: DataFrame, hours: int | Sequence[int], series, ts: str = "ts", value: str = "value", *, block: int = BLOCK
+) -> DataFrame:
+    """Every run of h finite rows exactly one hour apart, for each wanted h: start, end,
+    average.
 
-    Blocks of the hour index overlap by hours - 1 rows, so each start hour is evaluated
-    once, in the block that owns it.
+    Blocks of the hour index overlap by the longest run, so each start hour is evaluated
+    once, in the block that owns it, and one shuffle serves all lengths.
     """
     series = as_list(series)
+    lengths = [hours] if isinstance(hours, int) else list(hours)
+    longest = max(lengths)
     ok = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
     b = df.where(ok).select(*series, ts, value).withColumn("_i", hour_index(ts))
-    b = with_halo(b, "_i", max(block, hours), after=hours - 1)
+    b = with_halo(b, "_i", max(block, longest), after=longest - 1)
     order = Window.partitionBy(*series, "_block").orderBy(ts)
-    span = order.rowsBetween(0, hours - 1)
-    b = b.withColumn("_step", F.unix_seconds(F.lead(ts).over(order)) - F.unix_seconds(ts))
-    steps = order.rowsBetween(0, max(hours - 2, 0))
-    even = F.lit(True) if hours == 1 else (F.max(F.abs(F.col("_step") - 3600)).over(steps) <= 1)
-    b = b.withColumns({"average": F.avg(value).over(span), "_n": F.count(value).over(span), "_even": even})
-    return b.where(F.col("_own") & (F.col("_n") == hours) & F.col("_even")).select(
+    b = b.withColumn("_even", F.abs(F.unix_seconds(F.lead(ts).over(order)) - F.unix_seconds(ts) - 3600) <= 1)
+    found = {}
+    for h in lengths:
+        span = order.rowsBetween(0, h - 1)
+        whole = F.count(F.lit(1)).over(span) == h
+        if h > 1:
+            whole = whole & F.every("_even").over(order.rowsBetween(0, h - 2))
+        found[f"_w{h}"] = F.when(whole, F.avg(value).over(span))
+    b = b.withColumns(found).where("_own")
+    rows = F.array(*[F.struct(F.lit(h).alias("hours"), F.col(f"_w{h}").alias("average")) for h in lengths])
+    return b.select(*series, F.col(ts).alias("start"), F.inline(F.filter(rows, lambda r: r["average"].isNotNull()))).select(
         *series,
-        F.lit(hours).alias("hours"),
-        F.col(ts).alias("start"),
-        (F.col(ts) + interval(hours, "HOUR")).alias("end"),
+        "hours",
+        "start",
+        F.timestamp_seconds(F.unix_seconds("start") + F.col("hours") * 3600).alias("end"),
         "average",
     )
 
@@ -90,10 +100,7 @@ def cheapest_windows(
     the lookahead limit, and windows that end after now are preferred over the others.
     """
     series = as_list(series)
-    parts = [contiguous_windows(df, h, series, ts, value) for h in durations]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = contiguous_windows(df, durations, series, ts, value)
     mask = start_hour_mask(local_hour("start", tz), start_hour, end_hour)
     if mask is not None:
         every = every.where(mask)
@@ -126,7 +133,7 @@ def gap_islands(
     """
     series = as_list(series)
     b = df.select(*series, ts).withColumn(BUCKET, bucket_of(ts, bucket))
-    b = with_carry(b, series, {"_first": F.min(ts)}, {"_following": F.min("_first").over(after(series))})
+    b = with_carry(b, series, {"_first": F.min(ts)}, {"_following": F.lead("_first").over(in_order(series))})
     nxt = F.coalesce(F.lead(ts).over(inside(series, ts)), F.col("_following"))
     inner = b.withColumn("_next", nxt).where(F.col("_next") > F.col(ts) + interval(1, "HOUR"))
     gaps = inner.select(

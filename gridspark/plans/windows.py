@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import feeds, fill, quality, risk, rollup, serving, windows
 from ..operators.cubic import cubic_interpolate
-from ..operators.spine import complete_grid
+from ..operators.spine import complete_grid, densify
 from ..sinks import publish
 from .aggregates import places
 from .inputs import (
@@ -102,7 +102,12 @@ def w5(t):
 
 @query("w6_resample_and_interpolate", with_sql("SELECT series_id, ts, round(value, 6) AS value FROM lerped", SHIP, SHIP_GRID, INTERP.format(src="ship_gapped")))
 def w6(t):
-    return fill.interpolate(complete_grid(ship(t), "series_id"), "value", "series_id")
+    return densify(ship(t), "value", "series_id")
+
+
+@query("w6_resample_and_carry", with_sql(f"SELECT series_id, ts, round({FWD}, 6) AS value FROM ship_gapped", SHIP, SHIP_GRID))
+def w6_forward(t):
+    return densify(ship(t), "value", "series_id", method="forward")
 
 
 @query(
@@ -206,7 +211,7 @@ def w13(t):
     """Cheapest 3, 6 and 12 hour stretch of each series: hourly mean, complete grid,
     linear interpolation, window search."""
     rows = t.events.select(F.col("event_type").alias("series_id"), "ts", "value")
-    full = fill.interpolate(rollup.resample_hourly(rows, "series_id"), "value", "series_id")
+    full = densify(rollup.hourly_mean(rows, "series_id"), "value", "series_id")
     return windows.cheapest_windows(full, None, "series_id", digits=9)
 
 
@@ -215,7 +220,7 @@ def w13(t):
     with_sql(cheapest_sql("ship_lerped", (3, 6, 12), prefix=","), SHIP, SHIP_GRID, INTERP.format(src="ship_gapped").replace("known AS", "ship_known AS").replace("lerped AS", "ship_lerped AS").replace("FROM known", "FROM ship_known"), NOW),
 )
 def w13_long(t):
-    full = fill.interpolate(complete_grid(ship(t), "series_id"), "value", "series_id")
+    full = densify(ship(t), "value", "series_id")
     return windows.cheapest_windows(full, None, "series_id", digits=9)
 
 
@@ -275,7 +280,7 @@ MATRIX = f"""cells AS (SELECT series_id, CAST({local_sql('ts')} AS DATE) AS d, h
 
 @query(
     "w17_calendar_matrix",
-    with_sql("SELECT series_id, CAST(d AS VARCHAR) AS local_date, h AS hour, round(price, 6) AS price, "at", round(earlier_price, 6) AS earlier_price FROM matrix", SHIP, MATRIX),
+    with_sql('SELECT series_id, CAST(d AS VARCHAR) AS local_date, h AS hour, round(price, 6) AS price, "at", round(earlier_price, 6) AS earlier_price FROM matrix', SHIP, MATRIX),
 )
 def w17(t):
     return windows.calendar_matrix(ship(t), "series_id")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import EUR_MWH_TO_CKWH, finite, number
 from ..functions.time import parse_utc
 from ..operators.buckets import salted_join
-from ..operators.fill import forward_fill, interpolate
+from ..operators.fill import forward_fill
 from ..operators.patch import dedup, union_all
-from ..operators.rollup import resample_hourly
-from ..operators.spine import spine
+from ..operators.rollup import hourly_mean
+from ..operators.spine import densify, spine
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +200,7 @@ def read_station_csv(spark: SparkSession, path: str, schema: str, value: str, ti
 
 def history_hourly(rows: DataFrame, series: str = "series_id") -> DataFrame:
     """Resample to hourly means and interpolate the gaps linearly."""
-    return interpolate(resample_hourly(rows, series), "value", series)
+    return densify(hourly_mean(rows, series), "value", series)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, *, sep: str = ";", header: bool = True) -> DataFrame:
@@ -236,8 +236,9 @@ def assemble_chunks(chunks: DataFrame, keys: Sequence[str], order: str, start, e
 def assemble_history(rows: DataFrame, series: str = "series_id", digits: int = 0) -> DataFrame:
     """Bad values dropped, hourly mean, time interpolation, rounding; `missing` holds the
     series' number of missing hours, so a check can refuse more than a day."""
-    hours = resample_hourly(rows.where("value IS NOT NULL"), series)
-    gaps = hours.groupBy(series).agg(F.count_if(F.col("value").isNull()).alias("missing"))
-    filled = interpolate(hours, "value", series).withColumn("value", F.round("value", digits))
+    hours = hourly_mean(rows.where("value IS NOT NULL"), series)
+    span = (F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / 3600 + 1
+    gaps = hours.groupBy(series).agg((span - F.count(F.lit(1))).cast("long").alias("missing"))
+    filled = densify(hours, "value", series).withColumn("value", F.round("value", digits))
     return salted_join(filled, gaps, series)
 
