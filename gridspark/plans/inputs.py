@@ -158,4 +158,4 @@ def utc_sql(wall: str) -> str:
 
 
 def ms_sql(ts: str) -> str:
-    return f"CAST(epoch_ms({ts}) AS BIGINT)"
+    return f"CAST(epoch_us({ts}) // 1000 AS BIGINT)"

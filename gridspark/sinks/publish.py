@@ -56,7 +56,7 @@ def local_day_averages(df: DataFrame, value: str, keys: str | Sequence[str] = ()
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
