@@ -138,7 +138,7 @@ def gap_plan(
         "all", subset=columns
     )
     complete = slice_.where(~hole)
-    ranges = gap_islands(complete, series, ts, start=start, end=stop)
+    ranges = gap_islands(complete, series, ts, start=start, end=stop, members=store)
     merged = update_frame(slice_, fresh, [*series, ts])
     before = coverage(slice_, columns, series).select(*series, "column_name", "expected", F.col("missing").alias("missing_before"))
     after = coverage(merged, columns, series).select(*series, "column_name", F.col("missing").alias("remaining"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .buckets import as_list, salted_join
 
-# Sketch accuracy: a bracket holds at most about 6 / ACCURACY of a group's rows.
+# Sketch accuracy: a bracket holds at most 20 * ACCURACY rows or 6 / ACCURACY of a group.
 ACCURACY = 10_000
 
 
@@ -42,14 +42,16 @@ def exact_quantiles(
         F.percentile_approx("_v", low, accuracy).alias("_low"),
         F.percentile_approx("_v", high, accuracy).alias("_high"),
     )
-    # One bracket per wanted probability; extremes are opened to the true ends.
+    # One bracket per wanted probability.  Where a sketch error is worth less than some
+    # twenty rows the group is small, and its bracket is opened to the true ends.
+    small = F.col("n") <= 20 * accuracy
     brackets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
                 (F.lit(p) * (F.col("n") - 1)).alias("rank"),
-                (F.col("_min") if low[i] <= 0.0 else F.col("_low")[i]).alias("lo"),
-                (F.col("_max") if high[i] >= 1.0 else F.col("_high")[i]).alias("hi"),
+                (F.col("_min") if low[i] <= 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_low")[i])).alias("lo"),
+                (F.col("_max") if high[i] >= 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_high")[i])).alias("hi"),
             )
             for i, p in enumerate(probs)
         ]

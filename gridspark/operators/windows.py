@@ -124,12 +124,13 @@ def cheapest_windows(
 
 
 def gap_islands(
-    df: DataFrame, series, ts: str = "ts", *, start=None, end=None, bucket: str = DEFAULT_BUCKET
+    df: DataFrame, series, ts: str = "ts", *, start=None, end=None, members: DataFrame | None = None, bucket: str = DEFAULT_BUCKET
 ) -> DataFrame:
     """Missing stretches of hourly rows as (gap_start, gap_end, hours).
 
     Found between neighbouring rows, so no spine is generated; with `start`/`end` the
-    stretch before the first and after the last row counts too.
+    stretch before the first and after the last row counts too, and series of `members`
+    without any row are missing from start to end.
     """
     series = as_list(series)
     b = df.select(*series, ts).withColumn(BUCKET, bucket_of(ts, bucket))
@@ -154,6 +155,9 @@ def gap_islands(
             gaps = gaps.unionByName(
                 trail.select(*series, (F.col("_hi") + interval(1, "HOUR")).alias("gap_start"), as_ts(end).alias("gap_end"))
             )
+        if members is not None and start is not None and end is not None:
+            empty = members.select(*series).distinct().join(ends, series, "left_anti")
+            gaps = gaps.unionByName(empty.select(*series, as_ts(start).alias("gap_start"), as_ts(end).alias("gap_end")))
     span = (F.unix_seconds("gap_end") - F.unix_seconds("gap_start")) / 3600 + 1
     return gaps.withColumn("hours", span.cast("long"))
 
