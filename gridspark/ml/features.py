@@ -81,10 +81,16 @@ def volatility_table(df: DataFrame, price: str, sources: Sequence[str], wind: st
 MAX_NULL_RATE = 0.1
 
 
+def null_rates(df: DataFrame, features: Sequence[str], max_null_rate: float = MAX_NULL_RATE) -> DataFrame:
+    """Null rate per feature and whether it is low enough; one scan."""
+    rates = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features])
+    return rates.unpivot([], list(features), "feature", "null_rate").withColumn("kept", F.col("null_rate") < max_null_rate)
+
+
 def screen_features(df: DataFrame, features: Sequence[str], max_null_rate: float = MAX_NULL_RATE) -> list[str]:
-    """Features whose null rate is below the limit; one scan, one row to the driver."""
-    rates = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features]).first()
-    return [c for c in features if (rates[c] or 0.0) < max_null_rate]
+    """Features whose null rate is below the limit, in their order."""
+    kept = {r["feature"] for r in null_rates(df, features, max_null_rate).where("kept").collect()}
+    return [c for c in features if c in kept]
 
 
 def impute_median(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from ..ml import features as fe
 from ..ml import models as mo
 from ..operators import feeds, metrics
 from ..session import materialize
-from .inputs import SHIP, WIDE, ship, wide, with_sql
+from .inputs import SHIP, ship, with_sql
 from .registry import query
 
 HASH = "CAST(('0x' || substr(md5('{seed}|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
@@ -165,11 +165,18 @@ def a28(t):
     return fe.impute_median(hourly_frame(t), ["price", "wind", "nuclear"])
 
 
-@query("a28_feature_screen", with_sql("SELECT ts, click, view FROM wide WHERE false UNION ALL SELECT ts, click, view FROM wide", WIDE))
+@query(
+    "a28_feature_screen",
+    with_sql(
+        " UNION ALL ".join(f"SELECT '{c}' AS feature, round(count(*) FILTER (WHERE {x} IS NULL) / count(*), 6) AS null_rate, count(*) FILTER (WHERE {x} IS NULL) / count(*) < 0.3 AS kept FROM frame"
+                           for c, x in (("price", "price"), ("wind", "wind"), ("rare", "CASE WHEN nuclear > 90 THEN nuclear END"))),
+        SHIP, FRAME,
+    ),
+)
 def a28_screen(t):
     """A column that is mostly null is screened out."""
-    w = wide(t).select("ts", "click", "view", F.when(F.col("error") > 150, F.col("error")).alias("rare"))
-    return w.select("ts", *fe.screen_features(w, ["click", "view", "rare"], 0.3))
+    w = hourly_frame(t).withColumn("rare", F.when(F.col("nuclear") > 90, F.col("nuclear")))
+    return fe.null_rates(w, ["price", "wind", "rare"], 0.3)
 
 
 @query("m14_model_comparison")
