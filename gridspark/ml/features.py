@@ -11,7 +11,7 @@ from ..functions.scalar import production_share, row_mean, row_variance, safe_ra
 from ..functions.time import cyclic_time
 from ..operators.buckets import as_list, salted_join
 from ..operators.fill import forward_fill
-from ..operators.quantile import exact_quantiles, quantile_clip, quantile_scalar, stable_hash
+from ..operators.quantile import exact_quantiles, quantile_clip, quantile_scalar, quantile_values, stable_hash
 from ..operators.rollup import daily_features, volatility_label
 
 CALENDAR = ["year", "day_of_week_sin", "day_of_week_cos", "hour_sin", "hour_cos"]
@@ -147,10 +147,7 @@ def time_folds(df: DataFrame, folds: int = 3, ts: str = "ts", name: str = "fold"
     """Equal consecutive stretches 0 … folds; training for test stretch k is everything
     before it, so stretch 0 is never tested."""
     at = df.withColumn("_s", F.unix_micros(ts).cast("double"))
-    q = exact_quantiles(at, "_s", [i / (folds + 1) for i in range(1, folds + 1)])
-    cuts = q.select(F.struct(*[f"q{i}" for i in range(folds)])).scalar()
-    out = at.withColumn("_c", cuts)
     place: Column = F.lit(0)
-    for i in range(folds):
-        place = place + (F.col("_s") > F.col("_c")[f"q{i}"]).cast("int")
-    return out.withColumn(name, place).drop("_s", "_c")
+    for cut in quantile_values(at, "_s", [i / (folds + 1) for i in range(1, folds + 1)]):
+        place = place + (F.col("_s") > F.lit(cut)).cast("int")
+    return at.withColumn(name, place).drop("_s")

@@ -138,16 +138,16 @@ def with_halo(df: DataFrame, index: str, block: int, *, before: int = 0, after:
         raise ValueError("a halo must fit in one neighbouring block")
     home = F.floor(F.col(index) / F.lit(block)).cast("long")
     offset = F.col(index) - home * F.lit(block)
-    homes = F.filter(
-        F.array(
-            F.struct(home.alias("b"), F.lit(True).alias("own")),
-            F.when(offset >= block - before, F.struct((home + 1).alias("b"), F.lit(False).alias("own"))),
-            F.when(offset < after, F.struct((home - 1).alias("b"), F.lit(False).alias("own"))),
-        ),
-        lambda s: s.isNotNull(),
+    place = lambda b, own: F.struct(b.alias("b"), F.lit(own).alias("own"))
+    own, later, earlier = place(home, True), place(home + 1, False), place(home - 1, False)
+    tail, head = offset >= block - before, offset < after
+    homes = (
+        F.when(tail & head, F.array(own, later, earlier))
+        .when(tail, F.array(own, later))
+        .when(head, F.array(own, earlier))
+        .otherwise(F.array(own))
     )
-    out = df.withColumn("_home", F.explode(homes))
-    return out.withColumns({"_block": F.col("_home.b"), "_own": F.col("_home.own")}).drop("_home")
+    return df.select("*", F.inline(homes).alias("_block", "_own"))
 
 
 def hour_index(ts: Column | str, step: str | int = "1 hour") -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import production_share
+from ..session import materialize
 from .asof import asof_backward, daily_to_hourly
 from .buckets import as_list
-from .fill import back_then_forward, fill_edges, forward_fill, interpolate
+from .fill import between_neighbours, fill_edges, forward_fill, interpolate, with_neighbours
 from .interval import available_capacity
 from .patch import (
     best_source,
@@ -107,9 +108,15 @@ def irradiance(frame: DataFrame, history: DataFrame, forecast: DataFrame, *, ts:
     all columns interpolated, and the sum carried forward on the frame."""
     both = stack_sources({"history": across_locations(history, ts, value, "irradiance"), "forecast": across_locations(forecast, ts, value, "irradiance")})
     rows = dedup(both, ts, "source_rank", keep="first").select(ts, *IRRADIANCE).withColumn("_one", F.lit(0))
-    rows = complete_grid(rows, "_one", ts)
-    rows = back_then_forward(rows, "sum_irradiance", "_one", ts)
-    rows = interpolate(rows, IRRADIANCE, "_one", ts)
+    # Written once, so that the two fills that follow do not roll up the feed again.
+    rows = materialize(complete_grid(rows, "_one", ts), "irradiance")
+    # One pass finds the neighbours of all columns; the sum takes the next known value,
+    # the others the line between both.
+    near = with_neighbours(rows, IRRADIANCE, "_one", ts)
+    filled = {c: between_neighbours(c) for c in IRRADIANCE[1:]}
+    total = IRRADIANCE[0]
+    filled[total] = F.coalesce(total, F.col(f"_next_{total}.y"), F.col(f"_prev_{total}.y"))
+    rows = near.withColumns(filled).select("_one", ts, *IRRADIANCE)
     out, keys = _keyed(replace_feed(frame, rows.drop("_one"), ts, list(IRRADIANCE)), [])
     return forward_fill(out, "sum_irradiance", keys, ts).drop("_one")
 

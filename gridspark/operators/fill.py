@@ -97,6 +97,18 @@ def with_neighbours(
     return b.withColumns(near).drop(BUCKET, *points, *carry)
 
 
+def between_neighbours(value: str) -> Column:
+    """Linear value of a row that `with_neighbours` prepared."""
+    p, q = F.col(f"_prev_{value}"), F.col(f"_next_{value}")
+    slope = (q["y"] - p["y"]) / (q["x"] - p["x"])
+    return (
+        F.when(F.col(value).isNotNull(), F.col(value))
+        .when(p.isNull(), None)
+        .when(q.isNull(), p["y"])
+        .otherwise(p["y"] + slope * (F.col("_x") - p["x"]))
+    )
+
+
 def interpolate(
     df: DataFrame,
     values: str | Sequence[str],
@@ -109,17 +121,7 @@ def interpolate(
     """Linear between known neighbours.  Trailing nulls repeat the last value, leading
     nulls stay null.  `at` names a position column to interpolate by row instead of time."""
     n = with_neighbours(df, values, series, ts, at=at, bucket=bucket)
-    out = {}
-    for v in as_list(values):
-        p, q = F.col(f"_prev_{v}"), F.col(f"_next_{v}")
-        slope = (q["y"] - p["y"]) / (q["x"] - p["x"])
-        out[v] = (
-            F.when(F.col(v).isNotNull(), F.col(v))
-            .when(p.isNull(), None)
-            .when(q.isNull(), p["y"])
-            .otherwise(p["y"] + slope * (F.col("_x") - p["x"]))
-        )
-    return n.withColumns(out).select(*df.columns)
+    return n.withColumns({v: between_neighbours(v) for v in as_list(values)}).select(*df.columns)
 
 
 def zero_to_last(df: DataFrame, value: str, series, ts: str = "ts", *, bucket: str = DEFAULT_BUCKET) -> DataFrame:

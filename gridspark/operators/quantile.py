@@ -8,6 +8,7 @@ lies below exactly, and sort only what lies inside the bracket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,106 +16,168 @@ from pyspark.sql import functions as F
 
 from .buckets import as_list, salted_join
 
-# Sketch accuracy: a bracket holds at most 20 * ACCURACY rows or 6 / ACCURACY of a group.
+# Sketch accuracy: a bracket holds at most SMALL * ACCURACY rows or 8 / ACCURACY of a group.
 ACCURACY = 10_000
+SMALL = 4
+
+
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float], *, accuracy: int = ACCURACY) -> list[float | None]:
+    """Linear-interpolated quantiles of a whole column, as numbers.
+
+    Every job returns a bounded number of values to the driver: sketches, counts below and
+    inside their brackets, and per wanted rank the one value that holds it.  Bracket bounds
+    are literals, so later scans can skip row groups.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+    if not n:
+        return [None] * len(probs)
+    exact = [p * (n - 1) for p in probs]
+    ranks = sorted({r for x in exact for r in (math.floor(x), math.ceil(x))})
+    at = _values_at(rows, lo, hi, 0, n, ranks, accuracy)
+    out = []
+    for x in exact:
+        a, z = at[math.floor(x)], at[math.ceil(x)]
+        out.append(a + (z - a) * (x - math.floor(x)))
+    return out
+
+
+def _values_at(rows: DataFrame, lo: float, hi: float, below: int, inside: int, ranks: list[int], accuracy: int) -> dict[int, float]:
+    """Values at the wanted ranks, all of which lie in [lo, hi]: `below` rows are smaller
+    than lo and `inside` rows lie between.  Brackets are narrowed by sketches until one is
+    small, a single value, or made of ties that no sketch divides."""
+    if lo == hi:
+        return dict.fromkeys(ranks, lo)
+    span = rows.where(F.col("_v").between(lo, hi))
+    if inside > SMALL * accuracy:
+        margin = 3.0 / accuracy
+        share = [(r - below) / (inside - 1) for r in ranks]
+        low, high = span.agg(
+            F.percentile_approx("_v", [max(0.0, p - margin) for p in share], accuracy),
+            F.percentile_approx("_v", [min(1.0, p + margin) for p in share], accuracy),
+        ).first()
+        brackets: dict[tuple[float, float], list[int]] = {}
+        for i, r in enumerate(ranks):
+            a = lo if share[i] <= margin else low[i]
+            z = hi if share[i] >= 1.0 - margin else high[i]
+            brackets.setdefault((a, z), []).append(r)
+        if list(brackets) != [(lo, hi)]:
+            counts = span.agg(
+                *[F.count_if(F.col("_v") < a) for a, _ in brackets], *[F.count_if(F.col("_v").between(a, z)) for a, z in brackets]
+            ).first()
+            found: dict[int, float] = {}
+            for k, ((a, z), wanted) in enumerate(brackets.items()):
+                found |= _values_at(rows, a, z, below + counts[k], counts[len(brackets) + k], wanted, accuracy)
+            return found
+    w = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    tied = span.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = tied.withColumn("_last", F.lit(below) + F.sum("_c").over(w) - 1)
+    first = F.col("_last") - F.col("_c") + 1
+    row = upto.agg(*[F.max(F.when((first <= r) & (F.lit(r) <= F.col("_last")), F.col("_v"))) for r in ranks]).first()
+    if any(v is None for v in row):
+        raise ArithmeticError("a quantile lies outside its bracket")
+    return dict(zip(ranks, row))
 
 
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probs: Sequence[float],
-    groups: str | Sequence[str] = (),
+    groups: str | Sequence[str],
     *,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group, columns q0, q1, … in the order
     of `probs`, and `n`, the number of non-null values."""
-    groups = as_list(groups)
-    keys = groups
+    keys = as_list(groups)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    eps = 2.0 / accuracy
-    low = [max(0.0, p - eps) for p in probs]
-    high = [min(1.0, p + eps) for p in probs]
+    inner = [i for i, p in enumerate(probs) if 0.0 < p < 1.0]
+    margin = 3.0 / accuracy
+    low = [max(0.0, probs[i] - margin) for i in inner]
+    high = [min(1.0, probs[i] + margin) for i in inner]
+    ends = [F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    extreme = {i: "_min" if probs[i] <= 0.0 else "_max" for i in range(len(probs)) if i not in inner}
+    if not inner:
+        out = rows.groupBy(*keys).agg(*ends)
+        return out.select(*keys, "n", *[F.col(extreme[i]).alias(f"q{i}") for i in range(len(probs))])
     sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+        *ends,
         F.percentile_approx("_v", low, accuracy).alias("_low"),
         F.percentile_approx("_v", high, accuracy).alias("_high"),
     )
-    # One bracket per wanted probability.  Where a sketch error is worth less than some
-    # twenty rows the group is small, and its bracket is opened to the true ends.
-    small = F.col("n") <= 20 * accuracy
+    # One bracket per wanted probability.  The margin outweighs the sketch's error by some
+    # rows unless the group is small; then the bracket is opened to the true ends.
+    small = F.col("n") <= SMALL * accuracy
     brackets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                (F.lit(p) * (F.col("n") - 1)).alias("rank"),
-                (F.col("_min") if low[i] <= 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_low")[i])).alias("lo"),
-                (F.col("_max") if high[i] >= 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_high")[i])).alias("hi"),
+                (F.lit(probs[i]) * (F.col("n") - 1)).alias("rank"),
+                F.when(small | F.lit(low[k] <= 0.0), F.col("_min")).otherwise(F.col("_low")[k]).alias("lo"),
+                F.when(small | F.lit(high[k] >= 1.0), F.col("_max")).otherwise(F.col("_high")[k]).alias("hi"),
             )
-            for i, p in enumerate(probs)
+            for k, i in enumerate(inner)
         ]
     )
-    sketch = sketch.select(*keys, "n", brackets.alias("_brackets"))
-    if keys:
-        joined = salted_join(rows, sketch, keys)
-    else:
-        one = sketch.select(F.struct("n", "_brackets")).scalar()
-        joined = rows.withColumn("_one", one).select("_v", "_one.n", "_one._brackets")
+    sketch = sketch.select(*keys, F.struct("n", "_min", "_max").alias("_ends"), brackets.alias("_brackets"))
+    joined = salted_join(rows, sketch, keys)
+    names = [f"_b{k}" for k in range(len(inner))]
     below = joined.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col("_brackets")[i]["lo"]).alias(f"_b{i}") for i in range(len(probs))]
+        *[F.count_if(F.col("_v") < F.col("_brackets")[k]["lo"]).alias(b) for k, b in enumerate(names)]
     )
-    hits = F.filter("_brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    matches = [
+        F.when(F.col("_v").between(F.col("_brackets")[k]["lo"], F.col("_brackets")[k]["hi"]), F.col("_brackets")[k])
+        for k in range(len(inner))
+    ]
     inside = (
-        joined.select(*keys, "n", "_v", F.explode(hits).alias("_k"))
+        joined.where(F.coalesce(*matches).isNotNull())
+        .select(*keys, "_ends", "_v", F.explode(F.array(*matches)).alias("_k"))
+        .where("_k IS NOT NULL")
         .groupBy(*keys, F.col("_k.i").alias("_i"), F.col("_k.rank").alias("_rank"), "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_ends").alias("_ends"))
     )
-    start = F.element_at(F.array(*[F.col(f"_b{i}") for i in range(len(probs))]), F.col("_i") + 1)
+    start = F.coalesce(*[F.when(F.col("_i") == i, F.col(b)) for i, b in zip(inner, names)])
     w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    if keys:
-        counted = inside.join(below, keys)
-    else:
-        names = [f"_b{i}" for i in range(len(probs))]
-        counted = inside.withColumn("_below", below.select(F.struct(*names)).scalar()).select("*", "_below.*")
-    ranked = counted.withColumn("_last", start + F.sum("_c").over(w) - 1)
+    ranked = inside.join(below, keys).withColumn("_last", start + F.sum("_c").over(w) - 1)
     ranked = ranked.withColumn("_first", F.col("_last") - F.col("_c") + 1)
     floor, ceil = F.floor("_rank"), F.ceil("_rank")
-    holds = lambda r: (F.col("_first") <= r) & (r <= F.col("_last"))
-    picked = ranked.groupBy(*keys, "_i", "_rank", "n").agg(
-        F.max(F.when(holds(floor), F.col("_v"))).alias("_a"), F.max(F.when(holds(ceil), F.col("_v"))).alias("_z")
+    at = lambda r: F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("_v")))
+    picked = ranked.groupBy(*keys, "_i", "_rank").agg(
+        F.first("_ends").alias("_ends"), at(floor).alias("_a"), at(ceil).alias("_z")
     )
-    quantile = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
-    return picked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("_i") == i, quantile)).alias(f"q{i}") for i in range(len(probs))],
+    line = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
+    value_of = F.coalesce(line, missed.cast("double"))
+    out = picked.groupBy(*keys).agg(
+        F.first("_ends").alias("_ends"), *[F.max(F.when(F.col("_i") == i, value_of)).alias(f"q{i}") for i in inner]
     )
+    pick = [F.col(f"_ends.{extreme[i]}" if i in extreme else f"q{i}").alias(f"q{i}") for i in range(len(probs))]
+    return out.select(*keys, "_ends.n", *pick)
 
 
 def quantile_scalar(df: DataFrame, value: str, p: float) -> Column:
-    """One exact quantile of the whole frame, as a scalar subquery."""
-    return exact_quantiles(df, value, [p]).select("q0").scalar()
+    """One exact quantile of the whole frame, as a literal."""
+    return F.lit(quantile_values(df, value, [p])[0]).cast("double")
 
 
 def quantile_clip(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Clip a column to its own quantiles; nulls stay null."""
-    q = exact_quantiles(df, value, [low, high])
-    lo, hi = q.select("q0").scalar(), q.select("q1").scalar()
+    lo, hi = quantile_values(df, value, [low, high])
     v = F.col(value)
-    return df.withColumn(value, F.when(v.isNotNull(), F.least(F.greatest(v, lo), hi)))
+    return df.withColumn(value, F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi))))
 
 
 def iqr_filter(df: DataFrame, value: str, width: float = 2.5) -> DataFrame:
-    """Rows within width interquartile ranges of the quartiles."""
-    q = exact_quantiles(df, value, [0.25, 0.75])
-    spread = F.col("q1") - F.col("q0")
-    lo = q.select(F.col("q0") - F.lit(width) * spread).scalar()
-    hi = q.select(F.col("q1") + F.lit(width) * spread).scalar()
-    return df.where((F.col(value) >= lo) & (F.col(value) <= hi))
+    """Rows within width interquartile ranges of the quartiles.  The fence is a literal
+    bound, so the scan can skip row groups."""
+    q1, q3 = quantile_values(df, value, [0.25, 0.75])
+    if q1 is None:
+        return df.limit(0)
+    spread = width * (q3 - q1)
+    return df.where(F.col(value).between(q1 - spread, q3 + spread))
 
 
-def summary_quantiles(df: DataFrame, value: str, groups=()) -> DataFrame:
+def summary_quantiles(df: DataFrame, value: str, groups: str | Sequence[str]) -> DataFrame:
     """min, p10, median, p90, max per group."""
     q = exact_quantiles(df, value, [0.0, 0.1, 0.5, 0.9, 1.0], groups)
     names = ["min", "p10", "median", "p90", "max"]

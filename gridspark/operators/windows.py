@@ -71,7 +71,8 @@ def contiguous_windows(
         found[f"_w{h}"] = F.when(whole, F.avg(value).over(span))
     b = b.withColumns(found).where("_own")
     rows = F.array(*[F.struct(F.lit(h).alias("hours"), F.col(f"_w{h}").alias("average")) for h in lengths])
-    return b.select(*series, F.col(ts).alias("start"), F.inline(F.filter(rows, lambda r: r["average"].isNotNull()))).select(
+    every = b.select(*series, F.col(ts).alias("start"), F.inline(rows)).where("average IS NOT NULL")
+    return every.select(
         *series,
         "hours",
         "start",

@@ -26,7 +26,7 @@ from .inputs import (
     wide,
     with_sql,
 )
-from .registry import query
+from .registry import query, rnd
 from .sources import OUTAGES, outages
 
 
@@ -190,7 +190,8 @@ def a10_long(t):
 
 
 PLACES = """places AS (
-    SELECT user_id AS place, date_trunc('day', ts) AS ts, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
+    SELECT c_nationkey AS place, o_orderdate AS ts, round(avg(o_totalprice), 4) AS value
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY 1, 2),
   pgrid AS (SELECT place, unnest(generate_series(min(ts), (SELECT max(ts) FROM places), INTERVAL 1 DAY)) AS ts FROM places GROUP BY 1),
   filled AS (SELECT g.place, g.ts, p.value IS NOT NULL AS raw,
                     last_value(p.value IGNORE NULLS) OVER (PARTITION BY g.place ORDER BY g.ts) AS value
@@ -198,25 +199,46 @@ PLACES = """places AS (
 
 
 def places(t):
-    from .registry import rnd
-
-    return t.events.groupBy(F.col("user_id").alias("place"), F.date_trunc("day", "ts").alias("ts")).agg(
-        rnd(F.avg("value")).alias("value")
+    """The 25 nations as gauges: mean price of their customers' larger orders per day."""
+    orders = t.orders.where("o_totalprice > 100000")
+    j = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy(F.col("c_nationkey").alias("place"), F.col("o_orderdate").alias("ts")).agg(
+        rnd(F.avg("o_totalprice"), 4).alias("value")
     )
 
 
+A11 = """SELECT ts, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.1), 4) AS p10,
+                  count(*) FILTER (WHERE raw) AS coverage FROM filled GROUP BY 1"""
+
+
+@query("a11_daily_place_quantiles", with_sql(A11, PLACES), digits=4)
+def a11(t):
+    """Every nation carried forward to the last day of the table."""
+    p = places(t)
+    return rollup.daily_place_quantiles(p, "place", end=p.agg(F.max("ts")).scalar())
+
+
+@query("a11_place_quantiles_many_places", with_sql(A11, PLACES), digits=4)
+def a11_many(t):
+    """The same without gathering the places of a day."""
+    p = places(t)
+    return rollup.daily_place_quantiles(p, "place", end=p.agg(F.max("ts")).scalar(), many_places=True)
+
+
 @query(
-    "a11_daily_place_quantiles",
+    "a11_place_quantiles_with_guard",
     with_sql(
-        """SELECT ts, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10,
-                  count(*) FILTER (WHERE raw) AS coverage FROM filled GROUP BY 1""",
+        """, d AS (SELECT ts, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.1) AS q, count(*) FILTER (WHERE raw) AS coverage FROM filled GROUP BY 1)
+           SELECT ts, round(last_value(CASE WHEN coverage >= 4 THEN m END IGNORE NULLS) OVER (ORDER BY ts), 4) AS median,
+                  round(last_value(CASE WHEN coverage >= 4 THEN q END IGNORE NULLS) OVER (ORDER BY ts), 4) AS p10, coverage FROM d""",
         PLACES,
     ),
+    digits=4,
 )
-def a11(t):
-    """Every user is a place, carried forward to the last day of the table."""
+def a11_guard(t):
+    """Days with fewer than four raw readings repeat the last accepted day."""
     p = places(t)
-    return rollup.daily_place_quantiles(p, "place", end=p.agg(F.max("ts")).scalar())
+    return rollup.daily_place_quantiles(p, "place", end=p.agg(F.max("ts")).scalar(), min_coverage=4)
 
 
 @query(

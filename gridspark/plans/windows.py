@@ -8,7 +8,7 @@ from ..operators import feeds, fill, quality, risk, rollup, serving, windows
 from ..operators.cubic import cubic_interpolate
 from ..operators.spine import complete_grid, densify
 from ..sinks import publish
-from .aggregates import places
+from .aggregates import PLACES, places
 from .inputs import (
     ACTUALS,
     DAILY,
@@ -600,25 +600,24 @@ def c9(t):
     return feeds.irradiance(wide(t).select("ts"), rows.where(F.col("ts") <= at), rows.where(F.col("ts") > at))
 
 
-PLACE_DAYS = """filled_days AS (SELECT CAST(ts AS DATE) AS date, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.1) AS q FROM filled GROUP BY 1)"""
-
-
 @query(
     "c10_hydrology",
     with_sql(
-        "SELECT w.ts, round(coalesce(m, w.click), 6) AS hydro_median, round(q, 6) AS hydro_p10 FROM wide w LEFT JOIN filled_days d ON d.date = CAST(w.ts AS DATE)",
-        WIDE,
-        """places AS (SELECT user_id AS place, date_trunc('day', ts) AS ts, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
-  pgrid AS (SELECT place, unnest(generate_series(min(ts), TIMESTAMP '2024-01-25', INTERVAL 1 DAY)) AS ts FROM places WHERE ts <= TIMESTAMP '2024-01-25' GROUP BY 1),
-  filled AS (SELECT g.place, g.ts, last_value(p.value IGNORE NULLS) OVER (PARTITION BY g.place ORDER BY g.ts) AS value
-             FROM pgrid g LEFT JOIN places p USING (place, ts) WHERE g.ts >= TIMESTAMP '2024-01-01')""",
-        PLACE_DAYS,
+        """, kept AS (SELECT * FROM places WHERE ts <= TIMESTAMP '2000-06-30'),
+             kgrid AS (SELECT place, unnest(generate_series(min(ts), TIMESTAMP '2000-06-30', INTERVAL 1 DAY)) AS ts FROM kept GROUP BY 1),
+             carried AS (SELECT g.ts, last_value(k.value IGNORE NULLS) OVER (PARTITION BY g.place ORDER BY g.ts) AS value FROM kgrid g LEFT JOIN kept k USING (place, ts)),
+             d AS (SELECT CAST(ts AS DATE) AS date, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.1) AS q FROM carried WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY 1),
+             f AS (SELECT ts, max(value) AS held FROM ship GROUP BY 1)
+           SELECT f.ts, round(coalesce(m, held), 4) AS hydro_median, round(q, 4) AS hydro_p10 FROM f LEFT JOIN d ON d.date = CAST(f.ts AS DATE)""",
+        SHIP, PLACES,
     ),
+    digits=4,
 )
 def c10(t):
-    rows = places(t).where("ts <= TIMESTAMP '2024-01-25 00:00:00'")
-    frame = wide(t).select("ts", F.col("click").alias("hydro_median"))
-    return feeds.hydrology(frame, rows, start="2024-01-01 00:00:00", end="2024-01-25 00:00:00")
+    """Seven years of hours; readings up to the middle of 2000, refreshed from 1996 on."""
+    rows = places(t).where("ts <= TIMESTAMP '2000-06-30 00:00:00'")
+    frame = ship(t).groupBy("ts").agg(F.max("value").alias("hydro_median"))
+    return feeds.hydrology(frame, rows, start="1996-01-01 00:00:00", end="2000-06-30 00:00:00")
 
 
 @query(

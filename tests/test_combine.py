@@ -11,7 +11,7 @@ from gridspark.operators import feeds, patch, quality, rollup, weather
 from gridspark.operators.buckets import salted_join
 from gridspark.operators.interval import available_capacity, range_totals
 from gridspark.operators.metrics import classifier_metrics, forecast_evaluation, spearman
-from gridspark.operators.quantile import exact_quantiles, global_average_rank, iqr_filter, quantile_clip
+from gridspark.operators.quantile import exact_quantiles, global_average_rank, iqr_filter, quantile_clip, quantile_values
 from gridspark.sinks.store import upsert_frame
 
 H = ["2024-01-01 00:00:00", "2024-01-01 01:00:00", "2024-01-01 02:00:00"]
@@ -123,8 +123,9 @@ def test_exact_quantiles_with_a_hot_group(frame, accuracy):
     got = {r.g: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(df, "v", probs, "g", accuracy=accuracy).collect()}
     for g in ("hot", "small", "one"):
         np.testing.assert_allclose(got[g], np.quantile([v for k, v in rows if k == g], probs), rtol=1e-12)
-    whole = exact_quantiles(df, "v", probs, accuracy=accuracy).first()
-    np.testing.assert_allclose([whole[f"q{i}"] for i in range(len(probs))], np.quantile([v for _, v in rows], probs), rtol=1e-12)
+    whole = quantile_values(df, "v", probs, accuracy=accuracy)
+    np.testing.assert_allclose(whole, np.quantile([v for _, v in rows], probs), rtol=1e-12)
+    assert quantile_values(df.where("v IS NULL"), "v", [0.5]) == [None]
 
 
 def test_average_ranks_and_spearman(frame):
