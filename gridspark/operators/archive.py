@@ -75,9 +75,8 @@ def range_errors(
 ) -> DataFrame:
     """MAE, RMSE and MAPE per range over all runs; an empty range gives nulls.
 
-    Absolute and squared errors are summed per hour before the actual joins only if the
-    actual is on the prediction; here the join comes first, salted, and sums follow
-    map-side.  One pass serves all ranges.
+    The errors are summed per hour map-side, so the range join sees one row per hour
+    however many runs cover it, and one pass serves all ranges.
     """
     scored = with_actuals(predictions, actuals).where("actual IS NOT NULL")
     if true_forecasts_only:

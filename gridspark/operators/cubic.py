@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .buckets import DEFAULT_BUCKET, as_list, with_halo, with_position
 from .fill import with_neighbours
 
@@ -80,6 +81,8 @@ def cubic_interpolate(
     solved = cut.groupBy(*series, "_block").applyInPandas(
         lambda pdf: _solve_chunk(pdf)[[*series, ts, "_m"]], schema=schema
     )
+    # Written once: the neighbour search below reads its input twice.
+    solved = materialize(solved, "spline")
     rows = df.join(solved, [*series, ts], "left").withColumn("_h", hours)
     n = with_neighbours(rows, value, series, ts, at="_h", extra=["_m"], bucket=bucket)
     p, q = F.col(f"_prev_{value}"), F.col(f"_next_{value}")

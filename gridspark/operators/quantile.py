@@ -19,6 +19,8 @@ from .buckets import as_list, salted_join
 # Sketch accuracy: a bracket holds at most SMALL * ACCURACY rows or 8 / ACCURACY of a group.
 ACCURACY = 10_000
 SMALL = 4
+# Whole-column quantiles sort at most GATHER * ACCURACY distinct values in one task.
+GATHER = 10
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float], *, accuracy: int = ACCURACY) -> list[float | None]:
@@ -49,18 +51,25 @@ def _values_at(rows: DataFrame, lo: float, hi: float, below: int, inside: int, r
     if lo == hi:
         return dict.fromkeys(ranks, lo)
     span = rows.where(F.col("_v").between(lo, hi))
-    if inside > SMALL * accuracy:
+    if inside > GATHER * accuracy:
         margin = 3.0 / accuracy
-        share = [(r - below) / (inside - 1) for r in ranks]
+        # The two ranks around a quantile are neighbours and share a bracket.
+        units = [[ranks[0]]]
+        for r in ranks[1:]:
+            if r == units[-1][-1] + 1:
+                units[-1].append(r)
+            else:
+                units.append([r])
+        share = [((u[0] - below) / (inside - 1), (u[-1] - below) / (inside - 1)) for u in units]
         low, high = span.agg(
-            F.percentile_approx("_v", [max(0.0, p - margin) for p in share], accuracy),
-            F.percentile_approx("_v", [min(1.0, p + margin) for p in share], accuracy),
+            F.percentile_approx("_v", [max(0.0, p - margin) for p, _ in share], accuracy),
+            F.percentile_approx("_v", [min(1.0, p + margin) for _, p in share], accuracy),
         ).first()
         brackets: dict[tuple[float, float], list[int]] = {}
-        for i, r in enumerate(ranks):
-            a = lo if share[i] <= margin else low[i]
-            z = hi if share[i] >= 1.0 - margin else high[i]
-            brackets.setdefault((a, z), []).append(r)
+        for i, unit in enumerate(units):
+            a = lo if share[i][0] <= margin else low[i]
+            z = hi if share[i][1] >= 1.0 - margin else high[i]
+            brackets.setdefault((a, z), []).extend(unit)
         if list(brackets) != [(lo, hi)]:
             counts = span.agg(
                 *[F.count_if(F.col("_v") < a) for a, _ in brackets], *[F.count_if(F.col("_v").between(a, z)) for a, z in brackets]

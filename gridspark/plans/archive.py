@@ -201,6 +201,40 @@ def k12(t):
     return t.spark.read.schema("date string, click_mean double").json(path)
 
 
+@query(
+    "k14_feature_profile_json",
+    with_sql(
+        """, e AS (SELECT * FROM wide WHERE click IS NOT NULL AND error IS NOT NULL AND purchase IS NOT NULL)
+           SELECT feature, round(avg(v), 6) AS mean, round(coalesce(corr(v, purchase), 0), 6) AS correlation FROM (
+             SELECT 'click' AS feature, click AS v, purchase FROM e UNION ALL SELECT 'error', error, purchase FROM e) GROUP BY 1""",
+        WIDE,
+    ),
+)
+def k14(t):
+    from ..operators.serving import feature_profile
+
+    path = scratch_path(t.spark, "profile")
+    publish.write_json(feature_profile(wide(t), ["click", "error"], "purchase"), path)
+    return t.spark.read.schema("feature string, mean double, correlation double").json(path)
+
+
+@query(
+    "k18_daily_statistics_csv",
+    with_sql(
+        """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, ROUND(avg(view), 1) AS view_mean, ROUND(avg(purchase), 1) AS purchase_mean, ROUND(avg(view) - avg(purchase), 1) AS error
+           FROM wide WHERE ts >= (SELECT max(ts) - INTERVAL 15 DAY FROM wide) GROUP BY 1""",
+        WIDE,
+    ),
+)
+def k18(t):
+    from ..operators.rollup import predicted_vs_actual_daily
+
+    path = scratch_path(t.spark, "daily-statistics")
+    stats = predicted_vs_actual_daily(wide(t), "purchase", "view")
+    publish.write_csv(stats.select("date", "view_mean", "purchase_mean", "error"), path)
+    return read_csv_table(t.spark, path, "date string, view_mean double, purchase_mean double, error double")
+
+
 @query("k13_outages_json", with_sql('SELECT event_id, start, "end", avail_qty FROM outages', OUTAGES))
 def k13_json(t):
     path = scratch_path(t.spark, "outages")

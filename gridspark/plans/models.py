@@ -134,6 +134,13 @@ def m11(t):
     return mo.grid_search(rows, features, "price", ["ts"], grid, folds=2)
 
 
+@query("m11_nested_search")
+def m11_nested(t):
+    rows, features = price_rows(t)
+    grid = [{"maxIter": 2, "maxDepth": 2}, {"maxIter": 2, "maxDepth": 3}]
+    return mo.nested_search(rows, features, "price", ["ts"], grid, outer=2, inner=2)
+
+
 @query(
     "m12_stratified_split",
     f"""WITH h AS (SELECT l_orderkey, l_linenumber, l_returnflag, {HASH.format(seed=42, key=LINE)} AS h FROM lineitem),
@@ -191,6 +198,19 @@ def m15(t):
     return mo.importances(mo.train_price_model(rows, features, "price", ["ts"], max_iter=5, depth=4), t.spark)
 
 
+@query("m16_single_model_evaluation")
+def m16(t):
+    """Held-out metrics of the linear model with the residuals' autocorrelation."""
+    from ..operators.windows import autocorrelation
+
+    rows, features = price_rows(t)
+    split = fe.chronological_split(rows, 0.2)
+    model = mo.Pipeline(stages=[mo.assembler(features), mo.REGRESSORS["linear"]("price")]).fit(split.where("NOT is_test"))
+    held = mo.predict(model, split.where("is_test"), features).withColumn("model", F.lit("linear"))
+    resid = autocorrelation(held.withColumn("e", F.col("price") - F.col("prediction")), "e", "model").drop("n")
+    return mo.evaluate(held, "price", ["model"]).join(resid, "model")
+
+
 @query(
     "m17_sampled_metrics",
     f"""WITH h AS (SELECT r.range AS replicate, l_quantity AS a, l_extendedprice / 2000 AS p, CAST(('0x' || substr(md5(r.range || '|' || l_orderkey || '|' || l_linenumber), 1, 8)) AS BIGINT) / 4294967296.0 AS h

@@ -667,6 +667,22 @@ def gap_inputs(t):
     return store, cand, (lit("2023-12-31 00:00:00"), lit("2024-03-01 00:00:00"), now(t))
 
 
+@query(
+    "c15_gap_plan_ranges",
+    with_sql(
+        """, r AS (SELECT s.series_id, g.ts FROM (SELECT DISTINCT series_id FROM hourly) s CROSS JOIN (
+                   SELECT unnest(generate_series(TIMESTAMP '2023-12-31', (SELECT now FROM now_), INTERVAL 1 HOUR)) AS ts) g),
+             m AS (SELECT r.* FROM r LEFT JOIN hourly h USING (series_id, ts) WHERE h.value IS NULL OR h.value <= 30),
+             k AS (SELECT *, ts - to_hours(row_number() OVER (PARTITION BY series_id ORDER BY ts)) AS island FROM m)
+           SELECT series_id, min(ts) AS gap_start, max(ts) AS gap_end, count(*) AS hours FROM k GROUP BY series_id, island""",
+        HOURLY, NOW,
+    ),
+)
+def c15_ranges(t):
+    store, cand, bounds = gap_inputs(t)
+    return quality.gap_plan(store, cand, "series_id", ["t", "ws"], *bounds)[1]
+
+
 @query(
     "c15_gap_plan_updates",
     with_sql(
