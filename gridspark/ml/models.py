@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import class_weight, classifier_metrics, forecast_evaluation
 from ..operators.serving import feature_profile
+from ..session import materialize
 from .features import chronological_split, random_folds, random_split, screen_features, stratified_split, time_folds
 
 SEED = 42
@@ -100,7 +101,9 @@ def train_volatility(df: DataFrame, features: Sequence[str], *, key: str = "date
     from pyspark.ml.feature import Imputer
 
     kept = screen_features(df, features)
-    split = stratified_split(df.withColumns({c: F.col(c).cast("double") for c in kept}), "label", key, 0.2)
+    typed = df.select(key, "label", *[F.col(c).cast("double").alias(c) for c in kept])
+    # Written once: every iteration of the learners reads the rows again.
+    split = materialize(stratified_split(typed, "label", key, 0.2), "split")
     train = class_weight(split.where(~F.col("is_test")), "label")
     filled = [f"{c}_filled" for c in kept]
     imputer = Imputer(strategy="median", relativeError=0.0001, inputCols=kept, outputCols=filled)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import BUCKET, DEFAULT_BUCKET, as_list, before, bucket_of, hour_index, seconds
+from .buckets import BUCKET, DEFAULT_BUCKET, as_list, before, bucket_of, salted_join, seconds
 
 
 def asof_backward(
@@ -19,14 +19,21 @@ def asof_backward(
     *,
     step: str = "1 hour",
     bucket: str = DEFAULT_BUCKET,
+    unique_left: bool = True,
 ) -> DataFrame:
     """Value of `right` at or before each row of `left`, both keyed by (series, ts).
 
     The right side is first reduced to one row per series and grid step: a partial
     aggregate, so a hot series or hour collapses before it is shuffled.  That is exact
-    when the left timestamps lie on the grid.  Then both sides meet in one shuffle on
-    (series, bucket); older values arrive through the bucket summary.
+    when the left timestamps lie on the grid; choose a step that divides them.  Then both sides meet in one shuffle on
+    (series, bucket); older values arrive through the bucket summary.  A left side that
+    repeats its keys (`unique_left=False`) is looked up per distinct key and joined back
+    salted, so a hot hour does not gather its rows.
     """
+    if not unique_left:
+        wanted = left.select(*as_list(series), ts).distinct()
+        hits = asof_backward(wanted, right, series, ts, value, step=step, bucket=bucket)
+        return salted_join(left.drop(value), hits, [*as_list(series), ts])
     series, width = as_list(series), seconds(step)
     # A right row counts from the first grid step at or after it.
     grid = F.timestamp_seconds(
@@ -69,5 +76,3 @@ def daily_to_hourly(hours: DataFrame, daily: DataFrame, series, ts: str = "ts",
         hours.withColumn("_day", F.to_date(ts)).join(day, [*series, "_day"], "left").drop("_day")
     )
 
-
-__all__ = ["asof_backward", "daily_to_hourly", "hour_index"]

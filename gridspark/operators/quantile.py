@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .buckets import as_list, salted_join
 
 # Sketch accuracy: a bracket holds at most SMALL * ACCURACY rows or 8 / ACCURACY of a group.
@@ -193,21 +194,21 @@ def summary_quantiles(df: DataFrame, value: str, groups: str | Sequence[str]) ->
     return q.select(*as_list(groups), "n", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
 
 
-def global_average_rank(df: DataFrame, value: str, *, slices: int = 64) -> DataFrame:
+def global_average_rank(df: DataFrame, value: str, *, slices: int | None = None) -> DataFrame:
     """Distinct values with their average rank over the whole frame (ties share it).
 
-    Equal values collapse first.  The distinct values are cut into slices at sketched
-    quantiles; each slice is ranked by itself and shifted by the counts of the slices
-    before it, so no task sorts the whole column.
+    Equal values collapse first.  The distinct values are range-partitioned and written with
+    the number of their partition; each partition is then ranked by itself and shifted by
+    the counts of the partitions before it, so no task sorts the whole column.  `slices`
+    defaults to the session's shuffle partitions.
     """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = counts.agg(
-        F.percentile_approx("v", [i / slices for i in range(1, slices)], ACCURACY).alias("cuts")
-    ).scalar()
-    past = F.size(F.filter("_cuts", lambda x: x <= F.col("v")))
-    sliced = counts.withColumn("_cuts", cuts).withColumn("_slice", past).drop("_cuts")
+    ranged = counts.repartitionByRange(slices, "v").withColumn("_slice", F.spark_partition_id())
+    sliced = materialize(ranged, "ranks")
     totals = sliced.groupBy("_slice").agg(F.sum("c").alias("_t"))
-    prior = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per slice.
+    prior = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("_slice", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_shift"))
     w = Window.partitionBy("_slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     out = sliced.join(F.broadcast(shift), "_slice").withColumn("_upto", F.col("_shift") + F.sum("c").over(w))

@@ -173,6 +173,21 @@ def j10(t):
     return asof.asof_backward(hourly(t).select("series_id", "ts"), large, "series_id")
 
 
+@query(
+    "j10_asof_repeated_keys",
+    with_sql(
+        """, f AS (SELECT event_type AS series_id, ts AS at, value FROM events WHERE value > 80)
+           SELECT e.event_id, f.value, f.at AS matched_ts FROM events e
+           ASOF LEFT JOIN f ON e.event_type = f.series_id AND date_trunc('hour', e.ts) >= f.at""".replace(", f AS", "WITH f AS", 1),
+    ),
+)
+def j10_repeated(t):
+    """Every event with the last large event before its hour began."""
+    large = t.events.where("value > 80").select(F.col("event_type").alias("series_id"), "ts", "value")
+    left = t.events.select("event_id", F.col("event_type").alias("series_id"), floor_hour("ts").alias("ts"))
+    return asof.asof_backward(left, large, "series_id", unique_left=False).select("event_id", "value", "matched_ts")
+
+
 @query(
     "j10_asof_daily_on_hours",
     with_sql(

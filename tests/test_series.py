@@ -215,6 +215,10 @@ def test_asof_across_empty_buckets(gappy):
     l, r = as_pandas(gappy.select("series_id", "ts")).sort_values("ts"), right.toPandas().sort_values("ts")
     want = pd.merge_asof(l, r.rename(columns={"value": "want"}), on="ts", by="series_id").sort_values(["series_id", "ts"]).reset_index(drop=True)
     np.testing.assert_allclose(got["value"].to_numpy(float), want["want"].to_numpy(float))
+    twice = gappy.select("series_id", "ts").unionByName(gappy.select("series_id", "ts"))
+    again = asof_backward(twice, right, "series_id", bucket="1 day", unique_left=False)
+    assert again.count() == 2 * len(got)
+    assert again.select("series_id", "ts", "value").distinct().where("value IS NOT NULL").count() == got["value"].notna().sum()
 
 
 def daily_prices(frame, prices, wind=500.0):
