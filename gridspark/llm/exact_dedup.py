@@ -20,12 +20,10 @@ from .common import lower_ascii
 
 def duplicate_groups(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct normalised text: text_sha256, other_hash, n_bytes, keep_id, group_size."""
-    norm = lower_ascii(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), norm.alias("_text"))
-    salted = rows.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt"))
-    # The text is a grouping key of both aggregates; its digest need not be carried beside it.
-    partial = salted.groupBy("_text", "_salt").agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
-    whole = partial.groupBy("_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), lower_ascii(F.col(text_col)).alias("_text"))
+    rows = rows.withColumns({"_digest": F.xxhash64("_text"), "_salt": F.pmod(F.xxhash64("_id"), F.lit(salts))})
+    partial = rows.groupBy("_digest", "_text", "_salt").agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+    whole = partial.groupBy("_digest", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
     return whole.select(*_keys(F.col("_text")), "keep_id", "group_size")
 
 

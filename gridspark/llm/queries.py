@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, url_filter
+from . import exact_dedup, packing, sharding, toxicity, url_filter
 from .common import table
 
 SHARD_BYTES = 16 << 20
@@ -18,12 +18,27 @@ def op6_extendible_sharding(spark, folder):
     return sharding.extendible_shards(table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def op8_best_fit_packing(spark, folder):
+    """Sequences of at most 1024 ids of all documents."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark, folder):
     """Groups of equal documents, all documents listed."""
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op6_extendible_sharding, op9_exact_dedup)}
+def op10_toxicity(spark, folder):
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_reputation, op6_extendible_sharding, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)
+}
 ORACLES = {
     "op1_url_reputation": url_filter.ORACLE,
     "op6_extendible_sharding": sharding.oracle(SHARD_BYTES),
