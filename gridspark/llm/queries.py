@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, near_dedup, packing, sharding, toxicity, url_filter
 from .common import table
 
 SHARD_BYTES = 16 << 20
@@ -13,6 +13,16 @@ def op1_url_reputation(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"))
 
 
+def op3_spaced_seed_decontamination(spark, folder):
+    """Documents that hold benchmark items."""
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_weighted_minhash(spark, folder):
+    """Classes of near-duplicate documents."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_extendible_sharding(spark, folder):
     """Shards of at most 16 MiB of all documents."""
     return sharding.extendible_shards(table(spark, folder, "documents"), SHARD_BYTES)
@@ -37,10 +47,19 @@ def op10_toxicity(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_reputation, op6_extendible_sharding, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)
+    for f in (
+        op1_url_reputation,
+        op3_spaced_seed_decontamination,
+        op4_weighted_minhash,
+        op6_extendible_sharding,
+        op8_best_fit_packing,
+        op9_exact_dedup,
+        op10_toxicity,
+    )
 }
 ORACLES = {
     "op1_url_reputation": url_filter.ORACLE,
+    "op3_spaced_seed_decontamination": decontamination.oracle(),
     "op6_extendible_sharding": sharding.oracle(SHARD_BYTES),
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
