@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, near_dedup, packing, recompression, sharding, toxicity, url_filter
 from .common import table
 
 SHARD_BYTES = 16 << 20
@@ -13,6 +13,11 @@ def op1_url_reputation(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"))
 
 
+def op2_recompression_dedup(spark, folder):
+    """Words that stay when passages of 13 words are removed after their first document."""
+    return recompression.drop_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op3_spaced_seed_decontamination(spark, folder):
     """Documents that hold benchmark items."""
     return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -49,6 +54,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_reputation,
+        op2_recompression_dedup,
         op3_spaced_seed_decontamination,
         op4_weighted_minhash,
         op6_extendible_sharding,
@@ -59,6 +65,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_url_reputation": url_filter.ORACLE,
+    "op2_recompression_dedup": recompression.ORACLE,
     "op3_spaced_seed_decontamination": decontamination.oracle(),
     "op6_extendible_sharding": sharding.oracle(SHARD_BYTES),
     "op9_exact_dedup": exact_dedup.ORACLE,

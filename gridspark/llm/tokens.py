@@ -74,3 +74,20 @@ def run_starts(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(size)), count)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     return first[:-1][text] + inside, text
+
+
+class Spans:
+    """Hashes of any stretches of a sequence, from running sums of a polynomial hash."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, values: np.ndarray, mixed: bool = False):
+        n = len(values)
+        powers = lambda b: np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64)))
+        self.back = powers(np.uint64(self.INVERSE))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((values if mixed else mix(values)) * powers(np.uint64(self.BASE))[:n], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
