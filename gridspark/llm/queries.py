@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, recompression, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, near_dedup, packing, recompression, sharding, suffix_dedup, toxicity, url_filter
 from .common import table
 
 SHARD_BYTES = 16 << 20
@@ -28,6 +28,11 @@ def op4_weighted_minhash(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_bucket_refinement_dedup(spark, folder):
+    """Bytes that stay when repeated strings of 200 bytes are removed."""
+    return suffix_dedup.drop_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op6_extendible_sharding(spark, folder):
     """Shards of at most 16 MiB of all documents."""
     return sharding.extendible_shards(table(spark, folder, "documents"), SHARD_BYTES)
@@ -57,6 +62,7 @@ QUERIES = {
         op2_recompression_dedup,
         op3_spaced_seed_decontamination,
         op4_weighted_minhash,
+        op5_bucket_refinement_dedup,
         op6_extendible_sharding,
         op8_best_fit_packing,
         op9_exact_dedup,

@@ -105,10 +105,12 @@ def find_runs(texts: pa.Array, window: int, rounds: int = 1) -> tuple[np.ndarray
     return runs_of(words, first, window, *landmarks(words, first, window, rounds))
 
 
-def runs_of(words: np.ndarray, first: np.ndarray, window: int, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of(
+    words: np.ndarray, first: np.ndarray, window: int, name: np.ndarray, lo: np.ndarray, hi: np.ndarray, mixed: bool = False
+) -> tuple[np.ndarray, ...]:
     """Neighbouring windows with the landmark [lo, hi) are one run.  A window reaches at least
     half of the words it has besides the landmark either to the left or to the right of it."""
-    span = Spans(words)
+    span = Spans(words, mixed)
     some = lo >= 0
     new = some & np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (name[1:] != name[:-1])])[: len(lo)]
     begin = np.flatnonzero(new)
