@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, packing, recompression, sharding, suffix_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, extraction, near_dedup, packing, recompression, sharding, suffix_dedup, toxicity, url_filter
 from .common import table
 
 SHARD_BYTES = 16 << 20
@@ -38,6 +38,11 @@ def op6_extendible_sharding(spark, folder):
     return sharding.extendible_shards(table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def op7_minimum_cut_extraction(spark, folder):
+    """Main text of every page."""
+    return extraction.extract(table(spark, folder, "pages"))
+
+
 def op8_best_fit_packing(spark, folder):
     """Sequences of at most 1024 ids of all documents."""
     import public_tokenizers
@@ -64,6 +69,7 @@ QUERIES = {
         op4_weighted_minhash,
         op5_bucket_refinement_dedup,
         op6_extendible_sharding,
+        op7_minimum_cut_extraction,
         op8_best_fit_packing,
         op9_exact_dedup,
         op10_toxicity,
