@@ -47,18 +47,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def overlaps(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, n_words (of the item),
-    n_matched (words of the item that stand at their places, for the best alignment).
-
-    A document holds an item if, in some alignment with a seed in common, at least `share` of
-    `window` consecutive words of the item (all, if it is shorter) are equal.  Items of 5 to 8
-    words have to occur word for word; shorter ones, empty and null texts never match.  Null
-    ids are returned as null.  Repeated rows give one row.  Extra columns are ignored.  Empty
-    tables give an empty result.
-    """
+def _alignments(docs: DataFrame, benchmark: DataFrame, window: int, share: float, id_col: str, text_col: str) -> DataFrame:
+    """Verified alignments: _id, _text_hash (of the document), item_id, _n, _matched."""
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("_h")).where(F.size("_h") >= LEAST).distinct()
     items = materialize(items.withColumn("_item", F.xxhash64("item_id", "_h")), "items")
     short = sorted(r[0] for r in items.select(F.size("_h")).where(F.size("_h") < SPAN).distinct().collect())  # 4 at most
@@ -74,28 +64,51 @@ def overlaps(
 
     keyed = docs.select(F.col(id_col).cast("long").alias("_id0"), F.xxhash64(text).alias("_hash0"), text.alias("_text"))
     same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_text_hash"))
-    found = keyed.join(small(hits), same).select("_id", "_item", "_shift", _hashes(F.col("_text")).alias("_d"))
+    found = keyed.join(small(hits), same).select("_id", "_text_hash", "_item", "_shift", _hashes(F.col("_text")).alias("_d"))
     found = found.join(small(items), "_item")
     n = F.size("_h")
     equal = F.transform(F.col("_h"), lambda w, j: F.when(F.get(F.col("_d"), F.col("_shift") + j) == w, 1).otherwise(0))
     size = F.when(n < SPAN, n).otherwise(F.least(n, F.lit(window)))
     need = F.when(n < SPAN, n).otherwise(F.ceil(size * F.lit(share)))
-    found = found.select("_id", "item_id", n.alias("_n"), equal.alias("_equal"), size.alias("_size"), need.alias("_need"))
+    found = found.select("_id", "_text_hash", "item_id", n.alias("_n"), equal.alias("_equal"), size.alias("_size"), need.alias("_need"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     enough = F.exists(
         F.sequence(F.lit(1), F.col("_n") - F.col("_size") + 1),
         lambda s: total(F.slice(F.col("_equal"), s, F.col("_size"))) >= F.col("_need"),
     )
-    return found.where(enough).groupBy(F.col("_id").alias("doc_id"), "item_id").agg(
-        F.max("_n").cast("long").alias("n_words"), F.max(total(F.col("_equal"))).cast("long").alias("n_matched")
+    return found.where(enough).select("_id", "_text_hash", "item_id", "_n", total(F.col("_equal")).alias("_matched"))
+
+
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per contaminated document and item: doc_id, item_id, n_words (of the item),
+    n_matched (words of the item that stand at their places, for the best alignment).
+
+    A document holds an item if, in some alignment with a seed in common, at least `share` of
+    `window` consecutive words of the item (all, if it is shorter) are equal.  Items of 5 to 8
+    words have to occur word for word; shorter ones, empty and null texts never match.  Null
+    ids are returned as null.  Repeated rows give one row.  Extra columns are ignored.  Empty
+    tables give an empty result.
+    """
+    found = _alignments(docs, benchmark, window, share, id_col, text_col)
+    return found.groupBy(F.col("_id").alias("doc_id"), "item_id").agg(
+        F.max("_n").cast("long").alias("n_words"), F.max("_matched").cast("long").alias("n_matched")
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows without a benchmark item, with all their columns."""
-    bad = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = _alignments(docs, benchmark, window, share, id_col, text_col).select("_id", "_text_hash").distinct()
     bad = small(materialize(bad, "contaminated"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
+    )
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_text_hash")), "left_anti").select("row.*")
 
 
 def oracle(window: int = WINDOW, share: float = SHARE) -> str:

@@ -62,11 +62,13 @@ def exact_dedup(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_co
 def drop_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat id and text, one."""
     kept = exact_dedup(docs, salts, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")
     )
-    keyed = docs.withColumns({"_sha0": F.sha2(lower_ascii(F.col(text_col)), 256), "_id0": F.col(id_col).cast("long")})
-    rows = keyed.join(kept, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates(["_id0", "_sha0"]).select(*docs.columns)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("sha")
+    )
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return rows.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 ORACLE = """

@@ -195,16 +195,9 @@ def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size.
-
-    Documents are in one class if a chain of links joins them; equal texts are linked, and
-    different ones if their Jaccard similarity, by weights or by plain
-    counts, is `similarity` or more.  The smallest
-    doc_id of a class names it (null if it has none).  Null texts count as empty; texts without
-    a word are linked to equal ones only.  Repeated rows are in one class and all returned.
-    Extra columns are ignored.  An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, node) and the nodes (node, class_id, class_size, first): a node is a
+    distinct text, `first` the one that stands for the class."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.unhex(F.md5("text")))
     idf = inverse_frequencies(rows)
@@ -217,19 +210,38 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     links = materialize(similar(pairs, texts, idf, similarity), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
-    nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "_least", "_n")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     nodes = materialize(nodes, "nodes")
-    classes = nodes.groupBy("root").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
-    nodes = nodes.join(classes, "root").select("node", "class_id", "class_size")
-    return rows.select("doc_id", "node").join(nodes, "node").select("doc_id", "class_id", "class_size")
+    named = F.struct(F.col("least").isNull(), "least", "node")
+    classes = nodes.groupBy("root").agg(
+        F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min(named)["node"].alias("first")
+    )
+    return rows.select("doc_id", "node"), nodes.join(classes, "root").select("node", "class_id", "class_size", "first")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, class_size.
+
+    Documents are in one class if a chain of links joins them; equal texts are linked, and
+    different ones if their Jaccard similarity, by weights or by plain counts, is `similarity`
+    or more.  The smallest doc_id of a class names it (null if it has none).  Null texts count
+    as empty; texts without a word are linked to equal ones only.  Repeated rows are in one
+    class and all returned.  Extra columns are ignored.  An empty table gives an empty result.
+    """
+    rows, nodes = _classes(docs, similarity, id_col, text_col)
+    return rows.join(nodes, "node").select("doc_id", "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every class the row with the smallest doc_id, with all its columns; of rows that
-    repeat that id, one."""
-    kept = near_duplicates(docs, similarity, id_col, text_col).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept"))
-    kept = kept.distinct()
-    rows = docs.withColumn("_id0", F.col(id_col).cast("long"))
-    rows = rows.join(kept, F.col("_id0").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["_id0"]).drop("_id0")
+    repeat id and text, one."""
+    _, nodes = _classes(docs, similarity, id_col, text_col)
+    kept = nodes.where("node = first").select("class_id", "first")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("id"),
+        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"),
+    )
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first")), "left_semi")
+    return rows.dropDuplicates(["id", "node"]).select("row.*")

@@ -283,4 +283,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     weights, model = train(docs, labels, **options)
-    return scored(docs, weights, model, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return scored(rows, weights, model).where("score < 0.5").select("row.*")
