@@ -128,14 +128,16 @@ def outage_capacity(frame: DataFrame, outages: DataFrame, column: str, now, *, t
     return patch(frame, cap, ts, [column], prefer="new")
 
 
-def spot_price(frame: DataFrame, feed: DataFrame, column: str, series=(), *, ts: str = "ts", cubic: bool = True) -> DataFrame:
+def spot_price(
+    frame: DataFrame, feed: DataFrame, column: str, series=(), *, ts: str = "ts", cubic: bool = True, order: str | None = None
+) -> DataFrame:
     """Stored prices win, the feed fills, then the gaps between known prices are
-    interpolated (cubic by default, linear otherwise)."""
+    interpolated (cubic by default, linear otherwise).  Of repeated feed times the last by
+    the feed's column `order` counts."""
     from .cubic import cubic_interpolate
 
     series = as_list(series)
-    rows = dedup(feed.select(*series, ts, column), [*series, ts], [column], keep="last")
-    out, keys = _keyed(patch(frame, rows, [*series, ts], [column], prefer="old"), series)
+    out, keys = _keyed(patch(frame, feed, [*series, ts], [column], prefer="old", order=order), series)
     out = cubic_interpolate(out, column, keys, ts) if cubic else interpolate(out, column, keys, ts)
     return out.drop("_one")
 

@@ -44,8 +44,13 @@ def patch(
     columns: Sequence[str],
     *,
     prefer: str = "new",
+    order: str | None = None,
 ) -> DataFrame:
-    """Left join of `updates` (unique on the keys) and a null-skipping merge per column.
+    """Left join of `updates` and a null-skipping merge per column.
+
+    Repeated keys of the updates are applied in the order of the column `order`, the last row
+    wins; without an order the row with the largest values does.  Rows of the base never
+    multiply.
 
     prefer="new": the patch wins where it has a value.  prefer="old": the patch only
     fills nulls.  A column the base lacks is created.
@@ -58,7 +63,7 @@ def patch(
             raise ValueError(f"missing key columns: {sorted(missing)}")
     if missing := set(columns) - set(updates.columns):
         raise ValueError(f"missing update columns: {sorted(missing)}")
-    right = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    right = last_rows(updates, keys, columns, order).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
     merged = base.join(right, keys, "left")
     out = {}
     for c in columns:
@@ -71,18 +76,27 @@ def patch(
     return merged.withColumns(out).select(*order)
 
 
-def update_frame(base: DataFrame, other: DataFrame, keys) -> DataFrame:
+def last_rows(df: DataFrame, keys, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last by `order`, or the one with the largest values."""
+    keys, columns = as_list(keys), [c for c in columns if c != order]
+    chosen = [order] if order else columns[:1]
+    kept = df.select(*keys, *dict.fromkeys([*chosen, *columns]))
+    return dedup(kept, keys, chosen)
+
+
+def update_frame(base: DataFrame, other: DataFrame, keys, *, order: str | None = None) -> DataFrame:
     """Overwrite with the other frame's non-nulls on shared keys and shared columns;
-    no row and no column is added."""
+    no row and no column is added.  Repeated keys as in `patch`."""
     keys = as_list(keys)
-    shared = [c for c in other.columns if c in base.columns and c not in keys]
-    return patch(base, other, keys, shared, prefer="new")
+    shared = [c for c in other.columns if c in base.columns and c not in keys and c != order]
+    return patch(base, other, keys, shared, prefer="new", order=order)
 
 
-def replace_feed(base: DataFrame, feed: DataFrame, keys, columns) -> DataFrame:
-    """The feed wins completely: its columns are dropped from the base and joined anew."""
+def replace_feed(base: DataFrame, feed: DataFrame, keys, columns, *, order: str | None = None) -> DataFrame:
+    """The feed wins completely: its columns are dropped from the base and joined anew.
+    Repeated keys as in `patch`."""
     keys, columns = as_list(keys), as_list(columns)
-    return base.drop(*columns).join(feed.select(*keys, *columns), keys, "left")
+    return base.drop(*columns).join(last_rows(feed, keys, columns, order).select(*keys, *columns), keys, "left")
 
 
 def coalesce_suffixed(df: DataFrame, left: str = "_x", right: str = "_y") -> DataFrame:
@@ -157,9 +171,15 @@ def union_keep_last(old: DataFrame, fresh: DataFrame, keys) -> DataFrame:
     return dedup(rows, keys, "source_rank", keep="last").drop("source", "source_rank")
 
 
-def collapse_batch(batch: DataFrame, keys, order: str) -> DataFrame:
-    """Repeated keys applied in order: per column the last non-null value."""
+def collapse_batch(batch: DataFrame, keys, order: str | None, null_policy: str = "skip") -> DataFrame:
+    """Repeated keys applied in order.  skip: per column the last non-null value; other
+    policies: the last row, nulls included.  Without an order the row with the largest
+    values stands for its key."""
     keys = as_list(keys)
+    if order is None:
+        return last_rows(batch, keys, [c for c in batch.columns if c not in keys])
+    if null_policy != "skip":
+        return dedup(batch, keys, order).drop(order)
     values = [c for c in batch.columns if c not in keys and c != order]
     return batch.groupBy(*keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values]

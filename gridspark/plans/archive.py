@@ -55,9 +55,9 @@ RANGES = """ranges AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdat
     date_trunc('month', o_orderdate) + INTERVAL 45 DAY AS "end" FROM orders)"""
 
 
-@query("j15_archive_join_chain", with_sql("SELECT s.run_id, s.ts, s.predicted, s.actual, r.run_datetime FROM scored s JOIN runs r USING (run_id) WHERE s.ts IN (SELECT DISTINCT o_orderdate FROM orders WHERE o_totalprice > 450000)", PREDICTIONS, ACTUALS, RUNS, SCORED))
+@query("j15_archive_join_chain", with_sql("SELECT s.run_id, s.ts, s.predicted, s.actual, r.run_datetime FROM scored s JOIN runs r USING (run_id) WHERE s.ts IN (SELECT DISTINCT o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT')", PREDICTIONS, ACTUALS, RUNS, SCORED))
 def x5(t):
-    wanted = t.orders.where("o_totalprice > 450000").select(F.col("o_orderdate").alias("ts"))
+    wanted = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").alias("ts"))
     return ar.get_predictions(runs(t), predictions(t), actuals(t), wanted)
 
 

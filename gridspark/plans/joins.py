@@ -63,6 +63,23 @@ def j2(t):
     return patch.patch(source(t, "F"), source(t, "O"), ["series_id", "ts"], ["value"], prefer="new")
 
 
+@query(
+    "j2_patch_repeated_keys",
+    with_sql(
+        """, feed AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, arg_max_null(value, event_id) AS value
+                      FROM (SELECT * REPLACE (CASE WHEN value > 20 THEN value END AS value) FROM events) GROUP BY 1, 2)
+           SELECT h.series_id, h.ts, round(coalesce(f.value, h.value), 6) AS value FROM hourly h LEFT JOIN feed f USING (series_id, ts)""",
+        HOURLY,
+    ),
+)
+def j2_repeated(t):
+    """Every event is an update of its hour: the last one decides, and no hour multiplies."""
+    feed = t.events.select(
+        F.col("event_type").alias("series_id"), floor_hour("ts").alias("ts"), "event_id", F.when(F.col("value") > 20, F.col("value")).alias("value")
+    )
+    return patch.patch(hourly(t), feed, ["series_id", "ts"], ["value"], prefer="new", order="event_id")
+
+
 GRID_DAILY = """dgrid AS (
     SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM store GROUP BY 1),
   dgapped AS (SELECT g.series_id, g.ts, s.value FROM dgrid g LEFT JOIN store s USING (series_id, ts))"""
@@ -161,44 +178,44 @@ def j9(t):
 @query(
     "j10_asof_backward",
     with_sql(
-        """, f AS (SELECT event_type AS series_id, ts AS at, value FROM events WHERE value > 80)
+        """, f AS (SELECT event_type AS series_id, ts AS at, value FROM events)
            SELECT h.series_id, h.ts, f.value, f.at AS matched_ts FROM hourly h
            ASOF LEFT JOIN f ON h.series_id = f.series_id AND h.ts >= f.at""",
         HOURLY,
     ),
 )
 def j10(t):
-    """The last large event at or before each hour."""
-    large = t.events.where("value > 80").select(F.col("event_type").alias("series_id"), "ts", "value")
-    return asof.asof_backward(hourly(t).select("series_id", "ts"), large, "series_id")
+    """The last event at or before each hour."""
+    feed = t.events.select(F.col("event_type").alias("series_id"), "ts", "value")
+    return asof.asof_backward(hourly(t).select("series_id", "ts"), feed, "series_id")
 
 
 @query(
     "j10_asof_repeated_keys",
     with_sql(
-        """, f AS (SELECT event_type AS series_id, ts AS at, value FROM events WHERE value > 80)
+        """, f AS (SELECT event_type AS series_id, ts AS at, value FROM events)
            SELECT e.event_id, f.value, f.at AS matched_ts FROM events e
            ASOF LEFT JOIN f ON e.event_type = f.series_id AND date_trunc('hour', e.ts) >= f.at""".replace(", f AS", "WITH f AS", 1),
     ),
 )
 def j10_repeated(t):
-    """Every event with the last large event before its hour began."""
-    large = t.events.where("value > 80").select(F.col("event_type").alias("series_id"), "ts", "value")
+    """Every event with the last event before its hour began."""
+    feed = t.events.select(F.col("event_type").alias("series_id"), "ts", "value")
     left = t.events.select("event_id", F.col("event_type").alias("series_id"), floor_hour("ts").alias("ts"))
-    return asof.asof_backward(left, large, "series_id", unique_left=False).select("event_id", "value", "matched_ts")
+    return asof.asof_backward(left, feed, "series_id", unique_left=False).select("event_id", "value", "matched_ts")
 
 
 @query(
     "j10_asof_daily_on_hours",
     with_sql(
-        """, f AS (SELECT o_orderdate AS at, round(avg(o_totalprice), 6) AS value FROM orders WHERE o_totalprice > 400000 GROUP BY 1)
+        """, f AS (SELECT o_orderdate AS at, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1)
            SELECT s.series_id, s.ts, f.value FROM ship s ASOF LEFT JOIN f ON s.ts >= f.at""",
         SHIP,
     ),
 )
 def j10_daily(t):
-    """Daily values with holes expanded over seven years of hours."""
-    d = t.orders.where("o_totalprice > 400000").groupBy(F.col("o_orderdate").alias("ts")).agg(rnd(F.avg("o_totalprice")).alias("value"))
+    """Daily values expanded over seven years of hours."""
+    d = t.orders.groupBy(F.col("o_orderdate").alias("ts")).agg(rnd(F.avg("o_totalprice")).alias("value"))
     left = ship(t).select("series_id", "ts")
     # Each series gets its own copy of the daily values; series are a few, days are bounded.
     right = d.withColumn("series_id", F.explode(F.array(*[F.lit(c) for c in ("A", "N", "R")])))
@@ -416,6 +433,25 @@ def k2(t):
     return update_existing(source(t, "F"), batch_rows(t), ["series_id", "ts"], ["value"])
 
 
+@query(
+    "k3_overwrite_repeated_keys",
+    with_sql(
+        """, feed AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, arg_max_null(value, event_id) AS value
+                      FROM (SELECT * REPLACE (CASE WHEN value > 20 THEN value END AS value) FROM events WHERE event_id % 3 = 0) GROUP BY 1, 2)
+           SELECT h.series_id, h.ts, round(CASE WHEN f.ts IS NULL THEN h.value ELSE f.value END, 6) AS value,
+                  CASE WHEN f.ts IS NULL THEN 'kept' ELSE 'updated' END AS _change FROM hourly h LEFT JOIN feed f USING (series_id, ts)""",
+        HOURLY,
+    ),
+)
+def k3_repeated(t):
+    """A third of the events overwrite their hour one after the other; a last null erases."""
+    batch = t.events.where("event_id % 3 = 0").select(
+        F.col("event_type").alias("series_id"), floor_hour("ts").alias("ts"), "event_id", F.when(F.col("value") > 20, F.col("value")).alias("value")
+    )
+    batch = patch.collapse_batch(batch, ["series_id", "ts"], "event_id", "overwrite")
+    return upsert_frame(hourly(t), batch, ["series_id", "ts"], null_policy="overwrite")
+
+
 @query(
     "k3_upsert_overwrite",
     with_sql(UPSERT.format(value="CASE WHEN f.ts IS NOT NULL THEN f.value ELSE s.value END"), DAILY, STORE, FRESH, BATCH),

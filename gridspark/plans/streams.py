@@ -16,10 +16,10 @@ def event_stream(t):
     return reader.parquet(t.folder).withColumnRenamed("event_type", "series_id")
 
 
-def landed_stream(t, files: int):
+def landed_stream(t, files: int, day=None):
     """The events landed as one file per day, a few files per micro-batch, oldest first."""
     path = scratch_path(t.spark, "landing")
-    days = t.events.withColumn("day", F.to_date("ts"))
+    days = t.events.withColumn("day", F.to_date("ts") if day is None else day)
     days.repartition("day").write.partitionBy("day").parquet(path)
     schema = SCHEMAS["events"] + ", day date"
     reader = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
@@ -88,8 +88,10 @@ def t4(t):
     """SELECT event_type AS series_id, ts, last_value(CASE WHEN value > 60 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts) AS value FROM events""",
 )
 def t5(t):
-    """Low readings are missing and repeat the last known one."""
+    """Low readings are missing and repeat the last known one.  The series land some days
+    apart, three days to a micro-batch, so the batches overlap in time."""
     path, check = scratch_path(t.spark, "carried"), scratch_path(t.spark, "carried-checkpoint")
-    rows = event_stream(t).select("series_id", "ts", F.when(F.col("value") > 60, F.col("value")).alias("value"))
+    late = F.to_date("ts") + F.pmod(F.ascii("event_type"), F.lit(5))
+    rows = landed_stream(t, 3, late).select("series_id", "ts", F.when(F.col("value") > 60, F.col("value")).alias("value"))
     st.write_carried(rows, path, check, "series_id").awaitTermination()
     return t.spark.read.schema("series_id string, ts timestamp, value double, batch int").parquet(f"{path}/rows").drop("batch")

@@ -487,7 +487,7 @@ def c3_backup(t):
 
 COMBINED = """combined AS (
     SELECT coalesce(h.series_id, f.series_id) AS series_id, coalesce(h.ts, f.ts) AS ts, coalesce(h.value, f.value) AS value
-    FROM (SELECT series_id, ts, value FROM hourly, now_ WHERE ts <= now AND value > 15) h
+    FROM (SELECT series_id, ts, CASE WHEN value > 15 THEN value END AS value FROM hourly, now_ WHERE ts <= now) h
     FULL JOIN (SELECT series_id, ts, value + 1 AS value FROM hourly, now_ WHERE ts >= now - INTERVAL 2 DAY) f ON h.series_id = f.series_id AND h.ts = f.ts),
   cgrid AS (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM combined GROUP BY 1),
   cgapped AS (SELECT g.series_id, g.ts, c.value FROM cgrid g LEFT JOIN combined c USING (series_id, ts))"""
@@ -505,7 +505,7 @@ COMBINED = """combined AS (
 def c4(t):
     """History up to now, forecast from two days before; history wins the overlap."""
     h, at = hourly(t).withColumnRenamed("series_id", "location"), now(t)
-    history = h.where((F.col("ts") <= at) & (F.col("value") > 15))
+    history = h.where(F.col("ts") <= at).withColumn("value", F.when(F.col("value") > 15, F.col("value")))
     forecast = h.where(F.col("ts") >= at - F.expr("INTERVAL 2 DAYS")).withColumn("value", F.col("value") + 1)
     return feeds.location_wind(wide(t).select("ts", "purchase", "click"), history, forecast, ["click", "error", "view"])
 
@@ -522,7 +522,8 @@ def c4(t):
 )
 def c5(t):
     feed = lambda e: t.events.where(F.col("event_type") == e).select("ts", "value")
-    return feeds.wind_power(wide(t).select("ts", "purchase"), feed("click"), feed("view"), feed("signup").where("value > 100"), now(t))
+    capacity = feed("signup").withColumn("value", F.when(F.col("value") > 100, F.col("value")))
+    return feeds.wind_power(wide(t).select("ts", "purchase"), feed("click"), feed("view"), capacity, now(t))
 
 
 @query(
@@ -551,14 +552,14 @@ def c6(t):
 )
 def c7(t):
     frame = wide(t).select("ts", F.col("purchase").alias("price"))
-    feed = wide(t).where("view > 60").select("ts", F.col("view").alias("price"))
+    feed = wide(t).select("ts", F.when(F.col("view") > 60, F.col("view")).alias("price"))
     return feeds.spot_price(frame, feed, "price", cubic=False)
 
 
 @query("c7_spot_price_cubic")
 def c7_cubic(t):
     frame = wide(t).select("ts", F.col("purchase").alias("price"))
-    feed = wide(t).where("view > 60").select("ts", F.col("view").alias("price"))
+    feed = wide(t).select("ts", F.when(F.col("view") > 60, F.col("view")).alias("price"))
     return feeds.spot_price(frame, feed, "price")
 
 
@@ -579,7 +580,7 @@ def _lerp_sql(c: str) -> str:
     "c9_irradiance",
     with_sql(
         """, x AS (SELECT ts, coalesce(sum(value), 0) AS sum_irradiance, avg(value) AS mean_irradiance, stddev_samp(value) AS std_irradiance,
-                  min(value) AS min_irradiance, max(value) AS max_irradiance FROM hourly WHERE value > 45 GROUP BY 1),
+                  min(value) AS min_irradiance, max(value) AS max_irradiance FROM (SELECT ts, CASE WHEN value > 45 THEN value END AS value FROM hourly) GROUP BY 1),
              g AS (SELECT unnest(generate_series((SELECT min(ts) FROM x), (SELECT max(ts) FROM x), INTERVAL 1 HOUR)) AS ts),
              j AS (SELECT ts, x.* EXCLUDE (ts) FROM g LEFT JOIN x USING (ts)),
              b AS (SELECT * REPLACE (coalesce(first_value(sum_irradiance IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
@@ -596,15 +597,15 @@ def _lerp_sql(c: str) -> str:
 def c9(t):
     """Hours with large values only, so that the statistics have holes; the history covers
     the hours up to now, the forecast the hours after."""
-    rows, at = hourly(t).where("value > 45"), now(t)
+    rows, at = hourly(t).withColumn("value", F.when(F.col("value") > 45, F.col("value"))), now(t)
     return feeds.irradiance(wide(t).select("ts"), rows.where(F.col("ts") <= at), rows.where(F.col("ts") > at))
 
 
 @query(
     "c10_hydrology",
     with_sql(
-        """, kept AS (SELECT * FROM places WHERE ts <= TIMESTAMP '2000-06-30'),
-             kgrid AS (SELECT place, unnest(generate_series(min(ts), TIMESTAMP '2000-06-30', INTERVAL 1 DAY)) AS ts FROM kept GROUP BY 1),
+        """, kept AS (SELECT * FROM places),
+             kgrid AS (SELECT place, unnest(generate_series(min(ts), TIMESTAMP '2002-12-31', INTERVAL 1 DAY)) AS ts FROM kept GROUP BY 1),
              carried AS (SELECT g.ts, last_value(k.value IGNORE NULLS) OVER (PARTITION BY g.place ORDER BY g.ts) AS value FROM kgrid g LEFT JOIN kept k USING (place, ts)),
              d AS (SELECT CAST(ts AS DATE) AS date, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.1) AS q FROM carried WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY 1),
              f AS (SELECT ts, max(value) AS held FROM ship GROUP BY 1)
@@ -614,16 +615,15 @@ def c9(t):
     digits=4,
 )
 def c10(t):
-    """Seven years of hours; readings up to the middle of 2000, refreshed from 1996 on."""
-    rows = places(t).where("ts <= TIMESTAMP '2000-06-30 00:00:00'")
+    """Seven years of hours, refreshed from 1996 on."""
     frame = ship(t).groupBy("ts").agg(F.max("value").alias("hydro_median"))
-    return feeds.hydrology(frame, rows, start="1996-01-01 00:00:00", end="2000-06-30 00:00:00")
+    return feeds.hydrology(frame, places(t), start="1996-01-01 00:00:00", end="2002-12-31 00:00:00")
 
 
 @query(
     "c11_hydrology_backfill",
     with_sql(
-        """, d AS (SELECT date_trunc('day', ts) AS ts, round(avg(value), 6) AS median FROM events WHERE event_type = 'error' AND value > 120 GROUP BY 1)
+        """, d AS (SELECT date_trunc('day', ts) AS ts, round(avg(value), 6) AS median FROM events WHERE event_type = 'error' GROUP BY 1)
            SELECT w.ts, d.median FROM wide w ASOF LEFT JOIN d ON w.ts >= d.ts WHERE w.ts BETWEEN TIMESTAMP '2024-01-04' AND TIMESTAMP '2024-01-28'""",
         WIDE,
     ),
@@ -631,7 +631,7 @@ def c10(t):
 def c11(t):
     from .registry import rnd
 
-    d = t.events.where("event_type = 'error' AND value > 120").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(rnd(F.avg("value")).alias("median"))
+    d = t.events.where("event_type = 'error'").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(rnd(F.avg("value")).alias("median"))
     return feeds.hydrology_backfill(wide(t), d, ["median"], start="2024-01-04 00:00:00", end="2024-01-28 00:00:00")
 
 
@@ -642,7 +642,7 @@ def c11(t):
              r AS (SELECT s.series_id, g.ts FROM (SELECT DISTINCT series_id FROM hourly) s CROSS JOIN (
                    SELECT unnest(generate_series(TIMESTAMP '2023-12-31', (SELECT now FROM now_), INTERVAL 1 HOUR)) AS ts) g),
              slice AS (SELECT r.series_id, r.ts, st.t, st.ws FROM r LEFT JOIN st USING (series_id, ts)),
-             cand AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(max(value), 6) AS t, round(min(value), 6) AS ws FROM events WHERE user_id < 50 GROUP BY 1, 2),
+             cand AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(max(value), 6) AS t, round(min(value), 6) AS ws FROM events GROUP BY 1, 2),
              merged AS (SELECT s.series_id, s.ts, coalesce(c.t, s.t) AS t, coalesce(c.ws, s.ws) AS ws FROM slice s LEFT JOIN cand c USING (series_id, ts)),
              b AS (SELECT series_id, count(*) AS expected, count(*) - count(t) AS mt, count(*) - count(ws) AS mw FROM slice GROUP BY 1),
              a AS (SELECT series_id, count(*) - count(t) AS mt, count(*) - count(ws) AS mw FROM merged GROUP BY 1)
@@ -660,7 +660,7 @@ def gap_inputs(t):
     from .registry import rnd
 
     store = hourly(t).select("series_id", "ts", F.col("value").alias("t"), F.when(F.col("value") > 30, F.col("value")).alias("ws"))
-    cand = t.events.where("user_id < 50").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts")).agg(
+    cand = t.events.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts")).agg(
         rnd(F.max("value")).alias("t"), rnd(F.min("value")).alias("ws")
     )
     lit = lambda s: F.lit(s).cast("timestamp")
@@ -687,7 +687,7 @@ def c15_ranges(t):
     "c15_gap_plan_updates",
     with_sql(
         """, st AS (SELECT series_id, ts, value AS t, CASE WHEN value > 30 THEN value END AS ws FROM hourly),
-             cand AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(max(value), 6) AS t, round(min(value), 6) AS ws FROM events WHERE user_id < 50 GROUP BY 1, 2)
+             cand AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(max(value), 6) AS t, round(min(value), 6) AS ws FROM events GROUP BY 1, 2)
            SELECT c.* FROM cand c LEFT JOIN st s USING (series_id, ts), now_ WHERE c.ts <= now AND (s.t IS NULL OR s.ws IS NULL)""",
         HOURLY, NOW,
     ),

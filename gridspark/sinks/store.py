@@ -79,11 +79,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_store(df: DataFrame, path: str, ts: str = "ts", *, files_per_date: int = 1) -> None:
-    """Rows into date partitions, each overwritten as a whole.  A date is spread over
-    `files_per_date` tasks by its hour and keys, so a hot date does not sit in one."""
+    """Rows into date partitions, each overwritten as a whole.  A date is spread over at least
+    `files_per_date` tasks by a hash of its rows; the rebalancing exchange splits it further
+    by size, so a hot date does not sit in one task."""
     out = df.withColumn(DATE, F.to_date(ts))
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_date))
-    out.repartition(DATE, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date))
+    out.withColumn("_spread", spread).hint("rebalance", DATE, "_spread").drop("_spread").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         DATE
     ).parquet(path)
 
@@ -102,12 +103,11 @@ def upsert(
 ) -> UpsertResult:
     """Null-skipping upsert; returns the numbers of inserted and updated rows.
 
-    Repeated keys in the batch are applied in the order of the column `order`.
+    Repeated keys in the batch are applied in the order of the column `order`; without one the
+    row with the largest values stands for its key.
     """
     keys = as_list(keys)
-    if order is not None:
-        batch = collapse_batch(batch, keys, order)
-    batch = materialize(batch, "batch")
+    batch = materialize(collapse_batch(batch, keys, order, null_policy), "batch")
     if not _exists(spark, path):
         write_store(batch, path, ts, files_per_date=files_per_date)
         return UpsertResult(batch.count(), 0)

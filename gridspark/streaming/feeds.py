@@ -33,7 +33,13 @@ def dedup_stream(stream: DataFrame, keys: str | Sequence[str], *, ts: str = "ts"
 
 
 def episode_stream(stream: DataFrame, series, *, ts: str = "ts", gap: str = "3 hours", delay: str = "2 hours") -> DataFrame:
-    """Episodes of rows at most `gap` apart."""
+    """Episodes of rows at most `gap` apart.
+
+    Spark merges a task's rows of one session before they are shuffled
+    (`spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`, set here), so what
+    reaches the one state key of a series is a few partial sessions per task, not its rows.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     s = F.session_window(ts, gap)
     out = stream.withWatermark(ts, delay).groupBy(*as_list(series), s.alias("_s")).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_ts"))
     return out.select(*as_list(series), F.col("_s.start").alias("episode_start"), "last_ts", "n")
@@ -70,9 +76,9 @@ def write_carried(stream: DataFrame, path: str, checkpoint: str, series, *, ts:
         seed = None
         if batch_id > 0 and _exists(spark, f"{path}/state/batch={batch_id - 1}"):
             seed = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
-            first = batch.agg(F.min(ts)).scalar()
-            older = seed.where(F.col(ts) < first).withColumn("_new", F.lit(False))
-            rows = rows.unionByName(older.select(*rows.columns))
+            # Series reach the batch at times of their own: every seed stays, just before its time.
+            known = seed.withColumns({ts: F.col(ts) - F.expr("INTERVAL 1 MICROSECOND"), "_new": F.lit(False)})
+            rows = rows.unionByName(known.select(*rows.columns))
         filled = forward_fill(rows, value, keys, ts).where("_new").drop("_new")
         filled.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         known = batch.where(F.col(value).isNotNull()).select(*keys, ts, value)
