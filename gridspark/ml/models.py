@@ -11,6 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +41,22 @@ def _require(df: DataFrame, features: Sequence[str]) -> None:
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], target: str, *, validation: str, max_iter: int = 40, depth: int = 5) -> Trained:
-    """Boosted trees with early stopping on the rows marked by `validation`, then a refit
-    on all rows with the number of trees found."""
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol=target, maxIter=max_iter, maxDepth=depth, seed=SEED, stepSize=0.1,
-        validationIndicatorCol=validation, validationTol=0.001,
-    )
-    probe = Pipeline(stages=[assembler(features), gbt]).fit(train)
-    trees = probe.stages[-1].getNumTrees
-    held = predict(probe, train.where(F.col(validation)), features)
-    evaluation = forecast_evaluation(held.withColumn("ts", F.lit(None).cast("timestamp")), target, "prediction").drop("first_ts", "last_ts")
-    final = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max(trees, 1), maxDepth=depth, seed=SEED, stepSize=0.1)
-    model = Pipeline(stages=[assembler(features), final]).fit(train)
-    return Trained(model, list(features), trees, evaluation)
+    """Boosted trees.  All `max_iter` rounds run on the rows that `validation` does not mark;
+    the number of trees with the least error on the marked rows, whatever rounds came after a
+    worse one, is kept; its metrics on those rows are returned with a model of that many
+    trees refitted on all rows."""
+
+    def boosted(rounds: int, rows: DataFrame) -> PipelineModel:
+        learner = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, seed=SEED, stepSize=0.1)
+        return Pipeline(stages=[assembler(features), learner]).fit(rows)
+
+    fitted, held = train.where(~F.col(validation)), train.where(F.col(validation))
+    probe = boosted(max_iter, fitted)
+    errors = probe.stages[-1].evaluateEachIteration(probe.stages[0].transform(held), "squared")
+    trees = int(np.argmin(errors)) + 1
+    # The same rows and seed give the same first trees.
+    best = probe if trees == max_iter else boosted(trees, fitted)
+    return Trained(boosted(trees, train), list(features), trees, evaluate(predict(best, held, features), target))
 
 
 def train_price_model(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], **kw) -> Trained:
@@ -127,8 +131,8 @@ def predict_volatility(trained: Volatility, daily: DataFrame) -> DataFrame:
 
 REGRESSORS: dict[str, Callable[..., object]] = {
     "linear": lambda target: LinearRegression(labelCol=target, regParam=0.001),
-    "random_forest": lambda target: RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=SEED),
-    "boosted_trees": lambda target: GBTRegressor(labelCol=target, maxIter=15, maxDepth=4, seed=SEED),
+    "random_forest": lambda target: RandomForestRegressor(labelCol=target, numTrees=100, maxDepth=5, seed=SEED),
+    "boosted_trees": lambda target: GBTRegressor(labelCol=target, maxIter=40, maxDepth=5, seed=SEED),
 }
 
 
@@ -168,14 +172,25 @@ def mean_over_folds(per_fold: DataFrame) -> DataFrame:
     ).withColumn("rmse", F.sqrt("mse"))
 
 
-def grid_search(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict], *, folds: int = 3) -> DataFrame:
-    """Mean fold metrics for every parameter set of boosted trees, best first."""
+#: Parameter sets by model.
+GRIDS: dict[str, list[dict]] = {
+    "linear": [{"regParam": r, "elasticNetParam": e} for r in (0.001, 0.1) for e in (0.0, 0.5)],
+    "boosted_trees": [{"maxIter": 20, "maxDepth": d} for d in (3, 5)],
+}
+LEARNERS = {"linear": LinearRegression, "boosted_trees": lambda **kw: GBTRegressor(seed=SEED, **kw)}
+
+
+def grid_search(
+    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict] | None = None, *, folds: int = 3, model: str = "boosted_trees"
+) -> DataFrame:
+    """Mean fold metrics for every parameter set of the model, best first."""
+    grid = GRIDS[model] if grid is None else grid
     results = None
     data = assembler(features).transform(random_folds(df, key, folds)).select("fold", target, "features")
     for i, params in enumerate(grid):
         scored = None
         for k in range(folds):
-            learner = GBTRegressor(labelCol=target, seed=SEED, **params)
+            learner = LEARNERS[model](labelCol=target, **params)
             out = learner.fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k)).select("fold", target, "prediction")
             scored = out if scored is None else scored.unionByName(out)
         row = mean_over_folds(evaluate(scored, target, ["fold"])).select(F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), "*")
@@ -183,14 +198,17 @@ def grid_search(df: DataFrame, features: Sequence[str], target: str, key: Sequen
     return results.orderBy("rmse", "trial")
 
 
-def nested_search(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict], *, outer: int = 5, inner: int = 3) -> DataFrame:
+def nested_search(
+    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict] | None = None, *, outer: int = 5, inner: int = 3, model: str = "linear"
+) -> DataFrame:
     """Search inside each outer training part; metrics of the winner on the outer fold."""
+    grid = GRIDS[model] if grid is None else grid
     data, scored = random_folds(df, key, outer, seed=7, name="outer_fold"), None
     for k in range(outer):
         train, test = data.where(F.col("outer_fold") != k), data.where(F.col("outer_fold") == k)
-        best = grid[grid_search(train, features, target, key, grid, folds=inner).first()["trial"]]
-        model = Pipeline(stages=[assembler(features), GBTRegressor(labelCol=target, seed=SEED, **best)]).fit(train)
-        out = model.transform(test).select("outer_fold", target, "prediction")
+        best = grid[grid_search(train, features, target, key, grid, folds=inner, model=model).first()["trial"]]
+        winner = Pipeline(stages=[assembler(features), LEARNERS[model](labelCol=target, **best)]).fit(train)
+        out = winner.transform(test).select("outer_fold", target, "prediction")
         scored = out if scored is None else scored.unionByName(out)
     return evaluate(scored, target, ["outer_fold"])
 
@@ -213,11 +231,7 @@ def feature_map(df: DataFrame, features: Sequence[str], target: str, ts: str = "
     if len(names) < 3:
         raise ValueError("a feature map needs at least three varying features")
     rows = df.select(*[F.col(c).try_cast("double").alias(c) for c in [*features, target]]).dropna("any")
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    r = rows.agg(*[F.corr(names[i], names[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
-    corr = np.eye(len(names))
-    for i, j in pairs:
-        corr[i, j] = corr[j, i] = r[f"r{i}_{j}"]
+    corr = Correlation.corr(assembler(names).transform(rows), "features").first()[0].toArray()
     vals, vecs = np.linalg.eigh(corr)
     top = np.argsort(vals)[::-1][:3]
     xyz = vecs[:, top] * np.sqrt(np.clip(vals[top], 0.0, None))

@@ -132,27 +132,24 @@ def sampled_metrics(
 ) -> DataFrame:
     """Error metrics of seeded random samples of `size` rows, one row per replicate.
 
-    Each replicate orders rows by its own hash of the key; a top-`size` per replicate is
-    found inside salted groups first, so no task sorts a whole replicate.
+    Each replicate orders rows by its own hash of the key and takes exactly the first `size`
+    (all, if there are fewer): first within salted groups, of which Spark keeps `size` rows
+    per task before the shuffle, then among the salts' winners.
     """
     from pyspark.sql import Window
 
     from .quantile import stable_hash
 
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    # Threshold that keeps about four times the wanted rows, then an exact cut.
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    share = F.least(F.lit(1.0), F.lit(4.0 * size) / total)
     parts = F.array(
         *[F.struct(F.lit(r).alias("replicate"), stable_hash(*key, seed=r).alias("h")) for r in range(replicates)]
     )
-    near = (
-        rows.select(actual, predicted, F.explode(parts).alias("_r"))
-        .select(actual, predicted, "_r.replicate", "_r.h")
-        .where(F.col("h") <= share)
-    )
-    w = Window.partitionBy("replicate").orderBy("h", actual, predicted)
-    sample = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size)
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*key), F.lit(salts)).alias("_salt")
+    sample = rows.select(actual, predicted, salt, F.explode(parts).alias("_r")).select(actual, predicted, "_salt", "_r.replicate", "_r.h")
+    for group in (["replicate", "_salt"], ["replicate"]):
+        w = Window.partitionBy(*group).orderBy("h", actual, predicted)
+        sample = sample.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
     return forecast_evaluation(sample.withColumn("ts", F.lit(None).cast("timestamp")), actual, predicted, "replicate").drop(
         "first_ts", "last_ts"
     )

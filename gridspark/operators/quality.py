@@ -179,8 +179,8 @@ def window_audit(df: DataFrame, windows: DataFrame, series: str | Sequence[str],
     )
     n_expected = hours.agg(F.count(F.lit(1))).scalar()
     weights = hours.groupBy(ts).agg(F.count(F.lit(1)).alias("_w"))
-    # Driver-made windows of some days each: a few thousand hours at most.
-    held = df.join(F.broadcast(weights), ts).groupBy(*series).agg(
+    # Spark broadcasts the hours of the windows if they are few.
+    held = df.join(weights, ts).groupBy(*series).agg(
         *[F.sum(F.when(F.col(c).isNotNull(), F.col("_w"))).alias(c) for c in columns]
     )
     every = df.select(*series).distinct().join(held, series, "left")

@@ -1,9 +1,10 @@
 """Exact quantiles and ranks without gathering a group in one task.
 
 `percentile` keeps every distinct value of a group in one buffer.  That is right for
-groups of proven size (the hours of a day, the places of a metric); for groups that grow
-with the table the functions here bracket the answer with a bounded sketch, count what
-lies below exactly, and sort only what lies inside the bracket.
+groups of proven size (the hours of a day); for groups that grow with the table,
+`exact_quantiles` and `global_average_rank` range-partition the values, and
+`quantile_values` brackets the answer with bounded sketches, counts what lies below
+exactly, and sorts only what lies inside the last bracket.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .buckets import as_list, salted_join
+from .buckets import as_list
 
-# Sketch accuracy: a bracket holds at most SMALL * ACCURACY rows or 8 / ACCURACY of a group.
+# Accuracy of the sketches that bracket a whole-column quantile.
 ACCURACY = 10_000
-SMALL = 4
 # Whole-column quantiles sort at most GATHER * ACCURACY distinct values in one task.
 GATHER = 10
 
@@ -31,7 +31,8 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float], *, accura
     inside their brackets, and per wanted rank the one value that holds it.  Bracket bounds
     are literals, so later scans can skip row groups.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    # Every narrowing reads the column again, so the column is written once.
+    rows = materialize(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), "column")
     n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
     if not n:
         return [None] * len(probs)
@@ -77,7 +78,17 @@ def _values_at(rows: DataFrame, lo: float, hi: float, below: int, inside: int, r
             ).first()
             found: dict[int, float] = {}
             for k, ((a, z), wanted) in enumerate(brackets.items()):
-                found |= _values_at(rows, a, z, below + counts[k], counts[len(brackets) + k], wanted, accuracy)
+                first, size = below + counts[k], counts[len(brackets) + k]
+                # A sketch may miss its rank; the counts are exact and tell on which side.
+                parts = (
+                    (a, z, first, size, [r for r in wanted if first <= r < first + size]),
+                    (lo, a, below, first - below + 1, [r for r in wanted if r < first]),
+                    (z, hi, None, below + inside - first - size + 1, [r for r in wanted if r >= first + size]),
+                )
+                for from_, to, under, held, ranks_ in parts:
+                    if ranks_:
+                        under = rows.where(F.col("_v") < from_).count() if under is None else under
+                        found |= _values_at(rows, from_, to, under, held, ranks_, accuracy)
             return found
     w = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     tied = span.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -90,79 +101,39 @@ def _values_at(rows: DataFrame, lo: float, hi: float, below: int, inside: int, r
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    groups: str | Sequence[str],
-    *,
-    accuracy: int = ACCURACY,
+    df: DataFrame, value: str, probs: Sequence[float], groups: str | Sequence[str], *, slices: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group, columns q0, q1, … in the order
-    of `probs`, and `n`, the number of non-null values."""
+    of `probs`, and `n`, the number of non-null values.
+
+    Equal values collapse first; the distinct values are range-partitioned over all groups
+    and written with the number of their partition.  Each (group, partition) is ranked by
+    itself and shifted by the counts of the group's partitions before it, so a group of any
+    size is spread over as many tasks as its share of the values.  `slices` defaults to the
+    session's shuffle partitions.
+    """
     keys = as_list(groups)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    inner = [i for i, p in enumerate(probs) if 0.0 < p < 1.0]
-    margin = 3.0 / accuracy
-    low = [max(0.0, probs[i] - margin) for i in inner]
-    high = [min(1.0, probs[i] + margin) for i in inner]
-    ends = [F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
-    extreme = {i: "_min" if probs[i] <= 0.0 else "_max" for i in range(len(probs)) if i not in inner}
-    if not inner:
-        out = rows.groupBy(*keys).agg(*ends)
-        return out.select(*keys, "n", *[F.col(extreme[i]).alias(f"q{i}") for i in range(len(probs))])
-    sketch = rows.groupBy(*keys).agg(
-        *ends,
-        F.percentile_approx("_v", low, accuracy).alias("_low"),
-        F.percentile_approx("_v", high, accuracy).alias("_high"),
-    )
-    # One bracket per wanted probability.  The margin outweighs the sketch's error by some
-    # rows unless the group is small; then the bracket is opened to the true ends.
-    small = F.col("n") <= SMALL * accuracy
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(probs[i]) * (F.col("n") - 1)).alias("rank"),
-                F.when(small | F.lit(low[k] <= 0.0), F.col("_min")).otherwise(F.col("_low")[k]).alias("lo"),
-                F.when(small | F.lit(high[k] >= 1.0), F.col("_max")).otherwise(F.col("_high")[k]).alias("hi"),
-            )
-            for k, i in enumerate(inner)
-        ]
-    )
-    sketch = sketch.select(*keys, F.struct("n", "_min", "_max").alias("_ends"), brackets.alias("_brackets"))
-    joined = salted_join(rows, sketch, keys)
-    names = [f"_b{k}" for k in range(len(inner))]
-    below = joined.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col("_brackets")[k]["lo"]).alias(b) for k, b in enumerate(names)]
-    )
-    matches = [
-        F.when(F.col("_v").between(F.col("_brackets")[k]["lo"], F.col("_brackets")[k]["hi"]), F.col("_brackets")[k])
-        for k in range(len(inner))
-    ]
-    inside = (
-        joined.where(F.coalesce(*matches).isNotNull())
-        .select(*keys, "_ends", "_v", F.explode(F.array(*matches)).alias("_k"))
-        .where("_k IS NOT NULL")
-        .groupBy(*keys, F.col("_k.i").alias("_i"), F.col("_k.rank").alias("_rank"), "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_ends").alias("_ends"))
-    )
-    start = F.coalesce(*[F.when(F.col("_i") == i, F.col(b)) for i, b in zip(inner, names)])
-    w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.join(below, keys).withColumn("_last", start + F.sum("_c").over(w) - 1)
-    ranked = ranked.withColumn("_first", F.col("_last") - F.col("_c") + 1)
-    floor, ceil = F.floor("_rank"), F.ceil("_rank")
-    at = lambda r: F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("_v")))
-    picked = ranked.groupBy(*keys, "_i", "_rank").agg(
-        F.first("_ends").alias("_ends"), at(floor).alias("_a"), at(ceil).alias("_z")
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sliced = materialize(counts.repartitionByRange(slices, *keys, "_v").withColumn("_slice", F.spark_partition_id()), "quantiles")
+    # A group has a row per partition that it reaches into: `slices` at most.
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_t"))
+    prior = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *keys, "_slice", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(*keys)).alias("n")
     )
-    line = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
-    value_of = F.coalesce(line, missed.cast("double"))
-    out = picked.groupBy(*keys).agg(
-        F.first("_ends").alias("_ends"), *[F.max(F.when(F.col("_i") == i, value_of)).alias(f"q{i}") for i in inner]
+    w = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.join(totals, [*keys, "_slice"]).withColumn("_last", F.col("_before") + F.sum("_c").over(w) - 1)
+    held = lambda r: F.max(F.when((F.col("_last") - F.col("_c") < r) & (r <= F.col("_last")), F.col("_v")))
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ends = ranked.groupBy(*keys).agg(
+        F.first("n").alias("n"),
+        *[held(F.floor(x)).alias(f"_a{i}") for i, x in enumerate(at)],
+        *[held(F.ceil(x)).alias(f"_z{i}") for i, x in enumerate(at)],
     )
-    pick = [F.col(f"_ends.{extreme[i]}" if i in extreme else f"q{i}").alias(f"q{i}") for i in range(len(probs))]
-    return out.select(*keys, "_ends.n", *pick)
+    line = [F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (x - F.floor(x)) for i, x in enumerate(at)]
+    return ends.select(*keys, "n", *[c.alias(f"q{i}") for i, c in enumerate(line)])
 
 
 def quantile_scalar(df: DataFrame, value: str, p: float) -> Column:

@@ -143,13 +143,10 @@ def daily_place_quantiles(
     end=None,
     min_coverage: int | None = None,
     groups: str | Sequence[str] = (),
-    many_places: bool = False,
 ) -> DataFrame:
     """Median and 0.1 quantile across places per day, each place carried forward.
 
-    A day's group holds one value per place.  Stations and gauges are a bounded set, which
-    `percentile` may gather; where places grow with the data, set `many_places` to find
-    the same values without gathering a day.  With `min_coverage`, days with fewer raw
+    A day's group holds one value per place and is not gathered, however many there are.  With `min_coverage`, days with fewer raw
     readings repeat the last accepted day.
     """
     groups = as_list(groups)
@@ -157,14 +154,9 @@ def daily_place_quantiles(
     grid = complete_grid(raw, [*groups, place], ts, step="1 day", end=end, bucket="365 days")
     full = forward_fill(grid, value, [*groups, place], ts, bucket="365 days")
     raw_count = F.coalesce(F.sum("_raw"), F.lit(0)).alias("coverage")
-    if many_places:
-        q = exact_quantiles(full, value, [0.5, 0.1], [*groups, ts]).withColumnsRenamed({"q0": "median", "q1": "p10"})
-        out = full.groupBy(*groups, ts).agg(raw_count).join(q.drop("n"), [*groups, ts], "left")
-        out = out.select(*groups, ts, "median", "p10", "coverage")
-    else:
-        out = full.groupBy(*groups, ts).agg(
-            F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.1)).alias("p10"), raw_count
-        )
+    q = exact_quantiles(full, value, [0.5, 0.1], [*groups, ts]).withColumnsRenamed({"q0": "median", "q1": "p10"})
+    out = full.groupBy(*groups, ts).agg(raw_count).join(q.drop("n"), [*groups, ts], "left")
+    out = out.select(*groups, ts, "median", "p10", "coverage")
     if min_coverage is not None:
         good = F.col("coverage") >= min_coverage
         out = out.withColumns({c: F.when(good, F.col(c)) for c in ("median", "p10")}).withColumn("_one", F.lit(0))

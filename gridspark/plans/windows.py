@@ -94,10 +94,23 @@ def w4_positional(t):
     return fill.interpolate(with_position(s, "series_id"), "value", "series_id", at="pos").drop("pos")
 
 
-@query("w5_cubic_interpolation")
+@query(
+    "w5_cubic_interpolation",
+    with_sql(
+        """SELECT series_id, ts, round(value, 6) AS known, count(value) OVER (PARTITION BY series_id ORDER BY ts) > 0
+             AND count(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 AS inside, TRUE AS passes FROM sparse""",
+        SHIP, SPARSE,
+    ),
+)
 def w5(t):
-    """Not-a-knot spline through the known prices; tests compare it with a dense solve."""
-    return cubic_interpolate(sparse(t), "value", "series_id")
+    """Not-a-knot spline: it passes through the known prices and fills all between them.  Tests
+    compare its values with a dense solve."""
+    known = sparse(t).select("series_id", "ts", F.col("value").alias("known"))
+    ends = known.where("known IS NOT NULL").groupBy("series_id").agg(F.min("ts").alias("_a"), F.max("ts").alias("_z"))
+    out = cubic_interpolate(sparse(t), "value", "series_id").join(known, ["series_id", "ts"]).join(ends, "series_id", "left")
+    inside = F.coalesce(F.col("ts").between(F.col("_a"), F.col("_z")), F.lit(False))
+    passes = F.when(F.col("known").isNotNull(), F.col("value") == F.col("known")).otherwise(~inside | F.col("value").isNotNull())
+    return out.select("series_id", "ts", "known", inside.alias("inside"), passes.alias("passes"))
 
 
 @query("w6_resample_and_interpolate", with_sql("SELECT series_id, ts, round(value, 6) AS value FROM lerped", SHIP, SHIP_GRID, INTERP.format(src="ship_gapped")))
@@ -556,11 +569,14 @@ def c7(t):
     return feeds.spot_price(frame, feed, "price", cubic=False)
 
 
-@query("c7_spot_price_cubic")
+@query("c7_spot_price_cubic", with_sql("SELECT ts, coalesce(purchase, CASE WHEN view > 60 THEN view END) AS known, TRUE AS passes FROM wide", WIDE))
 def c7_cubic(t):
+    """Stored prices, then the feed's, stay as they are; the spline fills the rest."""
     frame = wide(t).select("ts", F.col("purchase").alias("price"))
     feed = wide(t).select("ts", F.when(F.col("view") > 60, F.col("view")).alias("price"))
-    return feeds.spot_price(frame, feed, "price")
+    known = frame.join(feed.withColumnRenamed("price", "_feed"), "ts").select("ts", F.coalesce("price", "_feed").alias("known"))
+    out = feeds.spot_price(frame, feed, "price").join(known, "ts")
+    return out.select("ts", "known", F.coalesce(F.col("price") == F.col("known"), F.lit(True)).alias("passes"))
 
 
 IRR_COLS = ["sum_irradiance", "mean_irradiance", "std_irradiance", "min_irradiance", "max_irradiance"]

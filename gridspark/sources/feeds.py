@@ -140,7 +140,7 @@ def station_wide(rows: DataFrame, parameters: Sequence[str], station: str = "sta
 
 def decode_hydrology(docs: DataFrame, order: str | None = None) -> DataFrame:
     """{"value": [{Paikka_Id, Aika, Arvo}]}: incomplete rows dropped, the last one per
-    place and time kept."""
+    place and time kept (by `order`, else by the other columns, else the largest)."""
     schema = "value array<struct<Paikka_Id string, Aika string, Arvo string>>"
     ids = _ids(docs)
     rows = docs.withColumn("_d", F.from_json("payload", schema)).select(*ids, F.inline("_d.value"))
@@ -150,7 +150,7 @@ def decode_hydrology(docs: DataFrame, order: str | None = None) -> DataFrame:
         parse_utc("Aika").alias("ts"),
         number("Arvo").alias("value"),
     ).dropna("any", subset=["place", "ts", "value"])
-    return dedup(typed, ["place", "ts"], order or ids, keep="last") if (order or ids) else typed
+    return dedup(typed, ["place", "ts"], order or ids or ["value"], keep="last")
 
 
 def holiday_hours(days: DataFrame, tz: str, *, legacy_24h: bool = False) -> DataFrame:

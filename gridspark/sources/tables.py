@@ -6,6 +6,8 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import use_utc
 
@@ -23,6 +25,12 @@ SCHEMAS = {
 }
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in a stored number is a missing value; left in, it would poison every mean."""
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
+
+
 class Tables:
     """Tables of one folder, by name."""
 
@@ -30,7 +38,7 @@ class Tables:
         self.spark, self.folder = use_utc(spark), folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        return nan_to_null(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet"))
 
     @cached_property
     def events(self) -> DataFrame:
