@@ -118,9 +118,12 @@ def runs_of(
     text = np.searchsorted(first, begin, "right") - 1
     a, b = lo[begin], hi[begin]
     half = (window - (b - a) + 1) // 2
-    lowest, highest = first[text], first[text + 1]
-    left, right = np.maximum(a - half, lowest), np.minimum(b + half, highest)
-    return text, name[begin], span(begin, stop + window - 1), span(left, a), span(b, right), begin - first[text], stop - begin
+    left, right = np.maximum(a - half, first[text]), np.minimum(b + half, first[text + 1])
+    # The first windows end before the right half does, the last ones start after the left half.
+    head = np.clip(b + half - window - begin, 0, stop - begin)
+    tail = np.clip(stop - 1 - (a - half), 0, stop - begin)
+    content = span(begin, stop + window - 1)
+    return text, name[begin], content, span(left, a), span(b, right), begin - first[text], stop - begin, head, tail
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ run; runs are what is shuffled, by landmark:
 
 1. Runs of one landmark that cover equal content settle all their windows at once.
 2. Runs of one landmark that differ, but agree on the left or the right of it, may share some
-   windows (mostly at the ends of repeated passages).  Only these are hashed window by window.
+   windows (mostly at the ends of repeated passages).  Only these are hashed window by window,
+   and of them only the windows that do not hold all of the side on which no other run agrees.
 3. The settled ranges go back to their texts.
 
 A task combines its own runs before they are dealt out: copies that it settles itself are not
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 from .tokens import mix, portions
 
-#: texts -> (text number, landmark, run content, left side, right side, first window, windows)
+#: texts -> (text number, landmark, run content, left side, right side, first window, windows,
+#: windows at the head without all of the right side, windows at the tail without all of the left)
 Finder = Callable[[pa.Array], tuple[np.ndarray, ...]]
 NO_ID = (1 << 63) - 1  # stands for a missing id and is larger than all others
 CHUNK = 1 << 20  # runs that a task combines at once
 MANY = 16  # different runs of one landmark in a chunk from which only a note is dealt
 SETTLED, OPEN = 0, 2
-COLUMNS = ("name", "run", "sides", "doc", "pos")
+COLUMNS = ("name", "run", "sides", "part", "doc", "pos")
 
 
 def pack_pos(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ def _blob(cols: dict[str, np.ndarray], names: tuple[str, ...]) -> bytes:
 
 def _unblob(blob: bytes, n: int, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
-    kinds = {"name": np.uint64, "run": np.uint64, "sides": np.uint32, "doc": np.int64, "pos": np.int64}
+    kinds = {"name": np.uint64, "run": np.uint64, "sides": np.uint32, "part": np.uint16, "doc": np.int64, "pos": np.int64}
     out, at = {}, 0
     for c in names:
         size = np.dtype(kinds[c]).itemsize
@@ -139,15 +141,22 @@ def _meet(blobs: list[tuple[int, int, bytes]], earlier: bool) -> Iterator[tuple[
     cols, settled, stands, _ = settle({c: np.concatenate([r[c] for r in rows]) for c in COLUMNS}, earlier)
     yield SETTLED, cols["doc"][settled], cols["pos"][settled]
     rest = _take(cols, stands)
-    is_open = np.isin(rest["name"], np.concatenate(notes)) if notes else np.zeros(len(rest["name"]), dtype=bool)
+    noted = np.isin(rest["name"], np.concatenate(notes)) if notes else np.zeros(len(rest["name"]), dtype=bool)
+    agree = []
     for side in (rest["sides"] >> np.uint32(16), rest["sides"] & np.uint32(0xFFFF)):
         order = np.lexsort((rest["run"], side, rest["name"]))
         group = _groups(rest["name"][order], side[order])
         both = _groups(rest["name"][order], side[order], rest["run"][order])
         kinds = np.zeros(len(order) and group[-1] + 1, np.int64)
         np.add.at(kinds, group[np.diff(both, prepend=-1) != 0], 1)
-        is_open[order] |= kinds[group] > 1
-    yield OPEN, rest["doc"][is_open], rest["pos"][is_open]
+        agree.append(noted.copy())
+        agree[-1][order] |= kinds[group] > 1
+    start, n = starts(rest["pos"]), counts(rest["pos"])
+    head, tail = (rest["part"] >> np.uint16(8)).astype(np.int64), (rest["part"] & np.uint16(255)).astype(np.int64)
+    first = np.where(agree[0], start, start + n - tail)
+    size = np.where(agree[0] & agree[1], n, np.where(agree[0], head, np.where(agree[1], tail, 0)))
+    some = size > 0
+    yield OPEN, rest["doc"][some], pack_pos(rest["pos"][some] >> np.int64(48), first[some], size[some])
 
 
 def repeated_runs(docs: DataFrame, find: Finder, earlier: bool) -> DataFrame:
@@ -170,9 +179,10 @@ def repeated_runs(docs: DataFrame, find: Finder, earlier: bool) -> DataFrame:
                 texts = batch.column("text").slice(a, b - a)
                 ids = batch.column("doc").slice(a, b - a).to_numpy()
                 keys = np.array([text_key(t) for t in texts.to_pylist()], dtype=np.int64)
-                own, name, run, left, right, start, count = find(texts)
+                own, name, run, left, right, start, count, head, tail = find(texts)
                 sides = (left >> np.uint64(48) << np.uint64(16) | right >> np.uint64(48)).astype(np.uint32)
-                parts.append({"name": name, "run": run, "sides": sides, "doc": ids[own], "pos": pack_pos(keys[own], start, count)})
+                part = (head << 8 | tail).astype(np.uint16)
+                parts.append({"name": name, "run": run, "sides": sides, "part": part, "doc": ids[own], "pos": pack_pos(keys[own], start, count)})
                 size += len(own)
                 if size >= CHUNK:
                     yield flush()
