@@ -159,6 +159,11 @@ def feature_group(name: Column | str) -> Column:
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
+def plain_identifier(name: Column | str) -> Column:
+    """Whether a text could be a plain column name."""
+    return _c(name).rlike(_IDENTIFIER.pattern)
+
+
 def check_identifier(name: str) -> str:
     if not _IDENTIFIER.match(name):
         raise ValueError(f"not a plain column name: {name!r}")

@@ -75,8 +75,9 @@ def range_errors(
 ) -> DataFrame:
     """MAE, RMSE and MAPE per range over all runs; an empty range gives nulls.
 
-    The errors are summed per hour map-side, so the range join sees one row per hour
-    however many runs cover it, and one pass serves all ranges.
+    The predictions are dealt once, by hour, to meet the actuals; after that the errors are
+    summed per hour within each task, so the range join sees one row per hour however many
+    runs cover it, and one pass serves all ranges.
     """
     scored = with_actuals(predictions, actuals).where("actual IS NOT NULL")
     if true_forecasts_only:

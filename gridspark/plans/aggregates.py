@@ -241,6 +241,26 @@ def a11_guard(t):
     return rollup.daily_place_quantiles(p, "place", end=p.agg(F.max("ts")).scalar(), min_coverage=4)
 
 
+@query("d1_required_columns", with_sql("SELECT count(*) AS rows, count(purchase) AS purchase FROM wide", WIDE))
+def d1(t):
+    """Rows of a table that has the columns asked for; a table that lacks one is refused."""
+    w = quality.require_columns(wide(t), ["ts", "purchase", "view"])
+    return w.agg(F.count(F.lit(1)).alias("rows"), F.count("purchase").alias("purchase"))
+
+
+@query(
+    "f36_plain_identifiers",
+    "SELECT props AS name, count(*) AS n, regexp_matches(props, '^[A-Za-z_][A-Za-z0-9_]*$') AS plain FROM events GROUP BY 1 UNION ALL "
+    "SELECT event_type, count(*), regexp_matches(event_type, '^[A-Za-z_][A-Za-z0-9_]*$') FROM events GROUP BY 1",
+)
+def f36(t):
+    """Which values could name a column."""
+    from ..functions.scalar import plain_identifier
+
+    names = t.events.select(F.explode(F.array("props", "event_type")).alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("plain", plain_identifier("name"))
+
+
 @query(
     "a12_coverage",
     with_sql(

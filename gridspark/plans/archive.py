@@ -17,12 +17,14 @@ from .aggregates import CONDITION_DAYS, SYMBOL_INPUT, SYMBOL_ROWS, symbols
 from .inputs import (
     ACTUALS,
     DAILY,
+    NOW,
     PREDICTIONS,
     RUNS,
     SHIP,
     WIDE,
     actuals,
     local_sql,
+    now,
     predictions,
     runs,
     ship,
@@ -194,10 +196,23 @@ def k11(t):
     return t.spark.read.schema("local_date string, condition string").json(path)
 
 
-@query("k12_daily_means_json", with_sql("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, ROUND(avg(click), 1) AS click_mean FROM wide GROUP BY 1", WIDE))
+@query(
+    "k12_daily_means_json",
+    with_sql(
+        f"""SELECT CAST(date AS VARCHAR) AS date, m AS click_mean FROM (
+              SELECT CAST(ts AS DATE) AS date, ROUND(avg(click), 1) AS m FROM wide GROUP BY 1), now_
+            WHERE date >= CAST({local_sql('now')} AS DATE) ORDER BY date LIMIT 6""",
+        WIDE, NOW,
+    ),
+)
 def k12(t):
+    """The published record holds today and the days after it, six at most."""
+    from ..functions.time import MARKET_TZ
+    from ..operators.rollup import next_days_mean
+
     path = scratch_path(t.spark, "imports")
-    publish.write_json(wide(t).groupBy(F.to_date("ts").alias("date")).agg(F.round(F.avg("click"), 1).alias("click_mean")), path)
+    today = F.to_date(F.from_utc_timestamp(now(t), MARKET_TZ))
+    publish.write_json(next_days_mean(wide(t), "click", today), path)
     return t.spark.read.schema("date string, click_mean double").json(path)
 
 
@@ -264,12 +279,26 @@ def k16(t):
     return model_stats(t.spark, path)
 
 
-@query("c17_brief_lookup", with_sql(f"SELECT CAST(CAST({local_sql('ts')} AS DATE) AS VARCHAR) AS local_date, count(*) AS hours, ROUND(avg(coalesce(purchase, view)), 1) AS price_mean FROM wide WHERE view IS NOT NULL GROUP BY 1", WIDE))
+@query(
+    "c17_brief_lookup",
+    with_sql(
+        f"""SELECT CAST(d AS VARCHAR) AS local_date, ROUND(min(p), 1) AS price_min, ROUND(max(p), 1) AS price_max, ROUND(avg(p), 1) AS price_mean,
+              ROUND(min(wind), 0) AS wind_min, ROUND(max(wind), 0) AS wind_max, ROUND(avg(wind), 0) AS wind_mean,
+              ROUND(avg(temp), 1) AS temperature_mean, bool_or(holiday <> 0) AS holiday_any, strftime(d, '%A') AS weekday
+            FROM (SELECT CAST({local_sql('ts')} AS DATE) AS d, coalesce(purchase, view) AS p, click * 50 AS wind,
+                         (error + signup) / 2 AS temp, CASE WHEN signup > 150 THEN 1 ELSE 0 END AS holiday
+                  FROM wide, now_ WHERE ts >= now AND view IS NOT NULL AND click IS NOT NULL AND error IS NOT NULL AND signup IS NOT NULL) GROUP BY d""",
+        WIDE, NOW,
+    ),
+)
 def c17(t):
-    rows = wide(t).dropna("any", subset=["view"]).withColumn("_p", F.coalesce("purchase", "view"))
-    return rows.groupBy(F.to_date(F.from_utc_timestamp("ts", "Europe/Helsinki")).alias("local_date")).agg(
-        F.count(F.lit(1)).alias("hours"), F.round(F.avg("_p"), 1).alias("price_mean")
-    )
+    """The stored hours from now on, looked up by their times and told by day."""
+    from ..operators.serving import brief_table
+    from ..sources.store import lookup
+
+    store = wide(t).withColumns({"wind": F.col("click") * 50, "holiday": F.when(F.col("signup") > 150, 1).otherwise(0)})
+    wanted = t.events.select(F.date_trunc("hour", "ts").alias("ts")).distinct().where(F.col("ts") >= now(t))
+    return brief_table(lookup(store, wanted), "purchase", "view", "wind", ["error", "signup"], "holiday")
 
 
 @query("u1_wide_union_allowing_missing", with_sql("SELECT ts, click, error, NULL::DOUBLE AS view FROM wide UNION ALL SELECT ts, click, NULL, view FROM wide", WIDE))

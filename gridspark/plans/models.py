@@ -371,6 +371,21 @@ def m20(t):
     return mapped(mo.feature_map(rows, features, "price"))
 
 
+@query(
+    "m19_feature_list",
+    with_sql(
+        " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS place, '{f}' AS feature, count(*) AS n FROM training" for i, f in enumerate(PRICE_FEATURES)),
+        SHIP, FRAME, TRAINING,
+    ),
+)
+def m19(t):
+    """Features in their order, each once, with the rows that have them."""
+    rows, features = price_rows(t)
+    counts = rows.agg(*[F.count(f).alias(f) for f in features]).unpivot([], features, "feature", "n")
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    return counts.select(place.alias("place"), "feature", "n")
+
+
 @query(
     "m21_training_rows",
     with_sql(

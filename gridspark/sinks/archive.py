@@ -55,8 +55,7 @@ class Archive:
         expected = staged.count()
         at = (run_datetime or datetime.now(timezone.utc)).astimezone(timezone.utc).replace(tzinfo=None)
         # A folder left by a snapshot that never got its run row keeps its id for itself.
-        last = max(self._last_id("runs"), self._last_id("predictions"))
-        run_id = last + 1
+        run_id = 1 + max(self.runs().agg(F.max("run_id")).first()[0] or 0, self._last_folder())
         staged.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(
             self._path("predictions")
         )
@@ -69,11 +68,14 @@ class Archive:
         run.withColumn("run_datetime", F.col("run_datetime").cast("timestamp")).write.mode("append").parquet(self._path("runs"))
         return run_id
 
-    def _last_id(self, table: str) -> int:
-        if not _exists(self.spark, self._path(table)):
+    def _last_folder(self) -> int:
+        """Largest run number among the folders of predictions; no rows are read."""
+        if not _exists(self.spark, self._path("predictions")):
             return 0
-        df = self.spark.read.parquet(self._path(table))
-        return df.agg(F.max("run_id")).first()[0] or 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("predictions"))
+        listed = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [f.getPath().getName() for f in listed]
+        return max((int(n.removeprefix("run_id=")) for n in names if n.startswith("run_id=")), default=0)
 
     def _upsert_actuals(self, rows: DataFrame) -> None:
         upsert(self.spark, self._path("actuals"), rows, "ts")

@@ -10,16 +10,17 @@ from pyspark.sql import types as T
 
 from ..operators.buckets import as_list
 from ..operators.spine import spine
+from .tables import nan_to_null
 
 DATE = "date"
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """The store is partitioned by UTC date.  Without a schema the parts' schemas are
-    merged, which is how columns added later become visible."""
+    merged, which is how columns added later become visible.  NaN is read as null."""
     reader = spark.read
     reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")
-    df = reader.parquet(path)
+    df = nan_to_null(reader.parquet(path))
     return df.withColumn(DATE, F.col(DATE).cast("date")) if DATE in df.columns else df
 
 

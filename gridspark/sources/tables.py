@@ -26,7 +26,11 @@ SCHEMAS = {
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN in a stored number is a missing value; left in, it would poison every mean."""
+    """NaN in a stored number is a missing value; left in, it would poison every mean.
+
+    Bounds on a cleaned number no longer reach the scan (bounds on times and dates do), so
+    `Tables` hands its columns out as they are stored and `read_store` cleans them.
+    """
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
 
@@ -38,7 +42,7 @@ class Tables:
         self.spark, self.folder = use_utc(spark), folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return nan_to_null(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet"))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def events(self) -> DataFrame:

@@ -61,12 +61,15 @@ def write_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[s
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_carried(stream: DataFrame, path: str, checkpoint: str, series, *, ts: str = "ts", value: str = "value") -> StreamingQuery:
+def write_carried(
+    stream: DataFrame, path: str, checkpoint: str, series, *, ts: str = "ts", value: str = "value", bucket: str = "1 day"
+) -> StreamingQuery:
     """Rows with their missing values carried forward across micro-batches.
 
     The last known value per series is kept as one small folder per batch; a batch starts
     from its predecessor's, so a replayed batch reads and writes the same folders.  Batches
-    are expected in time order; within a batch the bucketed fill does the work.
+    are expected in time order; within a batch the bucketed fill does the work, in buckets
+    narrow enough for raw readings.
     """
     keys = as_list(series)
 
@@ -79,7 +82,7 @@ def write_carried(stream: DataFrame, path: str, checkpoint: str, series, *, ts:
             # Series reach the batch at times of their own: every seed stays, just before its time.
             known = seed.withColumns({ts: F.col(ts) - F.expr("INTERVAL 1 MICROSECOND"), "_new": F.lit(False)})
             rows = rows.unionByName(known.select(*rows.columns))
-        filled = forward_fill(rows, value, keys, ts).where("_new").drop("_new")
+        filled = forward_fill(rows, value, keys, ts, bucket=bucket).where("_new").drop("_new")
         filled.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         known = batch.where(F.col(value).isNotNull()).select(*keys, ts, value)
         known = known if seed is None else known.unionByName(seed.select(*keys, ts, value))

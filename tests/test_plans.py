@@ -43,3 +43,20 @@ def test_literal_bounds_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_extendedprice" in plan and "LessThanOrEqual(l_extendedprice" in plan
     plan = plan_of(t.events.where("ts >= TIMESTAMP '2024-01-05 00:00:00'"))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_store_scans_read_the_wanted_dates_only(spark):
+    plan = plan_of(entry.queries()["s3_bounded_scan"](spark, FOLDER))
+    assert re.search(r"PartitionFilters: \[[^\]]*date", plan) and "PushedFilters: [IsNotNull(ts)" in plan
+
+
+def test_grouped_quantiles_are_range_partitioned(spark):
+    from pyspark.sql import functions as F
+
+    from gridspark.operators.quantile import exact_quantiles
+
+    hot = spark.range(20_000).select(F.lit("hot").alias("g"), F.rand(1).alias("v"))
+    plan = plan_of(exact_quantiles(hot, "v", [0.5], "g", slices=16))
+    # Values are ranked within (group, slice), never within a group.
+    assert re.search(r"windowspecdefinition\(g#\d+, _slice#\d+, _v#\d+ ASC", plan)
+    assert not re.search(r"windowspecdefinition\(g#\d+, _v#", plan)
