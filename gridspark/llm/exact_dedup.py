@@ -61,14 +61,12 @@ def exact_dedup(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_co
 
 def drop_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat id and text, one."""
-    kept = exact_dedup(docs, salts, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")
-    )
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("sha")
-    )
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    return rows.dropDuplicates(["id", "sha"]).select("row.*")
+    # One key that is never null deals the rows for the join and for dropping repeats alike.
+    key = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), sha).alias("key")
+    kept = exact_dedup(docs, salts, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")))
+    sha = F.sha2(lower_ascii(F.col(text_col)), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(F.col(id_col).cast("long"), sha))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 ORACLE = """
