@@ -4,8 +4,10 @@ A text is a weighted set of shingles of five words; a shingle weighs its count t
 inverse document frequency of its words.  Improved consistent weighted sampling draws, for
 every bin of shingles, the one that a random order by weight puts first, so that two texts
 draw the same one about as often as their weighted Jaccard similarity says.  Bands of draws
-bring likely pairs together; in every bucket all members are compared with two pivots, by
-their exact weighted Jaccard similarity, and the confirmed links are joined to classes.
+bring likely pairs together; in every bucket all members are compared with pivots, by their
+exact weighted Jaccard similarity, and the confirmed links are joined to classes.  Rounds with
+more and more pivots follow until no bucket has two members that are neither compared nor in
+one class.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SIMILARITY = 0.8
 GROUPS, BINS = 4, 32  # every shingle is in one bin of each group
 ROWS = 5  # draws in a band; 25 bands find a pair of similarity 0.8 with probability 0.99995
 BUCKETS = 1 << 16  # counters of document frequencies, by hash of the word
+MORE = 16  # the pivots of a bucket multiply by this from round to round
+BLOCK = 1000  # members of a bucket that meet its pivots in one task
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, 64)]
 
 
@@ -160,6 +164,30 @@ def candidates(keys: DataFrame) -> DataFrame:
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
+def unresolved(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets with several classes: key, node, root (their class), top (the
+    bucket's largest class), size (of the bucket), rest (its members outside the largest class)."""
+    named = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "bucket-classes")
+    largest = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size")
+    )
+    largest = largest.where("most.n < size").select("key", F.col("most.root").alias("top"), "size", (F.col("size") - F.col("most.n")).alias("rest"))
+    return named.join(small(materialize(largest, "bucket-sizes")), "key")
+
+
+def further(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): every pivot of `members` (the rows with `pivot`) with the bucket's
+    members of other classes.  A large bucket is dealt in blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    left = members.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root")
+    right = members.where("pivot").select(
+        "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("other"), F.col("root").alias("other_root")
+    )
+    met = left.join(right, ["key", "block"]).where("root != other_root")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity, by weights or by plain counts, is `similarity`
     or more."""
@@ -209,6 +237,22 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     texts = materialize(texts, "pair-texts")
     links = materialize(similar(pairs, texts, idf, similarity), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 3")
+    # Who has been a pivot is compared with the whole bucket.  What is left of three is one.
+    left, pivots = keys.join(ends, "key").where("node != lo and node != hi").select("key", "node"), MORE
+    while True:
+        members = unresolved(left, roots)
+        # Of two members of different classes one is outside the largest class.
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        members = materialize(members.withColumn("pivot", (F.col("root") != F.col("top")) & (share * F.col("rest") < pivots)), "members")
+        if members.isEmpty():
+            break
+        new = materialize(further(members).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if not new.isEmpty():
+            links = links.unionByName(materialize(similar(new, texts, idf, similarity), "more-links"))
+            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            pairs = pairs.unionByName(new)
+        left, pivots = members.where("not pivot").select("key", "node"), pivots * MORE
 
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")

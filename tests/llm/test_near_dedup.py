@@ -60,6 +60,38 @@ def test_classes_equal_brute_force(docs, seed):
     assert all(r.class_id == min(got[r.class_id]) and r.class_size == len(got[r.class_id]) for r in result)
 
 
+def family(seed, size=100, twins=30):
+    """Texts of one template, 0.78 to 0.796 similar to each other; a twin is 0.817 similar to its text."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(400)]
+    changes = []
+
+    def change(keep):
+        while True:
+            new = keep | {p: base[(p + 1 + len(changes)) % 400] for p in rng.sample(range(7, 393, 5), 5 - len(keep))} | keep
+            if len(new) == 5 and all(len(new.keys() & c.keys()) < 2 for c in changes):
+                return new
+
+    for _ in range(size):
+        changes.append(change({}))
+    for k in range(twins):
+        p = rng.choice(sorted(changes[k]))
+        changes.append(change({p: changes[k][p]}))
+    order = rng.sample(range(len(changes)), len(changes))
+    return [(i, " ".join(changes[k].get(p, w) for p, w in enumerate(base))) for i, k in enumerate(order)]
+
+
+def test_pairs_inside_a_family_that_fills_the_buckets(docs, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 50)
+    rows = family(5)
+    want = brute_classes(rows)
+    assert len(want) == 100 and sum(len(g) == 2 for g in want) == 30
+    got = collections.defaultdict(list)
+    for r in N.near_duplicates(docs(rows).repartition(4)).collect():
+        got[r.class_id].append(r.doc_id)
+    assert sorted(sorted(g) for g in got.values()) == want
+
+
 def test_drop_keeps_one_of_each_class(docs):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (None, "x y z u v w"), (None, "p q r s t u"), (9, None)]
     df = docs(rows)
