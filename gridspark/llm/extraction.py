@@ -25,7 +25,9 @@ BLOCK = frozenset(
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary
     table tbody td tfoot th thead tr ul""".split()
 )
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea select datalist".split())
+SILENT = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas audio video textarea select datalist".split())
+#: Any other tag, or text, ends an open head.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: A start tag of the first kind ends an open element of the second kinds, but not beyond the third.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = frozenset("ul ol dl table menu body div article section".split())
@@ -70,7 +72,14 @@ class _Page(HTMLParser):
             self.flush()
         del self.open[i:]
 
+    def end_head(self) -> None:
+        for i, e in enumerate(self.open):
+            if e[0] == "head":
+                return self.close_to(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+            self.end_head()
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCK:
@@ -106,6 +115,8 @@ class _Page(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         names = {e[0] for e in self.open}
         if names & SILENT:
             return

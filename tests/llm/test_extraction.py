@@ -46,6 +46,14 @@ def test_whole_page():
     )
 
 
+def test_head_without_end_tag_and_formulas():
+    text = "The whole article is in this paragraph, and it has many words."
+    for start in ("<body><p>", "<p>", "<div><p>", ""):
+        assert X.main_text(f"<html><head><title>x</title><meta charset=utf-8><script>var a;</script>{start}{text}") == text
+    assert X.main_text(PAGE.replace("</head>", "")) == X.main_text(PAGE)
+    assert X.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></article>") == "So x=2 holds for all of them."
+
+
 def test_article_with_short_blocks_and_broken_markup():
     page = "<nav><a href=/>x</a></nav><div class=ad>Ad text.</div><article><h1>A b.</h1><p><b>A b.<br><p>C.<p>D &am e</article><footer>&copy; z"
     assert X.main_text(page) == "A b.\nA b.\nC.\nD &am e"
