@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -66,6 +68,17 @@ def test_overlaps_equal_brute_force(spark, docs, seed):
     assert kept.columns == docs(rows).columns
 
 
+def test_every_pattern_within_the_tolerance_has_a_seed(spark, docs):
+    items, rows = [], []
+    for n in range(9, 14):
+        item = [f"n{n}i{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in itertools.combinations(range(n), n - math.ceil(0.8 * n)):
+            rows.append((100 * len(rows) + n, " ".join("x" if k in gone else w for k, w in enumerate(item))))
+    got = D.overlaps(docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i % 100) for i, _ in rows}
+
+
 def test_periodic_substitutions_are_found(spark, docs):
     item = [f"i{k}" for k in range(30)]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
