@@ -33,10 +33,14 @@ SIGNS = {
 }
 SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 2.0, 0.5
 BETWEEN = " .-_*~"
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~]){2,}[^\W_](?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+(€£#%])[ .\-_*~]++){2,}(?:[^\W_]|[@$!|+(€£#%])(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"[^\W\d_][^\s\w]*[0-9@$!|+(€£*#%._\-]+[^\s\w]*[^\W\d_]|^[0-9@$!|+(€£][^\W\d_]|([^\W\d_])\1\1")
+MIXED = re.compile(
+    r"[^\W\d_].*[0-9@$!|+(€£*#%]|[0-9@$!|+(€£*#%].*[^\W\d_]|[0-9@$!|+(€£*#%].*[0-9@$!|+(€£*#%]|[^\W\d_][^\s\w]*[._\-]+[^\s\w]*[^\W\d_]|([^\W\d_])\1", re.S
+)
+NUMBER = re.compile(r"[#$€£+(\-]?\d[\d.,:/\-]*[%+)]?")
 AROUND = "\"'.,;:?&#%*!)>]}"  # not part of a word at its ends
+ENDS = "\"'.,;:?&)>]}"  # of these, those that stand for no letter
 PREFIXES = range(3, 8)
 WORDS_KEPT = 200_000  # words whose features a task remembers
 
@@ -126,9 +130,10 @@ def reader(model: np.ndarray, known: dict[str, float] | None = None) -> Callable
             if len(self) > WORDS_KEPT:
                 self.clear()
             words = WORD.findall(token)
-            core = token.strip(AROUND).lstrip("([{<")
-            if MIXED.search(core):
-                words.append(viterbi(core, model))
+            # Signs at the ends may be letters or punctuation.
+            for core in {token.strip(ends).lstrip("([{<") for ends in (AROUND, ENDS)}:
+                if MIXED.search(core) and not NUMBER.fullmatch(core):
+                    words.append(viterbi(core, model))
             out = self[token] = features(words)
             return out
 

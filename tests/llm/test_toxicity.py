@@ -60,6 +60,18 @@ def test_disguised_words_are_restored(frames, spark):
     assert all(got[t] < 0.5 for t in clean), got
 
 
+def test_signs_at_the_ends_and_between_spaces(spark):
+    docs = spark.createDataFrame([("the idiot is a loser and moron with bastard hate and puta",)] * 50, "text string")
+    read = X.reader(X.char_model(X.char_counts(docs)))
+    wanted = {"hat3": "hate", "put4": "puta", "1d10+": "idiot", "l o $ e r": "loser", "b @ s t @ r d": "bastard", "m  o  r  o  n": "moron", "idioot": "idiot"}
+    for text, word in wanted.items():
+        assert word in read(text), (text, read(text))
+    assert X.SPACED.search("you m @ r o n!")[0] == "m @ r o n"
+    for token in ("a$$", "a55", "hat3", "puta5", "id10", "$#!t", "4$$"):
+        assert X.MIXED.search(token) and not X.NUMBER.fullmatch(token)
+    assert not read("1990 $455 50% 1,234.50")
+
+
 def brute(token, model):
     """All paths of the lattice."""
     paths = [(0.0, "")]
