@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, extraction, near_dedup, packing, recompression, sharding, suffix_dedup, toxicity, url_filter
+from . import (
+    decontamination,
+    exact_dedup,
+    extraction,
+    near_dedup,
+    packing,
+    recompression,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    whitening,
+)
 from .common import table
 
 SHARD_BYTES = 16 << 20
@@ -60,6 +72,11 @@ def op10_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_block_matrix_whitening(spark, folder):
+    """Embeddings on the four strongest components, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +90,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_exact_dedup,
         op10_toxicity,
+        op12_block_matrix_whitening,
     )
 }
 ORACLES = {
