@@ -9,6 +9,7 @@ from . import (
     near_dedup,
     packing,
     recompression,
+    secrets,
     sharding,
     suffix_dedup,
     toxicity,
@@ -77,6 +78,11 @@ def op12_block_matrix_whitening(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_guess_cost_secrets(spark, folder):
+    """Secrets of every document."""
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +97,7 @@ QUERIES = {
         op9_exact_dedup,
         op10_toxicity,
         op12_block_matrix_whitening,
+        op13_guess_cost_secrets,
     )
 }
 ORACLES = {
