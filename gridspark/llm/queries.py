@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import (
     decontamination,
     exact_dedup,
     extraction,
+    hard_negatives,
     near_dedup,
     packing,
     recompression,
@@ -73,6 +76,13 @@ def op10_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_packed_tree_negatives(spark, folder):
+    """Hard negatives of every hundredth embedding; every seventh has the next label."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
 def op12_block_matrix_whitening(spark, folder):
     """Embeddings on the four strongest components, whitened."""
     return whitening.whiten(table(spark, folder, "embeddings"))
@@ -96,6 +106,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_exact_dedup,
         op10_toxicity,
+        op11_packed_tree_negatives,
         op12_block_matrix_whitening,
         op13_guess_cost_secrets,
     )
@@ -106,4 +117,5 @@ ORACLES = {
     "op3_spaced_seed_decontamination": decontamination.oracle(),
     "op6_extendible_sharding": sharding.oracle(SHARD_BYTES),
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_packed_tree_negatives": hard_negatives.ORACLE,
 }
