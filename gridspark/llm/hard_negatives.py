@@ -205,9 +205,11 @@ def tiled(rows: DataFrame, tile: int = TILE) -> tuple[DataFrame, int]:
     for level, key in enumerate(keys):
         if cuts > 1:
             shares = [k / cuts for k in range(1, cuts)]
-            # At most cuts^2 groups: less than the tiles.
             ends = rows.groupBy(*cells).agg(F.percentile_approx(key, shares, 10_000).alias("_ends"))
-            rows = rows.join(F.broadcast(ends), cells) if cells else rows.crossJoin(F.broadcast(ends))  # one row
+            if cells:  # at most cuts^2 groups: less than the tiles
+                rows = rows.join(F.broadcast(ends), cells)
+            else:
+                rows = rows.withColumn("_ends", F.array(*(F.lit(e) for e in ends.first()["_ends"])))
             rows = rows.withColumn(f"cell{level}", F.size(F.filter("_ends", lambda e: e <= key))).drop("_ends")
         else:
             rows = rows.withColumn(f"cell{level}", F.lit(0))
