@@ -6,6 +6,10 @@ of the alphabet.  A name is a hash of what it stands for, so equal runs and pair
 names in every task.  For every symbol the round also keeps which words decided it; inside
 equal passages, symbols decided by the passage alone are equal.
 
+Names are not handed out by a shuffle: with hashes for names no round has to move the corpus.
+Windows with equal 64-bit fingerprints of their words count as equal; the words themselves are
+not compared again.
+
 Of the symbols that a window of words decides, the highest, and among these the smallest, is
 the window's landmark.  Equal windows have equal landmarks at equal places, so only passages
 around a landmark that occurs again need be compared (see `repeats`).
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import NO_ID, covered, repeated_windows, unpack_text
+from .repeats import covered, repeated_windows, unpack_text
 from .tokens import Spans, mix, run_hashes, word_hashes, word_lists
 
 FAR = 1 << 40
@@ -141,31 +145,28 @@ def drop_repeats(docs: DataFrame, window: int = 13, rounds: int = 1, id_col: str
     def find(texts: pa.Array) -> tuple[np.ndarray, ...]:
         return find_runs(texts, window, rounds)
 
-    def windows(text: str, start: np.ndarray) -> np.ndarray:
-        words = word_hashes(word_lists(pa.array([text]))[0])
-        return run_hashes(words, window)[start]
-
-    texts, marks = repeated_windows(rows, find, windows, earlier=True)
+    def windows(texts: pa.Array, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+        coded, first = word_lists(texts)
+        return run_hashes(word_hashes(coded), window)[first[own] + start]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, z, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "at"))):
-                words = unpack_text(z).encode().split()  # bytes split at ASCII white space
+                words = unpack_text(z).split()  # bytes split at ASCII white space
                 n = len(words)
                 if at:
                     gone = covered(np.array(at, dtype=np.int64), window, n)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
-                out.append((None if doc == NO_ID else doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
             cols = list(zip(*out)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
             )
 
-    joined = texts.join(marks, ["doc", "key"], "left").select("doc", "z", "at")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return repeated_windows(rows, find, windows, window, earlier=True).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 ORACLE = """

@@ -22,40 +22,55 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
+from .decontamination import small
 from .tokens import mix, portions
 
 #: texts -> (text number, landmark, run content, left side, right side, first window, windows,
 #: windows at the head without all of the right side, windows at the tail without all of the left)
 Finder = Callable[[pa.Array], tuple[np.ndarray, ...]]
 NO_ID = (1 << 63) - 1  # stands for a missing id and is larger than all others
+WIDEST = (1 << 16) - 1  # windows of a run, so no window may be wider
 CHUNK = 1 << 20  # runs that a task combines at once
+HASHED = 1 << 20  # bytes of text whose windows are hashed together
 MANY = 16  # different runs of one landmark in a chunk from which only a note is dealt
 SETTLED, OPEN = 0, 2
-COLUMNS = ("name", "run", "sides", "part", "doc", "pos")
+TEXT = ("doc", "k1", "k2")  # what tells texts apart
+PLACE = (*TEXT, "pos")
+COLUMNS = ("name", "run", "sides", "part", *PLACE)
+KEYS = "doc long, k1 long, k2 long"
 
 
-def pack_pos(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """16 bits of the text's hash, first window, number of windows (at most 255)."""
-    return (key.astype(np.int64) << np.int64(48)) | (start.astype(np.int64) << np.int64(8)) | count.astype(np.int64)
+def identified(docs: DataFrame) -> DataFrame:
+    """`docs(doc, text)` -> doc, k1, k2, none, text.  Texts of rows that share an id, or have
+    none, are told apart by 128 bits of their content, k1 and k2, which are 0 for all others
+    and cost nothing then; `none` marks missing ids."""
+    docs = docs.select(F.col("doc").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = docs.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_shared"))
+    shared = small(materialize(shared, "shared-ids"))
+    rows = docs.join(shared, F.col("doc") == F.col("_shared"), "left")
+    none = F.col("doc").isNull()
+    digest = F.when(none | F.col("_shared").isNotNull() | (F.col("doc") == NO_ID), F.md5(F.concat(F.when(none, "0").otherwise("1"), "text")))
+    half = lambda at: F.coalesce(F.conv(F.substr(digest, F.lit(at), F.lit(16)), 16, -10).cast("long"), F.lit(0))
+    return rows.select(F.coalesce("doc", F.lit(NO_ID)).alias("doc"), half(1).alias("k1"), half(17).alias("k2"), none.alias("none"), "text")
 
 
-def starts(pos: np.ndarray) -> np.ndarray:
-    return (pos >> np.int64(8)) & np.int64((1 << 40) - 1)
-
+def pack_pos(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First window, number of windows (at most `WIDEST`)."""
+    return (start.astype(np.int64) << np.int64(16)) | count.astype(np.int64)
 
-def counts(pos: np.ndarray) -> np.ndarray:
-    return pos & np.int64(255)
 
+def starts(pos: np.ndarray) -> np.ndarray:
+    return pos >> np.int64(16)
 
-def text_key(text: str | None) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(text or "") & 0x7FFF
+def counts(pos: np.ndarray) -> np.ndarray:
+    return pos & np.int64(WIDEST)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -96,7 +111,7 @@ def _blob(cols: dict[str, np.ndarray], names: tuple[str, ...]) -> bytes:
 
 def _unblob(blob: bytes, n: int, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
-    kinds = {"name": np.uint64, "run": np.uint64, "sides": np.uint32, "part": np.uint16, "doc": np.int64, "pos": np.int64}
+    kinds = {"name": np.uint64, "run": np.uint64, "sides": np.uint32, "part": np.uint32, **dict.fromkeys(PLACE, np.int64)}
     out, at = {}, 0
     for c in names:
         size = np.dtype(kinds[c]).itemsize
@@ -111,9 +126,9 @@ def _deal(cols: dict[str, np.ndarray], buckets: int, earlier: bool) -> Iterator[
     cols, settled, stands, name = settle(cols, earlier)
     many = np.bincount(name[stands], minlength=1)[name] >= MANY if len(name) else stands
     done, left = _take(cols, settled), _take(cols, stands & many)
-    away = lambda x: mix(x["doc"].view(np.uint64)) % np.uint64(buckets)
+    away = lambda x: mix((x["doc"] ^ x["k1"]).view(np.uint64)) % np.uint64(buckets)
     for kind, part, bucket in ((SETTLED, done, away(done)), (OPEN, left, away(left))):
-        yield from _pieces(part, bucket, kind, ("doc", "pos"))
+        yield from _pieces(part, bucket, kind, PLACE)
     note = _take(cols, np.flatnonzero(many)[np.diff(name[many], prepend=-1) != 0]) if many.any() else _take(cols, many)
     rest = _take(cols, stands & ~many)
     yield from _pieces(note, note["name"] % np.uint64(buckets), 3, ("name",))
@@ -128,18 +143,17 @@ def _pieces(cols: dict[str, np.ndarray], bucket: np.ndarray, kind: int, names: t
         yield int(bucket[a]), kind, b - a, _blob(_take(cols, order[a:b]), names)
 
 
-def _meet(blobs: list[tuple[int, int, bytes]], earlier: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, doc, pos) of all that came to one bucket."""
+def _meet(blobs: list[tuple[int, int, bytes]], earlier: bool) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Kind and places of all that came to one bucket."""
     rows = [_unblob(b, n, COLUMNS) for kind, n, b in blobs if kind == 1]
     notes = [_unblob(b, n, ("name",))["name"] for kind, n, b in blobs if kind == 3]
     for kind, n, b in blobs:
         if kind in (SETTLED, OPEN):
-            x = _unblob(b, n, ("doc", "pos"))
-            yield kind, x["doc"], x["pos"]
+            yield kind, _unblob(b, n, PLACE)
     if not rows:
         return
     cols, settled, stands, _ = settle({c: np.concatenate([r[c] for r in rows]) for c in COLUMNS}, earlier)
-    yield SETTLED, cols["doc"][settled], cols["pos"][settled]
+    yield SETTLED, {c: cols[c][settled] for c in PLACE}
     rest = _take(cols, stands)
     noted = np.isin(rest["name"], np.concatenate(notes)) if notes else np.zeros(len(rest["name"]), dtype=bool)
     agree = []
@@ -152,15 +166,15 @@ def _meet(blobs: list[tuple[int, int, bytes]], earlier: bool) -> Iterator[tuple[
         agree.append(noted.copy())
         agree[-1][order] |= kinds[group] > 1
     start, n = starts(rest["pos"]), counts(rest["pos"])
-    head, tail = (rest["part"] >> np.uint16(8)).astype(np.int64), (rest["part"] & np.uint16(255)).astype(np.int64)
+    head, tail = (rest["part"] >> np.uint32(16)).astype(np.int64), (rest["part"] & np.uint32(WIDEST)).astype(np.int64)
     first = np.where(agree[0], start, start + n - tail)
     size = np.where(agree[0] & agree[1], n, np.where(agree[0], head, np.where(agree[1], tail, 0)))
     some = size > 0
-    yield OPEN, rest["doc"][some], pack_pos(rest["pos"][some] >> np.int64(48), first[some], size[some])
+    yield OPEN, {**{c: rest[c][some] for c in TEXT}, "pos": pack_pos(first[some], size[some])}
 
 
 def repeated_runs(docs: DataFrame, find: Finder, earlier: bool) -> DataFrame:
-    """`docs(doc, text)` -> (kind, doc, pos): settled ranges of windows, and open ones."""
+    """`docs(doc, k1, k2, text)` -> (kind, doc, k1, k2, pos): settled ranges of windows, and open ones."""
     buckets = 4 * partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +191,12 @@ def repeated_runs(docs: DataFrame, find: Finder, earlier: bool) -> DataFrame:
         for batch in batches:
             for a, b in portions(batch.column("text")):
                 texts = batch.column("text").slice(a, b - a)
-                ids = batch.column("doc").slice(a, b - a).to_numpy()
-                keys = np.array([text_key(t) for t in texts.to_pylist()], dtype=np.int64)
+                ids = [batch.column(c).slice(a, b - a).to_numpy() for c in TEXT]
                 own, name, run, left, right, start, count, head, tail = find(texts)
                 sides = (left >> np.uint64(48) << np.uint64(16) | right >> np.uint64(48)).astype(np.uint32)
-                part = (head << 8 | tail).astype(np.uint16)
-                parts.append({"name": name, "run": run, "sides": sides, "part": part, "doc": ids[own], "pos": pack_pos(keys[own], start, count)})
+                part = (head << 16 | tail).astype(np.uint32)
+                place = {**{c: x[own] for c, x in zip(TEXT, ids)}, "pos": pack_pos(start, count)}
+                parts.append({"name": name, "run": run, "sides": sides, "part": part, **place})
                 size += len(own)
                 if size >= CHUNK:
                     yield flush()
@@ -192,10 +206,9 @@ def repeated_runs(docs: DataFrame, find: Finder, earlier: bool) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(blobs):
-            for kind, doc, pos in _meet(blobs, earlier):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(pos)], names=["kind", "doc", "pos"]
-                )
+            for kind, place in _meet(blobs, earlier):
+                kinds = pa.array(np.full(len(place["pos"]), kind, np.int32))
+                yield pa.RecordBatch.from_arrays([kinds, *(pa.array(place[c]) for c in PLACE)], names=["kind", *PLACE])
 
         now, blobs = None, []
         for batch in batches:
@@ -206,33 +219,29 @@ def repeated_runs(docs: DataFrame, find: Finder, earlier: bool) -> DataFrame:
                 blobs.append((kind, n, blob))
         yield from out(blobs)
 
-    dealt = docs.select("doc", "text").mapInArrow(deal, "bucket int, kind int, n int, blob binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, doc long, pos long")
+    dealt = docs.select(*TEXT, "text").mapInArrow(deal, "bucket int, kind int, n int, blob binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"kind int, {KEYS}, pos long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """`docs(doc, text)` -> (doc, key, z): texts compressed before they are shuffled."""
+    """The rows of `identified` with `z`, the text compressed before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([text_key(t) for t in texts], pa.int32()), pa.array([pack(t.encode()) for t in texts], pa.binary())],
-                names=["doc", "key", "z"],
-            )
+            z = pa.array([pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*TEXT, "none")), z], names=[*TEXT, "none", "z"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, key int, z binary")
+    return docs.select(*TEXT, "none", "text").mapInArrow(run, f"{KEYS}, none boolean, z binary")
 
 
 def by_text(ranges: DataFrame) -> DataFrame:
-    """(doc, pos) -> (doc, key, at): all ranges of one text."""
-    key = F.call_function("shiftright", F.col("pos"), F.lit(48)).cast("int")
-    return ranges.select("doc", key.alias("key"), "pos").groupBy("doc", "key").agg(F.collect_list("pos").alias("at"))
+    """(doc, k1, k2, pos) -> (doc, k1, k2, at): all ranges of one text."""
+    return ranges.groupBy(*TEXT).agg(F.collect_list("pos").alias("at"))
 
 
-def unpack_text(z: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(z).decode()
+def unpack_text(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
 
 
 def expand(pos: np.ndarray) -> np.ndarray:
@@ -250,32 +259,49 @@ def covered(pos: np.ndarray, window: int, n: int) -> np.ndarray:
 
 
 def repeated_windows(
-    docs: DataFrame, find: Finder, windows: Callable[[str, np.ndarray], np.ndarray], earlier: bool
-) -> tuple[DataFrame, DataFrame]:
-    """`docs(doc, text)` -> the texts (doc, key, z) and, for each with such windows, the ranges
-    (doc, key, at) of windows whose content occurs again: with `earlier` in a text of a smaller
-    `doc`, else anywhere.  `windows(text, starts)` hashes a text's windows."""
-    docs = docs.select(F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    docs: DataFrame, find: Finder, windows: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], window: int, earlier: bool
+) -> DataFrame:
+    """`docs(doc, text)` -> doc (null where it was), z (the text, compressed), at: the ranges of
+    its windows whose content occurs again (null if none does): with `earlier` in a text of a
+    smaller `doc`, else anywhere.  `windows(texts, text numbers, starts)` hashes windows."""
+    if not 1 <= window <= WIDEST:
+        raise ValueError(f"a window has 1 to {WIDEST} places")
+    docs = identified(docs)
     runs = materialize(repeated_runs(docs, find, earlier), "runs")
     texts = packed_texts(docs)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, key, z, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "key", "z", "at"))):
-                start = expand(np.array(at, dtype=np.int64))
-                pos = pack_pos(np.full(len(start), key), start, np.ones(len(start), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(windows(unpack_text(z), start).view(np.int64)), pa.array(np.full(len(start), doc)), pa.array(pos)],
-                    names=["window", "doc", "pos"],
-                )
+            raw, size, first = [], 0, 0
+            z = batch.column("z")
+            for n in range(len(batch)):
+                raw.append(unpack_text(z[n].as_py()))
+                size += len(raw[-1])
+                if size >= HASHED or n + 1 == len(batch):
+                    part = batch.slice(first, n + 1 - first)
+                    at = [expand(x) for x in _lists(part.column("at"))]
+                    own = np.repeat(np.arange(len(at)), [len(x) for x in at])
+                    start = np.concatenate(at)
+                    found = windows(pa.array(raw, pa.large_binary()).cast(pa.large_string()), own, start)
+                    ids = [pa.array(part.column(c).to_numpy()[own]) for c in TEXT]
+                    place = pa.array(pack_pos(start, np.ones(len(start), np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *ids, place], names=["window", *PLACE])
+                    raw, size, first = [], 0, n + 1
 
     left = by_text(runs.where(F.col("kind") == OPEN))
-    found = texts.join(left, ["doc", "key"]).select("doc", "key", "z", "at").mapInArrow(hashed, "window long, doc long, pos long")
+    found = texts.join(left, list(TEXT)).select(*TEXT, "z", "at").mapInArrow(hashed, f"window long, {KEYS}, pos long")
     found = materialize(found, "windows")
     if earlier:
         least = found.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
         again = found.join(least, "window").where("doc > least")
     else:
         again = found.join(found.groupBy("window").count().where("count > 1"), "window")
-    marks = runs.where(F.col("kind") == SETTLED).select("doc", "pos").unionByName(again.select("doc", "pos"))
-    return texts, by_text(marks)
+    marks = runs.where(F.col("kind") == SETTLED).select(*PLACE).unionByName(again.select(*PLACE))
+    joined = texts.join(by_text(marks), list(TEXT), "left")
+    return joined.select(F.when(~F.col("none"), F.col("doc")).alias("doc"), "z", "at")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of longs."""
+    values, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())
+    return np.split(values, ends[:-1])

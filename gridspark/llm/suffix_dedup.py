@@ -1,15 +1,12 @@
-"""Repeated byte strings, found by refining buckets of suffixes.
-
-Suffixes are put into buckets by their first eight bytes, and a bucket is refined by the
-bucket identifiers that its members have at a later offset: identifiers at i and i + 8 give
-those of 16 bytes, which at i and i + 16 give those of 32, and so on, each step reusing the
-ones before.  An identifier is a hash of what the bucket's members begin with, so all tasks
-agree on it without numbering buckets together.
-
-Of the suffixes that start in a window only the one with the least identifier is followed
-further, which is enough, for equal windows choose equal ones.  The buckets of these are
-refined once more, across all texts, by what precedes and what follows, until their members
-agree over whole windows or part (see `repeats`).
+"""Repeated byte strings, found by minimizers of hashed strings and compared by fingerprints.
+
+Buckets of suffixes are not refined by sorting here: every such round would shuffle a row per
+byte of the corpus, while what follows shuffles a row per run of windows, once.  Each start gets
+a hash of its first eight bytes; hashes at i and i + 8 give those of 16 bytes, which at i and
+i + 16 give those of 32, and so on up to 64.  Of the starts in a window the one with the least
+hash is its landmark, so equal windows choose equal ones.  Runs of windows around equal
+landmarks are compared by fingerprints of what they cover (see `repeats`); strings with equal
+64-bit fingerprints count as equal.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recompression import runs_of
-from .repeats import NO_ID, covered, repeated_windows, unpack_text
+from .repeats import covered, repeated_windows, unpack_text
 from .tokens import Spans, mix, portions
 
 #: A 64-bit name for each byte.
@@ -42,7 +39,7 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_ids(data: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of the buckets of `length` (8, 16, 32, …) bytes, for every start."""
+    """Hashes of the strings of `length` (8, 16, 32, …) bytes from every start."""
     n, size = len(data), 8
     ids = np.zeros(max(0, n - 7), np.uint64)
     for k in range(8):
@@ -101,31 +98,32 @@ def drop_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", tex
     than a window stay.  Extra columns are ignored.  An empty table gives an empty result.
     `kept` has the bytes that stay, which need not be whole characters.
     """
+    if window < 8:
+        raise ValueError("a window has 8 bytes at least")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    length = min(64, 1 << (window.bit_length() - 1))  # of the strings that landmarks are chosen by
 
     def find(texts: pa.Array) -> tuple[np.ndarray, ...]:
-        return find_runs(texts, window)
+        return find_runs(texts, window, length)
 
-    def windows(text: str, start: np.ndarray) -> np.ndarray:
-        return Spans(BYTES[np.frombuffer(text.encode(), dtype=np.uint8)], mixed=True)(start, start + window)
-
-    texts, marks = repeated_windows(rows, find, windows, earlier=False)
+    def windows(texts: pa.Array, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+        data, first = raw_bytes(texts)
+        return Spans(BYTES[data], mixed=True)(first[own] + start, first[own] + start + window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, z, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "at"))):
-                raw = unpack_text(z).encode()
+                raw = unpack_text(z)
                 n, spans, kept = len(raw), 0, raw
                 if at:
                     gone = covered(np.array(at, dtype=np.int64), window, n)
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                out.append((None if doc == NO_ID else doc, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    joined = texts.join(marks, ["doc", "key"], "left").select("doc", "z", "at")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeated_windows(rows, find, windows, window, earlier=False).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

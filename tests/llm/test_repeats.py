@@ -95,6 +95,45 @@ def test_hot_passages_and_small_chunks(docs, monkeypatch, earlier):
         assert order([tuple(r[:5]) for r in got]) == order(brute_bytes(rows, 80))
 
 
+@pytest.mark.parametrize("ids", ["null", "equal", "largest"])
+def test_many_texts_that_share_an_id(docs, ids):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(2000)]
+    hot = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(20)]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(30)) + " " + rng.choice(hot)
+    own = {"null": None, "equal": 4, "largest": 2**63 - 1}[ids]
+    rows = [(own, text(k)) for k in range(3000)] + [(1, hot[0]), (9, hot[1] + " " + hot[2]), (4, hot[3])]
+    rows += [(None, rows[0][1]), (own, rows[1][1])]
+    got = recompression.drop_repeats(docs(rows).repartition(5)).collect()
+    want = [(1 << 69 if ids == "null" else 2**63 - 1, t) if i is None else (i, t) for i, t in rows]
+    want = [(None if i == 1 << 69 else i, *r[1:]) for (i, _), r in zip(want, brute_words(want, 13))]
+    assert sorted(r[1:4] for r in got) == sorted(r[1:] for r in want)
+    got = suffix_dedup.drop_repeats(docs(rows).repartition(5), window=80).collect()
+    assert order([tuple(r[:5]) for r in got]) == order(brute_bytes(rows, 80))
+    assert sum(r.doc_id is None for r in got) == sum(i is None for i, _ in rows)
+
+
+@pytest.mark.parametrize("window", [300, 700])
+def test_wide_windows(docs, window):
+    rng = random.Random(window)
+    make = lambda k: [f"w{rng.randint(0, 50)}" for _ in range(k)]
+    long = make(1500)
+    rows = [(k, " ".join(make(40) + long[k * 10 : k * 10 + 900] + make(40))) for k in range(12)]
+    got = recompression.drop_repeats(docs(rows).repartition(3), window=window).collect()
+    assert order([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got]) == order(brute_words(rows, window))
+    got = suffix_dedup.drop_repeats(docs(rows).repartition(3), window=window).collect()
+    assert order([tuple(r[:5]) for r in got]) == order(brute_bytes(rows, window))
+
+
+def test_narrow_byte_windows_and_refused_ones(docs):
+    rows = corpus(4, 30)
+    got = suffix_dedup.drop_repeats(docs(rows).repartition(3), window=20).collect()
+    assert order([tuple(r[:5]) for r in got]) == order(brute_bytes(rows, 20))
+    for wrong in (lambda: suffix_dedup.drop_repeats(docs(rows), window=7), lambda: recompression.drop_repeats(docs(rows), window=1 << 16)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_empty_tables(docs):
     assert recompression.drop_repeats(docs([])).count() == 0
     assert suffix_dedup.drop_repeats(docs([])).count() == 0
