@@ -1,26 +1,30 @@
-"""MLlib pipelines: price regression, wind share, daily volatility, comparison, search."""
+"""Fitted models: price regression, wind share, daily volatility, comparison, search, storage."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import class_weight, classifier_metrics, forecast_evaluation
 from ..operators.serving import feature_profile
 from ..session import materialize
 from .features import chronological_split, random_folds, random_split, screen_features, stratified_split, time_folds
+from .linear import Linear, fold_predictions, mean_squared_error, solve, sums_of_products
+from .trees import Ensemble, Fit, best_round, bin_splits, fit_trees
 
 SEED = 42
+ROUNDS, PATIENCE = 100, 10
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -29,10 +33,11 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: Ensemble | Linear | PipelineModel
     features: list[str]
     trees: int
-    evaluation: DataFrame
+    evaluation: DataFrame | None = None
+    errors: list[float] = field(default_factory=list)  # held-out error after 0, 1, … trees
 
 
 def _require(df: DataFrame, features: Sequence[str]) -> None:
@@ -40,23 +45,18 @@ def _require(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"missing feature columns: {gone}")
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], target: str, *, validation: str, max_iter: int = 40, depth: int = 5) -> Trained:
-    """Boosted trees.  All `max_iter` rounds run on the rows that `validation` does not mark;
-    the number of trees with the least error on the marked rows, whatever rounds came after a
-    worse one, is kept; its metrics on those rows are returned with a model of that many
-    trees refitted on all rows."""
-
-    def boosted(rounds: int, rows: DataFrame) -> PipelineModel:
-        learner = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, seed=SEED, stepSize=0.1)
-        return Pipeline(stages=[assembler(features), learner]).fit(rows)
-
-    fitted, held = train.where(~F.col(validation)), train.where(F.col(validation))
-    probe = boosted(max_iter, fitted)
-    errors = probe.stages[-1].evaluateEachIteration(probe.stages[0].transform(held), "squared")
-    trees = int(np.argmin(errors)) + 1
-    # The same rows and seed give the same first trees.
-    best = probe if trees == max_iter else boosted(trees, fitted)
-    return Trained(boosted(trees, train), list(features), trees, evaluate(predict(best, held, features), target))
+def fit_boosted(
+    train: DataFrame, features: Sequence[str], target: str, *, validation: str, max_iter: int = ROUNDS, depth: int = 5, patience: int | None = PATIENCE, **params
+) -> Trained:
+    """Second-order boosted trees.  Trees are added on the rows that `validation` does not mark,
+    until the error on the marked rows has not improved for `patience` rounds (None: all
+    `max_iter`).  The number of trees with the least error is kept; its metrics on the marked rows
+    are returned with a model of that many trees on all rows, which grows beside the first one."""
+    fit = Fit(train=f"not {validation}", held=validation, rounds=max_iter, depth=depth, patience=patience, seed=SEED, **params)
+    probe, whole = fit_trees(train, features, target, features, [fit, replace(fit, train="true", held="false", follow=0)])
+    trees = best_round(probe.errors)
+    held = predict(probe.first(trees), train.where(F.col(validation)), features)
+    return Trained(whole.first(trees), list(features), trees, evaluate(held, target), probe.errors)
 
 
 def train_price_model(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], **kw) -> Trained:
@@ -69,7 +69,7 @@ def train_wind_model(df: DataFrame, features: Sequence[str], target: str = "shar
     return fit_boosted(chronological_split(df, 0.1, ts), features, target, validation="is_test", **kw)
 
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+def predict(model: Ensemble | Linear | PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     _require(df, features)
     return model.transform(df).drop("features", "rawPrediction")
 
@@ -129,11 +129,17 @@ def predict_volatility(trained: Volatility, daily: DataFrame) -> DataFrame:
     return _likelihood(trained.model.transform(rows)).select("date", "likelihood")
 
 
-REGRESSORS: dict[str, Callable[..., object]] = {
-    "linear": lambda target: LinearRegression(labelCol=target, regParam=0.001),
+#: Learners by name.  The sets are parameters of `linear.solve`, of `trees.Fit` or of MLlib.
+TREES: dict[str, dict] = {
+    "second_order": {"rounds": 40, "depth": 5},
+    "leaf_limited": {"rounds": 40, "depth": 7, "leaves": 24},
+    "forest": {"rounds": 30, "depth": 6, "l2": 0.0, "forest": True},
+}
+MLLIB: dict[str, Callable[..., object]] = {
     "random_forest": lambda target: RandomForestRegressor(labelCol=target, numTrees=100, maxDepth=5, seed=SEED),
     "boosted_trees": lambda target: GBTRegressor(labelCol=target, maxIter=40, maxDepth=5, seed=SEED),
 }
+COMPARED = ("linear", "random_forest", "boosted_trees", "second_order", "leaf_limited")
 
 
 def evaluate(predictions: DataFrame, target: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -141,28 +147,51 @@ def evaluate(predictions: DataFrame, target: str, groups: Sequence[str] = ()) ->
     return forecast_evaluation(rows, target, "prediction", groups).drop("first_ts", "last_ts")
 
 
-def compare_models(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], models: Sequence[str] = tuple(REGRESSORS)) -> DataFrame:
-    """Held-out metrics per model, best first."""
+def fit_linear(train: DataFrame, features: Sequence[str], target: str, **params) -> Linear:
+    sums = sums_of_products(train, features, target)
+    return solve(sums, sums.of(lambda group: True), **params)
+
+
+def compare_models(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], models: Sequence[str] = COMPARED) -> DataFrame:
+    """Held-out metrics per model, best first.  Trees of this package grow together."""
     split = random_split(df, key, 0.2)
-    data = assembler(features).transform(split).select("is_test", target, "features")
-    train, test = data.where(~F.col("is_test")), data.where("is_test")
+    train, test = split.where("not is_test"), split.where("is_test")
+    own = [name for name in models if name in TREES]
+    fitted: dict[str, object] = dict(zip(own, fit_trees(train, features, target, key, [Fit(seed=SEED, **TREES[n]) for n in own]) if own else []))
+    if mllib := [name for name in models if name in MLLIB]:
+        data = assembler(features).transform(train).select(target, "features")
+        fitted |= {name: PipelineModel([assembler(features), MLLIB[name](target).fit(data)]) for name in mllib}
+    if "linear" in models:
+        fitted["linear"] = fit_linear(train, features, target)
     scored = None
     for name in models:
-        out = REGRESSORS[name](target).fit(train).transform(test).withColumn("model", F.lit(name)).select("model", target, "prediction")
+        out = predict(fitted[name], test, features).select(F.lit(name).alias("model"), target, "prediction")
         scored = out if scored is None else scored.unionByName(out)
     return evaluate(scored, target, ["model"]).orderBy("mae")
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], *, folds: int = 5, model: str = "linear", expanding: bool = False, ts: str = "ts") -> DataFrame:
-    """Metrics per fold.  Shuffled folds by a hash of the key, or expanding time folds."""
+def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], *, folds: int = 5, model: str = "linear", expanding: bool = False, ts: str = "ts", **params) -> DataFrame:
+    """Metrics per fold.  Shuffled folds by a hash of the key, or expanding time folds.  `params`
+    are those of `linear.solve` or of `trees.Fit`."""
     data = time_folds(df, folds, ts) if expanding else random_folds(df, key, folds)
-    data = assembler(features).transform(data).select("fold", target, "features")
+    tested = range(1, folds + 1) if expanding else range(folds)
+    if model == "linear":
+        sums = sums_of_products(data, features, target, ["fold"])
+        part = lambda k: sums.of(lambda group: group[0] < k if expanding else group[0] != k)
+        scored = fold_predictions(data, {k: solve(sums, part(k), **params) for k in tested}, "fold")
+        return evaluate(scored.select("fold", target, "prediction"), target, ["fold"])
+    fits = [Fit(train=f"fold {'<' if expanding else '<>'} {k}", seed=SEED, **{**TREES[model], **params}) for k in tested]
+    fitted = dict(zip(tested, fit_trees(data, features, target, key, fits)))
+    return evaluate(_by_fold(data, fitted, features, target, "fold"), target, ["fold"])
+
+
+def _by_fold(data: DataFrame, fitted: dict[int, Ensemble], features: Sequence[str], target: str, fold: str) -> DataFrame:
+    """The rows of every fold with the prediction of its model."""
     scored = None
-    for k in range(1, folds + 1) if expanding else range(folds):
-        train = data.where(F.col("fold") < k) if expanding else data.where(F.col("fold") != k)
-        out = REGRESSORS[model](target).fit(train).transform(data.where(F.col("fold") == k)).select("fold", target, "prediction")
+    for k, model in fitted.items():
+        out = predict(model, data.where(F.col(fold) == k), features).select(fold, target, "prediction")
         scored = out if scored is None else scored.unionByName(out)
-    return evaluate(scored, target, ["fold"])
+    return scored
 
 
 def mean_over_folds(per_fold: DataFrame) -> DataFrame:
@@ -172,50 +201,127 @@ def mean_over_folds(per_fold: DataFrame) -> DataFrame:
     ).withColumn("rmse", F.sqrt("mse"))
 
 
-#: Parameter sets by model.
+#: Parameter sets that are searched, by model; the learner's other parameters stay as in `TREES`.
 GRIDS: dict[str, list[dict]] = {
-    "linear": [{"regParam": r, "elasticNetParam": e} for r in (0.001, 0.1) for e in (0.0, 0.5)],
-    "boosted_trees": [{"maxIter": 20, "maxDepth": d} for d in (3, 5)],
+    "linear": [{"l2": 0.001}, {"l2": 0.1}, {"l2": 0.001, "l1": 0.01}],
+    "second_order": [{"depth": 3}, {"depth": 5, "l2": 5.0}],
+    "forest": [{"depth": 4}, {"depth": 6}],
 }
-LEARNERS = {"linear": LinearRegression, "boosted_trees": lambda **kw: GBTRegressor(seed=SEED, **kw)}
 
 
 def grid_search(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict] | None = None, *, folds: int = 3, model: str = "boosted_trees"
+    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict] | None = None, *, folds: int = 3, model: str = "second_order"
 ) -> DataFrame:
-    """Mean fold metrics for every parameter set of the model, best first."""
+    """Mean fold metrics for every parameter set of the model, best first.  All sets and folds are
+    fitted over the same sums or binned rows."""
     grid = GRIDS[model] if grid is None else grid
-    results = None
-    data = assembler(features).transform(random_folds(df, key, folds)).select("fold", target, "features")
-    for i, params in enumerate(grid):
-        scored = None
-        for k in range(folds):
-            learner = LEARNERS[model](labelCol=target, **params)
-            out = learner.fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k)).select("fold", target, "prediction")
-            scored = out if scored is None else scored.unionByName(out)
-        row = mean_over_folds(evaluate(scored, target, ["fold"])).select(F.lit(i).alias("trial"), F.lit(str(params)).alias("params"), "*")
-        results = row if results is None else results.unionByName(row)
-    return results.orderBy("rmse", "trial")
+    data = random_folds(df, key, folds).select(*dict.fromkeys([*key, *features, target, "fold"]))
+    cells = [(i, k) for i in range(len(grid)) for k in range(folds)]
+    if model == "linear":
+        sums = sums_of_products(data, features, target, ["fold"])
+        fitted: list = [solve(sums, sums.of(lambda group: group[0] != k), **grid[i]) for i, k in cells]
+    else:
+        fits = [Fit(train=f"fold <> {k}", seed=SEED, **{**TREES[model], **grid[i]}) for i, k in cells]
+        fitted = fit_trees(data, features, target, key, fits)
+    scored = None
+    for i in range(len(grid)):
+        own = {k: m for (j, k), m in zip(cells, fitted) if j == i}
+        out = fold_predictions(data, own, "fold") if model == "linear" else _by_fold(data, own, features, target, "fold")
+        out = out.select("fold", target, "prediction").withColumn("trial", F.lit(i))
+        scored = out if scored is None else scored.unionByName(out)
+    means = evaluate(scored, target, ["trial", "fold"]).groupBy("trial").agg(*(F.avg(c).alias(c) for c in ("mae", "mse", "r2", "smape")))
+    names = F.array(*(F.lit(str(g)) for g in grid))
+    return means.select("trial", F.get(names, F.col("trial")).alias("params"), "mae", "mse", "r2", "smape", F.sqrt("mse").alias("rmse")).orderBy("rmse", "trial")
 
 
 def nested_search(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict] | None = None, *, outer: int = 5, inner: int = 3, model: str = "linear"
+    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], grid: Sequence[dict] | None = None, *, outer: int = 5, inner: int = 3, model: str = "second_order"
 ) -> DataFrame:
-    """Search inside each outer training part; metrics of the winner on the outer fold."""
+    """Search inside each outer training part: per outer fold the chosen parameter set (`trial`,
+    `params`), its number of trees (boosting: the mean of the best inner rounds), and its metrics.
+
+    Every inner and outer fit of every set grows over the same binned rows, or is solved from the
+    same sums by (outer fold, inner fold)."""
     grid = GRIDS[model] if grid is None else grid
-    data, scored = random_folds(df, key, outer, seed=7, name="outer_fold"), None
-    for k in range(outer):
-        train, test = data.where(F.col("outer_fold") != k), data.where(F.col("outer_fold") == k)
-        best = grid[grid_search(train, features, target, key, grid, folds=inner, model=model).first()["trial"]]
-        winner = Pipeline(stages=[assembler(features), LEARNERS[model](labelCol=target, **best)]).fit(train)
-        out = winner.transform(test).select("outer_fold", target, "prediction")
-        scored = out if scored is None else scored.unionByName(out)
-    return evaluate(scored, target, ["outer_fold"])
+    data = random_folds(random_folds(df, key, outer, seed=7, name="outer_fold"), key, inner, name="inner_fold")
+    data = data.select(*dict.fromkeys([*key, *features, target, "outer_fold", "inner_fold"]))
+    chosen: dict[int, int] = {}
+    trees: dict[int, int | None] = {}
+    best: dict[int, Ensemble | Linear] = {}
+    if model == "linear":
+        sums = sums_of_products(data, features, target, ["outer_fold", "inner_fold"])
+
+        def loss(k: int, i: int, j: int) -> float:
+            fitted = solve(sums, sums.of(lambda g: g[0] != k and g[1] != j), **grid[i])
+            return mean_squared_error(sums, sums.of(lambda g: g[0] != k and g[1] == j), fitted)
+
+        for k in range(outer):
+            chosen[k] = int(np.argmin([np.mean([loss(k, i, j) for j in range(inner)]) for i in range(len(grid))]))
+            best[k], trees[k] = solve(sums, sums.of(lambda g: g[0] != k), **grid[chosen[k]]), None
+        scored = fold_predictions(data, best, "outer_fold")
+    else:
+        cells = [(k, i, j) for k in range(outer) for i in range(len(grid)) for j in (*range(inner), None)]
+        fits = []
+        for k, i, j in cells:
+            where = f"outer_fold <> {k}"
+            held = "false" if j is None else f"{where} and inner_fold = {j}"
+            fits.append(Fit(train=where if j is None else f"{where} and inner_fold <> {j}", held=held, seed=SEED, **{**TREES[model], **grid[i]}))
+        fitted = dict(zip(cells, fit_trees(data, features, target, key, fits)))
+        for k in range(outer):
+            found = [[fitted[k, i, j].errors for j in range(inner)] for i in range(len(grid))]
+            chosen[k] = int(np.argmin([np.mean([min(e) for e in errors]) for errors in found]))
+            whole = fitted[k, chosen[k], None]
+            rounds = len(whole.trees)
+            if not TREES[model].get("forest"):
+                rounds = max(1, round(float(np.mean([best_round(e) for e in found[chosen[k]]]))))
+            best[k], trees[k] = whole.first(rounds), rounds
+        scored = _by_fold(data, best, features, target, "outer_fold")
+    metrics = evaluate(scored.select("outer_fold", target, "prediction"), target, ["outer_fold"])
+    rows = [(k, chosen[k], str(grid[chosen[k]]), trees[k]) for k in range(outer)]
+    picked = df.sparkSession.createDataFrame(rows, "outer_fold int, trial int, params string, trees int")
+    return metrics.join(F.broadcast(picked), "outer_fold")
+
+
+def save_model(spark: SparkSession, trained: Trained | Volatility, path: str) -> None:
+    """The model and a manifest of its kind and features under `path`, which must not exist yet, in
+    a folder that all executors share.  The manifest comes last: without it there is no model."""
+    model = trained.model
+    text = None
+    if isinstance(model, PipelineModel):
+        model.write().save(f"{path}/pipeline")
+    elif isinstance(model, Ensemble):
+        text = model.described()
+    else:
+        text = json.dumps({"coefficients": list(map(float, model.coefficients)), "intercept": float(model.intercept)})
+    row = (type(model).__name__, list(trained.features), getattr(trained, "trees", 0), text)
+    spark.createDataFrame([row], "kind string, features array<string>, trees int, model string").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def load_model(spark: SparkSession, path: str, frame: DataFrame | None = None) -> Trained:
+    """What `save_model` wrote; with a `frame`, its columns are checked against the manifest."""
+    row = spark.read.schema("kind string, features array<string>, trees int, model string").parquet(f"{path}/manifest").first()
+    if row["kind"] == "PipelineModel":
+        model: Ensemble | Linear | PipelineModel = PipelineModel.load(f"{path}/pipeline")
+    elif row["kind"] == "Ensemble":
+        model = Ensemble.read(row["model"])
+    else:
+        found = json.loads(row["model"])
+        model = Linear(list(row["features"]), np.array(found["coefficients"]), found["intercept"])
+    if frame is not None:
+        _require(frame, row["features"])
+        types = dict(frame.dtypes)
+        if wrong := [c for c in row["features"] if types[c].split("(")[0] not in NUMERIC]:
+            raise ValueError(f"feature columns that are not numbers: {wrong}")
+    return Trained(model, list(row["features"]), row["trees"])
+
+
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def importances(trained: Trained, spark) -> DataFrame:
     """Feature names with their importance, largest first; one row per feature."""
-    values = trained.model.stages[-1].featureImportances.toArray()
+    model = trained.model
+    values = model.importances() if isinstance(model, Ensemble) else model.stages[-1].featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(trained.features, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 

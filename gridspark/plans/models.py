@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..ml import features as fe
 from ..ml import models as mo
 from ..operators import feeds, metrics
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .inputs import SHIP, ship, with_sql
 from .registry import query
 from .sources import HOLIDAYS
@@ -70,6 +70,99 @@ def m1(t):
     return against_mean(trained, fe.random_split(rows, ["ts"], 0.1), "price")
 
 
+PRICE_FEATURES = fe.feature_list(fe.CALENDAR, ["wind", "nuclear"], ["t_1", "t_2"], ["temp_mean", "temp_variance"])
+CYCLIC = """{name} AS (SELECT *, CAST(year(ts) AS BIGINT) AS year, sin(2 * pi() * isodow(ts) / 7) AS day_of_week_sin, cos(2 * pi() * isodow(ts) / 7) AS day_of_week_cos,
+    sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos{more} FROM {rows})"""
+ENCODED = CYCLIC.format(name="encoded", rows="training", more=", (t_1 + t_2) / 2 AS temp_mean, pow(t_1 - t_2, 2) / 2 AS temp_variance")
+
+
+def ridge_sql(rows: str, fits: str, train: str, name: str = "") -> list[str]:
+    """Expressions that end in `solved{name}`(g, mu, sd, w): for each row (g, l2) of `fits` the
+    weights of the standardised features of those `rows` (columns v, the features and then the
+    target) that `train` takes, by elimination in a recursive query."""
+    d = len(PRICE_FEATURES)
+    means = ", ".join(f"avg(v[{i}])" for i in range(1, d + 2))
+    pairs = ", ".join("[" + ", ".join(f"covar_pop(v[{i}], v[{j}])" for j in range(1, d + 2)) + "]" for i in range(1, d + 2))
+    inner = f"[CASE WHEN i = step THEN m[step][j] / m[step][step] ELSE m[i][j] - m[i][step] * m[step][j] / m[step][step] END for j in range(1, {d + 2})]"
+    return [
+        f"moments{name} AS (SELECT g, l2, [{means}] AS mu, [{pairs}] AS c FROM {rows} x JOIN {fits} f ON {train} GROUP BY g, l2)",
+        f"spread{name} AS (SELECT *, [sqrt(c[i][i]) for i in range(1, {d + 2})] AS sd FROM moments{name})",
+        f"""gauss{name}(g, step, m) AS (
+            SELECT g, 1, [list_append([c[i][j] / (sd[i] * sd[j]) + CASE WHEN i = j THEN l2 ELSE 0 END for j in range(1, {d + 1})], c[i][{d + 1}] / (sd[i] * sd[{d + 1}])) for i in range(1, {d + 1})] FROM spread{name}
+            UNION ALL SELECT g, step + 1, [{inner} for i in range(1, {d + 1})] FROM gauss{name} WHERE step <= {d})""",
+        f"solved{name} AS (SELECT g, mu, sd, [m[i][{d + 1}] for i in range(1, {d + 1})] AS w FROM gauss{name} JOIN spread{name} USING (g) WHERE step = {d + 1})",
+    ]
+
+
+PREDICTED = f"mu[{len(PRICE_FEATURES) + 1}] + sd[{len(PRICE_FEATURES) + 1}] * list_sum([w[i] * (v[i] - mu[i]) / sd[i] for i in range(1, {len(PRICE_FEATURES) + 1})])"
+VECTORS = "vectors AS (SELECT ts, price AS y, [" + ", ".join(f"CAST({f} AS DOUBLE)" for f in [*PRICE_FEATURES, "price"]) + "] AS v, {more} FROM encoded{tables})"
+ERRORS = """count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) * (y - p)), 6) AS mse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2"""
+
+
+def recursive(body: str, *ctes: str) -> str:
+    return with_sql(body, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+BOOST_FEATURES, BOOST_CUTS = ["wind", "nuclear", "day_of_week_sin"], 16
+BOOST = {"rounds": 3, "depth": 2, "eta": 0.3, "l1": 2.0, "l2": 3.0, "gamma": 0.0}
+
+
+def boost_sql() -> list[str]:
+    """Expressions for three rounds of second-order boosting, every aggregate written out."""
+    shrunk = lambda g: f"(sign({g}) * greatest(abs({g}) - {BOOST['l1']}, 0))"
+    weight = lambda g, h: f"(-{BOOST['eta']} * {shrunk(g)} / ({h} + {BOOST['l2']}))"
+    score = lambda g, h: f"({shrunk(g)} * {shrunk(g)} / ({h} + {BOOST['l2']}))"
+    ends = ", ".join(f"min({f}) AS lo_{k}, max({f}) AS hi_{k}" for k, f in enumerate(BOOST_FEATURES))
+    cuts = ", ".join(f"[lo_{k} + (hi_{k} - lo_{k}) * s / {BOOST_CUTS} for s in range(1, {BOOST_CUTS})] AS cuts_{k}" for k in range(len(BOOST_FEATURES)))
+    bins = ", ".join(f"len([c for c in cuts_{k} if c < {f}])" for k, f in enumerate(BOOST_FEATURES))
+    out = [
+        f"ends AS (SELECT {ends} FROM encoded)",
+        f"cuts AS (SELECT {cuts} FROM ends)",
+        f"held AS (SELECT ts, price AS y, [{bins}] AS bins, {HASH.format(seed=42, key='ts')} < 0.1 AS is_test FROM encoded, cuts)",
+        "state_0 AS (SELECT *, (SELECT avg(y) FROM held WHERE NOT is_test) AS p FROM held)",
+    ]
+    for r in range(1, BOOST["rounds"] + 1):
+        out.append(f"r{r}_rows_0 AS (SELECT *, 0 AS node, CAST(0 AS DOUBLE) AS value FROM state_{r - 1})")
+        for level in range(BOOST["depth"]):
+            at = f"r{r}_rows_{level}"
+            out += [
+                f"r{r}_sums_{level} AS (SELECT node, f, b, sum(g) AS g, CAST(count(*) AS DOUBLE) AS h FROM (SELECT node, p - y AS g, unnest(range({len(BOOST_FEATURES)})) AS f, unnest(bins) AS b FROM {at} WHERE NOT is_test) GROUP BY ALL)",
+                f"r{r}_left_{level} AS (SELECT node, f, b, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER (PARTITION BY node, f) AS gt, sum(h) OVER (PARTITION BY node, f) AS ht FROM r{r}_sums_{level} WINDOW o AS (PARTITION BY node, f ORDER BY b))",
+                f"r{r}_gain_{level} AS (SELECT *, ({score('gl', 'hl')} + {score('(gt - gl)', '(ht - hl)')} - {score('gt', 'ht')}) / 2 AS gain FROM r{r}_left_{level} WHERE ht - hl >= 1)",
+                f"r{r}_best_{level} AS (SELECT node, f, b, gain, {weight('gl', 'hl')} AS lw, {weight('(gt - gl)', '(ht - hl)')} AS rw FROM r{r}_gain_{level} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round_even(gain, 7) DESC, f, b) = 1)",
+                f"""r{r}_rows_{level + 1} AS (SELECT x.* EXCLUDE (node, value), CASE WHEN b.f IS NULL THEN -1 WHEN x.bins[b.f + 1] > b.b THEN 2 * x.node + 2 ELSE 2 * x.node + 1 END AS node,
+                    CASE WHEN b.f IS NULL THEN x.value WHEN x.bins[b.f + 1] > b.b THEN b.rw ELSE b.lw END AS value FROM {at} x LEFT JOIN r{r}_best_{level} b ON x.node = b.node)""",
+            ]
+        out.append(f"state_{r} AS (SELECT ts, y, bins, is_test, p + value AS p FROM r{r}_rows_{BOOST['depth']})")
+    return out
+
+
+def boosted_nodes_sql() -> str:
+    names = "[" + ", ".join(f"'{f}'" for f in BOOST_FEATURES) + "]"
+    cuts = "CASE f " + " ".join(f"WHEN {k} THEN cuts_{k}[b + 1]" for k in range(len(BOOST_FEATURES))) + " END"
+    parts = [
+        f"""SELECT {r} AS round, node, {names}[f + 1] AS feature, round({cuts}, 4) AS threshold, round(gain, 4) AS gain,
+            (SELECT round(avg((y - p) * (y - p)), 4) FROM state_{r} WHERE is_test) AS held_mse FROM r{r}_best_{level}, cuts"""
+        for r in range(1, BOOST["rounds"] + 1)
+        for level in range(BOOST["depth"])
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("m1_boosted_rounds", with_sql(boosted_nodes_sql(), SHIP, FRAME, TRAINING, ENCODED, *boost_sql()), digits=4)
+def m1_rounds(t):
+    """Every split of three rounds, and the held-out error after each round."""
+    rows, _ = price_rows(t)
+    ends = rows.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in BOOST_FEATURES]).first()
+    splits = [[ends[c]["lo"] + (ends[c]["hi"] - ends[c]["lo"]) * k / BOOST_CUTS for k in range(1, BOOST_CUTS)] for c in BOOST_FEATURES]
+    split = fe.random_split(rows, ["ts"], 0.1)
+    fit = mo.Fit(train="not is_test", held="is_test", **BOOST)
+    model = mo.fit_trees(split, BOOST_FEATURES, "price", ["ts"], [fit], splits)[0]
+    errors = t.spark.createDataFrame([(k, e) for k, e in enumerate(model.errors)], "round int, held_mse double")
+    nodes = model.nodes(t.spark).where("feature is not null").withColumn("round", F.col("tree") + 1)
+    return nodes.join(F.broadcast(errors), "round").select("round", "node", "feature", "threshold", "gain", "held_mse")
+
+
 SHARES = """shares AS (SELECT ts, wind / cap AS share FROM (
         SELECT ts, wind, nuclear, last_value(price IGNORE NULLS) OVER (ORDER BY ts) AS cap FROM frame) WHERE wind IS NOT NULL AND nuclear IS NOT NULL AND cap IS NOT NULL)"""
 LATE = "epoch_us(ts) > (SELECT quantile_cont(CAST(epoch_us(ts) AS DOUBLE), 0.9) FROM {rows})"
@@ -159,7 +252,10 @@ def m8(t):
     """The number of trees is the best of all rounds, and the refitted model has as many."""
     rows, features = price_rows(t)
     trained = mo.train_price_model(rows, features, "price", ["ts"])
-    chosen = 1 <= trained.trees <= 40 and trained.model.stages[-1].getNumTrees == trained.trees
+    least = min(range(len(trained.errors)), key=trained.errors.__getitem__)
+    chosen = trained.trees == len(trained.model.trees) == max(1, least)
+    # The rounds end after those of patience, unless all were used.
+    chosen = chosen and (len(trained.errors) - 1 == mo.ROUNDS or len(trained.errors) - 1 - least >= mo.PATIENCE)
     return trained.evaluation.select("n", F.lit(chosen).alias("chosen"))
 
 
@@ -168,16 +264,31 @@ def m9_folds(t):
     return fe.random_folds(t.lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
 
 
-FOLDS = "SELECT {fold} AS fold, count(*) AS n, TRUE AS sound FROM training GROUP BY 1"
+def folds_sql(fold: str, train: str, tested: str, tables: str = "") -> str:
+    fits = f"fits AS (SELECT unnest({tested}) AS g, 0.001 AS l2)"
+    body = f", scored AS (SELECT x.fold, y, {PREDICTED} AS p FROM vectors x JOIN solved s ON x.fold = s.g) SELECT fold, {ERRORS} FROM scored GROUP BY 1"
+    vectors = VECTORS.format(more=f"{fold} AS fold", tables=tables)
+    return recursive(body, SHIP, FRAME, TRAINING, ENCODED, *CUT_TIMES, vectors, fits, *ridge_sql("vectors", "fits", train))
+
 
+CUT_TIMES = ["times AS (SELECT quantile_cont(CAST(epoch_us(ts) AS DOUBLE), [0.25, 0.5, 0.75]) AS ends FROM training)"]
+FIVE_FOLDS = f"CAST(floor({HASH.format(seed=42, key='ts')} * 5) AS BIGINT)"
+TIME_FOLD = " + ".join(f"CAST(epoch_us(ts) > ends[{k}] AS BIGINT)" for k in (1, 2, 3))
 
-@query("m9_cross_validation", with_sql(FOLDS.format(fold=f"CAST(floor({HASH.format(seed=42, key='ts')} * 5) AS BIGINT)"), SHIP, FRAME, TRAINING))
+
+@query("m9_cross_validation", folds_sql(FIVE_FOLDS, "x.fold <> f.g", "range(5)"))
 def m9(t):
-    """Five shuffled folds and the mean over them."""
+    """Errors of the linear model on five shuffled folds."""
     rows, features = price_rows(t)
-    folds = mo.cross_validate(rows, features, "price", ["ts"])
-    mean = mo.mean_over_folds(folds).select("r2").scalar()
-    return folds.select("fold", "n", ((F.col("r2") > -0.25) & (mean > -0.25)).alias("sound"))
+    return mo.cross_validate(rows, features, "price", ["ts"]).select("fold", "n", "mae", "mse", "r2")
+
+
+@query("m9_tree_cross_validation", with_sql(f"SELECT {FIVE_FOLDS} AS fold, count(*) AS n, TRUE AS sound FROM training GROUP BY 1", SHIP, FRAME, TRAINING))
+def m9_trees(t):
+    """Five shuffled folds of second-order boosting, grown together."""
+    rows, features = price_rows(t)
+    folds = mo.cross_validate(rows, features, "price", ["ts"], model="second_order")
+    return folds.select("fold", "n", (F.col("r2") > -0.25).alias("sound"))
 
 
 @query(
@@ -191,19 +302,11 @@ def m10_folds(t):
     return fe.time_folds(ship(t).select("series_id", "ts"), 3)
 
 
-@query(
-    "m10_time_series_cv",
-    with_sql(
-        """, c AS (SELECT quantile_cont(CAST(epoch_us(ts) AS DOUBLE), [0.25, 0.5, 0.75]) AS c FROM training),
-             f AS (SELECT CAST(epoch_us(ts) > c[1] AS BIGINT) + CAST(epoch_us(ts) > c[2] AS BIGINT) + CAST(epoch_us(ts) > c[3] AS BIGINT) AS fold FROM training, c)
-           SELECT fold, count(*) AS n, TRUE AS sound FROM f WHERE fold > 0 GROUP BY 1""",
-        SHIP, FRAME, TRAINING,
-    ),
-)
+@query("m10_time_series_cv", folds_sql(TIME_FOLD, "x.fold < f.g", "range(1, 4)", ", times"))
 def m10(t):
+    """Errors of the linear model on stretches after its training rows."""
     rows, features = price_rows(t)
-    folds = mo.cross_validate(rows, features, "price", ["ts"], folds=3, expanding=True)
-    return folds.select("fold", "n", (F.col("r2") > -0.25).alias("sound"))
+    return mo.cross_validate(rows, features, "price", ["ts"], folds=3, expanding=True).select("fold", "n", "mae", "mse", "r2")
 
 
 def trials_sql(model: str) -> str:
@@ -211,9 +314,31 @@ def trials_sql(model: str) -> str:
     return f"SELECT trial, params, TRUE AS sound FROM (VALUES {rows}) v(trial, params)"
 
 
-@query("m11_grid_search", trials_sql("boosted_trees"))
+LINEAR_GRID = [0.001, 0.1, 10.0]
+
+
+def linear_search_sql() -> str:
+    trials = ", ".join(f"({i}, {v})" for i, v in enumerate(LINEAR_GRID))
+    fits = f"fits AS (SELECT 3 * trial + k AS g, trial, k, l2 FROM (VALUES {trials}) t(trial, l2), range(3) r(k))"
+    fold = f"CAST(floor({HASH.format(seed=42, key='ts')} * 3) AS BIGINT)"
+    body = f""", scored AS (SELECT f.trial, x.fold, y, {PREDICTED} AS p FROM vectors x JOIN fits f ON x.fold = f.k JOIN solved s USING (g)),
+        each AS (SELECT trial, fold, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse FROM scored GROUP BY 1, 2)
+        SELECT trial, round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse, round(sqrt(avg(mse)), 6) AS rmse FROM each GROUP BY 1"""
+    vectors = VECTORS.format(more=f"{fold} AS fold", tables="")
+    return recursive(body, SHIP, FRAME, TRAINING, ENCODED, vectors, fits, *ridge_sql("vectors", "fits", "x.fold <> f.k"))
+
+
+@query("m11_linear_search", linear_search_sql())
+def m11_linear(t):
+    """Mean fold errors of the linear model for three penalties."""
+    rows, features = price_rows(t)
+    found = mo.grid_search(rows, features, "price", ["ts"], [{"l2": v} for v in LINEAR_GRID], model="linear")
+    return found.select("trial", "mae", "mse", "rmse")
+
+
+@query("m11_grid_search", trials_sql("second_order"))
 def m11(t):
-    """Three folds for every parameter set of the boosted trees."""
+    """Three folds for every parameter set of the second-order boosted trees."""
     rows, features = price_rows(t)
     found = mo.grid_search(rows, features, "price", ["ts"])
     return found.select("trial", "params", (F.col("r2") > -0.25).alias("sound"))
@@ -224,10 +349,45 @@ def m11(t):
     with_sql(f"SELECT CAST(floor({HASH.format(seed=7, key='ts')} * 5) AS BIGINT) AS outer_fold, count(*) AS n, TRUE AS sound FROM training GROUP BY 1", SHIP, FRAME, TRAINING),
 )
 def m11_nested(t):
-    """Five outer by three inner folds over the parameter sets of the linear model."""
+    """Five outer by three inner folds over the parameter sets of second-order boosting."""
     rows, features = price_rows(t)
     found = mo.nested_search(rows, features, "price", ["ts"])
-    return found.select("outer_fold", "n", (F.col("r2") > -0.25).alias("sound"))
+    sound = (F.col("r2") > -0.25) & F.col("trial").between(0, len(mo.GRIDS["second_order"]) - 1) & F.col("trees").between(1, 40)
+    return found.select("outer_fold", "n", sound.alias("sound"))
+
+
+@query(
+    "m11_nested_forest",
+    with_sql(f"SELECT CAST(floor({HASH.format(seed=7, key='ts')} * 5) AS BIGINT) AS outer_fold, count(*) AS n, TRUE AS sound FROM training GROUP BY 1", SHIP, FRAME, TRAINING),
+)
+def m11_forest(t):
+    """The same folds over the parameter sets of a forest."""
+    rows, features = price_rows(t)
+    found = mo.nested_search(rows, features, "price", ["ts"], model="forest")
+    return found.select("outer_fold", "n", ((F.col("r2") > -0.25) & (F.col("trees") == 30)).alias("sound"))
+
+
+def nested_linear_sql() -> str:
+    outer, inner = (f"CAST(floor({HASH.format(seed=s, key='ts')} * {n}) AS BIGINT)" for s, n in ((7, 5), (42, 3)))
+    trials = ", ".join(f"({i}, {v})" for i, v in enumerate(LINEAR_GRID))
+    fits = f"fits AS (SELECT 9 * k + 3 * trial + j AS g, k, trial, j, l2 FROM (VALUES {trials}) t(trial, l2), range(5) a(k), range(3) b(j))"
+    error = f"""errors AS (SELECT f.k, f.trial, f.j, avg((y - ({PREDICTED})) * (y - ({PREDICTED}))) AS mse
+        FROM vectors x JOIN fits f ON x.fold <> f.k AND x.inner_fold = f.j JOIN solved s USING (g) GROUP BY 1, 2, 3)"""
+    picked = f"""picked AS (SELECT k AS g, m.trial, t.l2 FROM (SELECT k, trial, avg(mse) AS mse FROM errors GROUP BY 1, 2) m JOIN (VALUES {trials}) t(trial, l2) ON t.trial = m.trial
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY mse, m.trial) = 1)"""
+    body = f""", scored AS (SELECT x.fold, c.trial, y, {PREDICTED} AS p FROM vectors x JOIN solved_outer s ON x.fold = s.g JOIN picked c ON c.g = s.g)
+        SELECT fold AS outer_fold, trial, {ERRORS} FROM scored GROUP BY 1, 2"""
+    vectors = VECTORS.format(more=f"{outer} AS fold, {inner} AS inner_fold", tables="")
+    first = ridge_sql("vectors", "fits", "x.fold <> f.k AND x.inner_fold <> f.j")
+    return recursive(body, SHIP, FRAME, TRAINING, ENCODED, vectors, fits, *first, error, picked, *ridge_sql("vectors", "picked", "x.fold <> f.g", "_outer"))
+
+
+@query("m11_nested_linear", nested_linear_sql())
+def m11_nested_linear(t):
+    """The penalty chosen in each outer training part, and its errors on the outer fold."""
+    rows, features = price_rows(t)
+    found = mo.nested_search(rows, features, "price", ["ts"], [{"l2": v} for v in LINEAR_GRID], model="linear")
+    return found.select("outer_fold", "trial", "n", "mae", "mse", "r2")
 
 
 @query(
@@ -275,19 +435,28 @@ def a28_screen(t):
     return fe.null_rates(w, ["price", "wind", "rare"], 0.3)
 
 
+def held_linear_sql(test: str, body: str) -> str:
+    """`scored`(ts, y, p): the rows of `test` under the linear model of the others."""
+    fits = "fits AS (SELECT 0 AS g, 0.001 AS l2)"
+    scored = f"scored AS (SELECT ts, y, {PREDICTED} AS p FROM vectors x, solved s WHERE x.is_test)"
+    vectors = VECTORS.format(more=f"{test} AS is_test", tables="")
+    return recursive(body, SHIP, FRAME, TRAINING, ENCODED, vectors, fits, *ridge_sql("vectors", "fits", "NOT x.is_test"), scored)
+
+
 @query(
     "m14_model_comparison",
-    with_sql(
-        f"SELECT model, count(*) AS n, TRUE AS sound FROM training, (VALUES ('linear'), ('random_forest'), ('boosted_trees')) v(model) WHERE {HASH.format(seed=42, key='ts')} < 0.2 GROUP BY 1",
-        SHIP, FRAME, TRAINING,
+    held_linear_sql(
+        HASH.format(seed=42, key="ts") + " < 0.2",
+        f"""SELECT model, n, CASE WHEN model = 'linear' THEN mae END AS mae, CASE WHEN model = 'linear' THEN mse END AS mse, TRUE AS sound
+            FROM (SELECT {ERRORS} FROM scored), (VALUES {", ".join(f"('{m}')" for m in mo.COMPARED)}) v(model)""",
     ),
 )
 def m14(t):
+    """Five learners on one split; the errors of the linear one are held to SQL."""
     rows, features = price_rows(t)
-    return mo.compare_models(rows, features, "price", ["ts"]).select("model", "n", (F.col("r2") > -0.25).alias("sound"))
-
-
-PRICE_FEATURES = fe.feature_list(fe.CALENDAR, ["wind", "nuclear"], ["t_1", "t_2"], ["temp_mean", "temp_variance"])
+    found = mo.compare_models(rows, features, "price", ["ts"])
+    only = lambda c: F.when(F.col("model") == "linear", F.col(c)).alias(c)
+    return found.select("model", "n", only("mae"), only("mse"), (F.col("r2") > -0.25).alias("sound"))
 
 
 @query("m15_feature_importance", "SELECT feature, TRUE AS a_share, 1.0::DOUBLE AS total FROM (VALUES " + ", ".join(f"('{f}')" for f in PRICE_FEATURES) + ") v(feature)")
@@ -301,7 +470,12 @@ def m15(t):
 
 @query(
     "m16_single_model_evaluation",
-    with_sql(f"SELECT 'linear' AS model, count(*) AS n, TRUE AS sound, TRUE AS correlated FROM training WHERE {LATE.format(rows='training').replace('0.9', '0.8')}", SHIP, FRAME, TRAINING),
+    held_linear_sql(
+        LATE.format(rows="training").replace("0.9", "0.8"),
+        f""", e AS (SELECT ts, y - p AS e, lag(y - p) OVER (ORDER BY ts) AS before FROM scored),
+            d AS (SELECT round(sum((e - before) * (e - before)) / sum(e * e), 6) AS durbin_watson FROM e)
+            SELECT 'linear' AS model, n, mae, mse, r2, durbin_watson FROM (SELECT {ERRORS} FROM scored), d""",
+    ),
 )
 def m16(t):
     """Held-out metrics of the linear model with the residuals' autocorrelation."""
@@ -309,12 +483,11 @@ def m16(t):
 
     rows, features = price_rows(t)
     split = fe.chronological_split(rows, 0.2)
-    model = mo.Pipeline(stages=[mo.assembler(features), mo.REGRESSORS["linear"]("price")]).fit(split.where("NOT is_test"))
+    model = mo.fit_linear(split.where("NOT is_test"), features, "price")
     held = mo.predict(model, split.where("is_test"), features).withColumn("model", F.lit("linear"))
-    resid = autocorrelation(held.withColumn("e", F.col("price") - F.col("prediction")), "e", "model").drop("n")
-    shares = [F.col(c).between(-1.000001, 4.000001) for c in resid.columns if c != "model"]
-    found = mo.evaluate(held, "price", ["model"]).join(resid, "model")
-    return found.select("model", "n", (F.col("r2") > -0.25).alias("sound"), F.forall(F.array(*shares), lambda x: x).alias("correlated"))
+    resid = autocorrelation(held.withColumn("e", F.col("price") - F.col("prediction")), "e", "model")
+    found = mo.evaluate(held, "price", ["model"]).join(resid.select("model", "durbin_watson"), "model")
+    return found.select("model", "n", "mae", "mse", "r2", "durbin_watson")
 
 
 @query(
@@ -334,11 +507,13 @@ def m17(t):
 
 @query("m18_price_prediction", with_sql("SELECT ts, round(price, 6) AS price, TRUE AS near FROM training WHERE ts >= (SELECT max(ts) FROM training) - INTERVAL 28 DAY", SHIP, FRAME, TRAINING))
 def m18(t):
-    """The newest four weeks predicted with a model of all hours."""
+    """The newest four weeks predicted with a model of all hours, stored and read back."""
     from ..operators.rollup import last_days
 
     rows, features = price_rows(t)
-    trained = mo.train_price_model(rows, features, "price", ["ts"])
+    path = scratch_path(t.spark, "price-model")
+    mo.save_model(t.spark, mo.train_price_model(rows, features, "price", ["ts"]), path)
+    trained = mo.load_model(t.spark, path, rows)
     low, high = (rows.agg(f("price")).scalar() for f in (F.min, F.max))
     near = F.col("prediction").between(low - (high - low), high + (high - low))
     return mo.predict(trained.model, last_days(rows, 28), features).select("ts", "price", near.alias("near"))
@@ -350,10 +525,6 @@ def mapped_sql(rows: str, features: list[str], target: str = "price") -> str:
         SELECT feature, rows, round(mean, 5) AS mean, round(std, 5) AS std, round(coalesce(correlation, 0), 5) AS correlation, TRUE AS mapped FROM p WHERE std > 0"""
 
 
-CYCLIC = """{name} AS (SELECT *, CAST(year(ts) AS BIGINT) AS year, sin(2 * pi() * isodow(ts) / 7) AS day_of_week_sin, cos(2 * pi() * isodow(ts) / 7) AS day_of_week_cos,
-    sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos{more} FROM {rows})"""
-
-
 def mapped(found):
     inside = F.col("x").between(0, 1) & F.col("y").between(0, 1) & F.col("z").between(0, 1)
     return found.select("feature", "rows", "mean", "std", "correlation", inside.alias("mapped"))
