@@ -95,3 +95,43 @@ def t5(t):
     rows = landed_stream(t, 3, late).select("series_id", "ts", F.when(F.col("value") > 60, F.col("value")).alias("value"))
     st.write_carried(rows, path, check, "series_id").awaitTermination()
     return t.spark.read.schema("series_id string, ts timestamp, value double, batch int").parquet(f"{path}/rows").drop("batch")
+
+
+@query(
+    "t2_version_stream",
+    """SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, arg_max(CASE WHEN value > 20 THEN value END, event_id) AS value FROM events GROUP BY 1, 2""",
+)
+def t2_versions(t):
+    """Ten days per micro-batch, each one version of the table."""
+    from ..sinks.versions import VersionedTable
+
+    table, check = VersionedTable(t.spark, scratch_path(t.spark, "versions")), scratch_path(t.spark, "versions-checkpoint")
+    rows = landed_stream(t, 10).select("series_id", F.date_trunc("hour", "ts").alias("ts"), "event_id", F.when(F.col("value") > 20, F.col("value")).alias("value"))
+    st.write_versions(rows, table, check, ["series_id", "ts"], "event_id").awaitTermination()
+    return table.read().select("series_id", "ts", "value")
+
+
+@query(
+    "t5_carried_state_stream",
+    """SELECT event_type AS series_id, ts, last_value(CASE WHEN value > 60 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, value) AS value FROM events
+       QUALIFY epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 6 * 86400000""",
+)
+def t5_state(t):
+    """The same carry with keyed state: files land out of order, up to four days late."""
+    late = F.to_date("ts") + F.pmod(F.ascii("event_type"), F.lit(5))
+    rows = landed_stream(t, 3, late).select("series_id", "ts", F.when(F.col("value") > 60, F.col("value")).alias("value"))
+    return finish(t, st.carried_stream(rows, "series_id", delay="6 days"), "carried-state")
+
+
+@query(
+    "t4_missing_hours_stream",
+    """WITH h AS (SELECT DISTINCT event_type AS series_id, date_trunc('hour', ts) AS h FROM events WHERE value < 20),
+            m AS (SELECT epoch_ms(max(h)) - 7200000 AS mark FROM h),
+            g AS (SELECT series_id, h + INTERVAL 1 HOUR AS gap_start, lead(h) OVER (PARTITION BY series_id ORDER BY h) AS upto FROM h, m WHERE epoch_ms(h) + 3600000 <= mark)
+       SELECT series_id, 'open' AS event, gap_start, CAST(NULL AS BIGINT) AS hours FROM g, m WHERE (upto IS NULL OR upto > gap_start) AND epoch_ms(gap_start) + 3600000 <= mark
+       UNION ALL SELECT series_id, 'closed', gap_start, (epoch_ms(upto) - epoch_ms(gap_start)) // 3600000 FROM g WHERE upto > gap_start""",
+)
+def t4_missing(t):
+    """Hours without a low reading: when an episode opens, and how long it was."""
+    low = event_stream(t).where("value < 20").select("series_id", "ts")
+    return finish(t, st.missing_hours_stream(low, "series_id"), "missing")

@@ -17,6 +17,7 @@ from ..operators.archive import SCHEMA_VERSION, actual_rows, manifest, schema_ga
 from ..operators.quality import QualityError, require_columns, require_empty, require_storable, snapshot_violations
 from ..session import materialize
 from .store import _exists, upsert
+from .versions import claim_number
 
 RUNS_SCHEMA = "run_id long, run_datetime timestamp, schema_version int, columns_json string"
 
@@ -32,7 +33,7 @@ class Archive:
     def runs(self) -> DataFrame:
         if not _exists(self.spark, self._path("runs")):
             return self.spark.createDataFrame([], RUNS_SCHEMA)
-        return self.spark.read.schema(RUNS_SCHEMA).parquet(self._path("runs"))
+        return self.spark.read.schema(RUNS_SCHEMA).parquet(self._path("runs")).drop("run")
 
     def predictions(self) -> DataFrame:
         """Rows of published runs; columns added by later runs are null in earlier ones."""
@@ -54,18 +55,18 @@ class Archive:
         require_empty(snapshot_violations(staged, ts, [self.predicted]), "invalid snapshot")
         expected = staged.count()
         at = (run_datetime or datetime.now(timezone.utc)).astimezone(timezone.utc).replace(tzinfo=None)
-        # A folder left by a snapshot that never got its run row keeps its id for itself.
-        run_id = 1 + max(self.runs().agg(F.max("run_id")).first()[0] or 0, self._last_folder())
-        staged.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(
-            self._path("predictions")
-        )
+        # Two writers never get one id; one that is left by a failed snapshot stays unused.
+        least = 1 + max(self.runs().agg(F.max("run_id")).first()[0] or 0, self._last_folder())
+        run_id = claim_number(self.spark, self._path("claims"), least)
+        # A folder of its own: jobs that write under one root would clear each other's temporary files.
+        staged.write.mode("error").parquet(f"{self._path('predictions')}/run_id={run_id}")
         written = self.spark.read.parquet(f"{self._path('predictions')}/run_id={run_id}").count()
         if written != expected:
             raise QualityError(f"archived {written} of {expected} rows")
         if self.price in staged.columns:
             self._upsert_actuals(actual_rows(staged, self.price, F.lit(at).cast("timestamp"), f"run {run_id}", ts))
         run = self.spark.createDataFrame([(run_id, at, SCHEMA_VERSION, manifest(df.columns))], "run_id long, run_datetime timestamp_ntz, schema_version int, columns_json string")
-        run.withColumn("run_datetime", F.col("run_datetime").cast("timestamp")).write.mode("append").parquet(self._path("runs"))
+        run.withColumn("run_datetime", F.col("run_datetime").cast("timestamp")).write.mode("error").parquet(f"{self._path('runs')}/run={run_id}")
         return run_id
 
     def _last_folder(self) -> int:
