@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import ceil_hour
 from .buckets import as_list, interval
+from .spine import emit_steps
 
 
 def interval_sum(
@@ -29,8 +30,10 @@ def interval_sum(
     first = ceil_hour(start)
     last = ceil_hour(end) - interval(1, "HOUR")
     hours = intervals.withColumn("_amount", amount).where(first <= last)
+    hours = hours.select(*series, "_amount", F.unix_seconds(first).alias("_first"), F.unix_seconds(last).alias("_last"))
+    hours = emit_steps(hours, F.floor((F.col("_last") - F.col("_first")) / 3600), "_k")
     return (
-        hours.select(*series, "_amount", F.explode(F.sequence(first, last, interval(1, "HOUR"))).alias(ts))
+        hours.select(*series, "_amount", F.timestamp_seconds(F.col("_first") + F.col("_k") * 3600).alias(ts))
         .groupBy(*series, ts)
         .agg(F.sum("_amount").alias("amount"))
     )

@@ -27,6 +27,21 @@ def _instant(value) -> Column:
     return F.lit(value).cast("timestamp")
 
 
+AT_ONCE = 720  # steps that one row emits
+
+
+def emit_steps(df: DataFrame, steps: Column | str, name: str) -> DataFrame:
+    """Each row once for every number from 0 to `steps`, as column `name`.
+
+    In two levels, stretches of `AT_ONCE` steps and then the steps of a stretch, so that a gap of
+    many years is never one array in one row.
+    """
+    df = df.withColumn("_steps", F.col(steps) if isinstance(steps, str) else steps)
+    df = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps").cast("long"), F.lit(AT_ONCE).cast("long"))))
+    upto = F.least(F.col("_from") + (AT_ONCE - 1), F.col("_steps").cast("long"))
+    return df.withColumn(name, F.explode(F.sequence(F.col("_from"), upto))).drop("_steps", "_from")
+
+
 def spine(
     series_df: DataFrame,
     series: str | Sequence[str],
@@ -99,14 +114,16 @@ def complete_grid(
     else:
         stop = F.col(ts)
     last = F.coalesce(F.col("_next") - interval(width), stop)
-    steps = F.sequence(F.col(ts), last, interval(width))
+    stretch = lambda a, z: F.struct(a.alias("a"), z.alias("z"))
+    stretches = [stretch(F.col(ts), last)]
     if start is not None:
-        lead_in = F.when(
-            F.col("_head") & (_instant(start) < F.col(ts)),
-            F.sequence(_instant(start), F.col(ts) - interval(width), interval(width)),
-        )
-        steps = F.concat(F.coalesce(lead_in, F.array().cast("array<timestamp>")), steps)
-    out = b.withColumn("_at", F.explode(steps))
+        before = F.col("_head") & (_instant(start) < F.col(ts))
+        stretches.append(F.when(before, stretch(_instant(start), F.col(ts) - interval(width))))
+    b = b.withColumn("_span", F.explode(F.array_compact(F.array(*stretches))))
+    micros = F.lit(width * 1_000_000)
+    count = F.floor((F.unix_micros("_span.z") - F.unix_micros("_span.a")) / micros)
+    out = emit_steps(b.withColumn("_count", count).where("_count >= 0"), "_count", "_k")
+    out = out.withColumn("_at", F.timestamp_micros(F.unix_micros("_span.a") + F.col("_k") * micros))
     own = F.col("_at") == F.col(ts)
     return out.select(
         *series,
@@ -150,7 +167,7 @@ def densify(
     )
     gap = (F.unix_seconds("_nt") - F.unix_seconds(ts)) / F.lit(float(width))
     last = F.coalesce(F.ceil(gap).cast("int") - 1, F.lit(0))
-    out = b.withColumns({"_gap": gap, "_k": F.explode(F.sequence(F.lit(0), last))})
+    out = emit_steps(b.withColumn("_gap", gap), last, "_k")
     filled = F.col(value)
     if method == "linear":
         line = F.col(value) + (F.col("_nv") - F.col(value)) * F.col("_k") / F.col("_gap")

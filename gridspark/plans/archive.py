@@ -13,21 +13,25 @@ from ..sinks import publish
 from ..sinks.archive import Archive
 from ..sinks.store import append_model_stats, dump_csv, model_stats, upsert, write_store
 from ..sources.store import read_csv_table, read_store
-from .aggregates import CONDITION_DAYS, SYMBOL_INPUT, SYMBOL_ROWS, symbols
+from .aggregates import CONDITION_DAYS, SYMBOL_INPUT, SYMBOL_ROWS, WIND_DAYS, symbols
 from .inputs import (
     ACTUALS,
     DAILY,
+    HOURLY,
     NOW,
     PREDICTIONS,
     RUNS,
     SHIP,
     WIDE,
     actuals,
+    hourly,
     local_sql,
+    ms_sql,
     now,
     predictions,
     runs,
     ship,
+    utc_sql,
     wide,
     with_sql,
 )
@@ -196,6 +200,27 @@ def k11(t):
     return t.spark.read.schema("local_date string, condition string").json(path)
 
 
+@query(
+    "k11_weather_records_json",
+    with_sql(
+        f"""SELECT {ms_sql(utc_sql('CAST(local_date AS TIMESTAMP)') + ' + INTERVAL 12 HOUR')} AS timestamp, condition, wind_level AS "windLevel"
+            FROM cond JOIN levels USING (local_date) WHERE series_id = 'click' AND wind_level IS NOT NULL""",
+        HOURLY, SYMBOL_INPUT, SYMBOL_ROWS, CONDITION_DAYS, WIND_DAYS,
+    ),
+)
+def k11_records(t):
+    """The published records of all days: noon, condition and wind level."""
+    from ..operators.weather import daily_weather
+
+    path = scratch_path(t.spark, "weather-records")
+    winds = hourly(t).where("series_id = 'click'").select("ts", (F.col("value") * 50).alias("wind"))
+    first = t.events.agg(F.min("ts")).scalar()
+    days = t.events.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] + 3
+    records = daily_weather(symbols(t), winds, first, days=days)
+    publish.write_json(records.select(F.col("noon_ms").alias("timestamp"), "condition", F.col("wind_level").alias("windLevel")), path)
+    return t.spark.read.schema("timestamp long, condition string, windLevel string").json(path)
+
+
 @query(
     "k12_daily_means_json",
     with_sql(
@@ -257,6 +282,17 @@ def k13_json(t):
     return t.spark.read.schema("event_id long, start timestamp, `end` timestamp, avail_qty double").json(path)
 
 
+@query(
+    "k13_open_outages_json",
+    with_sql('SELECT event_id, start, "end", avail_qty, nominal_power, round(avail_qty / nominal_power, 6) AS availability FROM outages, now_ WHERE "end" > now', OUTAGES, NOW),
+)
+def k13_open(t):
+    """The published record: ongoing and future outages with their availability."""
+    path = scratch_path(t.spark, "open-outages")
+    publish.write_json(publish.outage_records(outages(t), now(t)).select("event_id", "start", "end", "avail_qty", "nominal_power", "availability"), path)
+    return t.spark.read.schema("event_id long, start timestamp, `end` timestamp, avail_qty double, nominal_power double, availability double").json(path)
+
+
 @query("k17_series_csv", with_sql("SELECT series_id, ts, round(value, 6) AS value FROM ship", SHIP))
 def k17(t):
     path = scratch_path(t.spark, "series")

@@ -8,6 +8,7 @@ from ..functions.time import utc_iso
 from ..operators.quality import too_many_missing
 from ..operators.spine import spine
 from ..session import scratch_path
+from ..sinks import publish
 from ..sources import feeds
 from ..sources.store import lookup, read_csv_table, read_store, scan_between, slice_on_grid
 from ..sinks.store import write_store
@@ -102,6 +103,30 @@ def s6(t):
     return feeds.station_wide(rows, ["temperature", "wind_speed"]).drop("repeats")
 
 
+@query(
+    "s6_station_documents",
+    """SELECT user_id % 1000 AS station, date_trunc('hour', ts) AS ts,
+              round(sum(CASE WHEN event_type = 'click' AND value >= 1 THEN value END), 6) AS temperature,
+              round(sum(CASE WHEN event_type = 'view' AND value >= 1 THEN value END), 6) AS wind_speed
+       FROM events GROUP BY 1, 2""",
+)
+def s6_documents(t):
+    """One document per station and day with an element for every reading; readings below one are
+    sent as NaN and must come back missing."""
+    reading = F.when(F.col("value") < 1, F.lit("NaN")).otherwise(F.col("value").cast("string"))
+    name = F.when(F.col("event_type") == "click", "temperature").when(F.col("event_type") == "view", "wind_speed").otherwise("other")
+    element = F.format_string(
+        "<wfs:member><BsWfs:BsWfsElement><BsWfs:Time>%s</BsWfs:Time><BsWfs:ParameterName>%s</BsWfs:ParameterName>"
+        "<BsWfs:ParameterValue>%s</BsWfs:ParameterValue></BsWfs:BsWfsElement></wfs:member>",
+        utc_iso(F.date_trunc("hour", "ts")), name, reading,
+    )
+    rows = t.events.select((F.col("user_id") % 1000).alias("station"), F.to_date("ts").alias("day"), element.alias("e"))
+    docs = rows.groupBy("station", "day").agg(F.concat_ws("", F.collect_list("e")).alias("e"))  # a station's readings of a day
+    docs = docs.select("station", F.concat(F.lit("<wfs:FeatureCollection>"), "e", F.lit("</wfs:FeatureCollection>")).alias("payload"))
+    rows = feeds.decode_station_documents(docs).groupBy("station", "ts", "parameter").agg(F.sum("value").alias("value"))
+    return feeds.station_wide(rows, ["temperature", "wind_speed"]).drop("repeats")
+
+
 @query(
     "s7_grid_feed",
     """SELECT event_type AS series_id, date_trunc('second', ts) AS ts,
@@ -320,6 +345,15 @@ def s15(t):
     return feeds.history_hourly(rows)
 
 
+@query("s15_station_files", with_sql("SELECT series_id, ts, round(value, 6) AS value FROM lerped", HOURLY_RAW, GRID, INTERP.format(src="gapped")))
+def s15_files(t):
+    """A file per event type; the station is the name of the file."""
+    path = scratch_path(t.spark, "station-files")
+    rows = t.events.select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), F.col("value").cast("string").alias("value"))
+    publish.write_named_csv(rows, path, "event_type")
+    return feeds.read_station_csv(t.spark, f"{path}/*.csv", "time string, value string", "value")
+
+
 @query(
     "s16_delimited_history",
     with_sql(

@@ -539,6 +539,30 @@ def c5(t):
     return feeds.wind_power(wide(t).select("ts", "purchase"), feed("click"), feed("view"), capacity, now(t))
 
 
+@query(
+    "c5_wind_power_model",
+    with_sql(
+        f""", r AS (SELECT date_trunc('hour', ts) AS ts, avg(value) FILTER (WHERE event_type = 'click') AS re, avg(value) FILTER (WHERE event_type = 'view') AS fc,
+                         avg(value) FILTER (WHERE event_type = 'signup' AND value > 100) AS cap FROM events GROUP BY 1),
+             j AS (SELECT w.ts, w.purchase, CASE WHEN w.ts <= now THEN coalesce(re, fc) ELSE fc END AS wind, cap FROM wide w LEFT JOIN r USING (ts), now_),
+             k AS (SELECT ts, purchase, wind, {EDGES.format(c='cap')} AS wind_capacity FROM j),
+             m AS (SELECT regr_slope(wind / wind_capacity, purchase) AS slope, regr_intercept(wind / wind_capacity, purchase) AS base FROM k WHERE wind_capacity > 0)
+           SELECT ts, purchase, round(coalesce(wind, (base + slope * purchase) * wind_capacity), 6) AS wind, round(wind_capacity, 6) AS wind_capacity FROM k, m""",
+        WIDE, NOW,
+    ),
+)
+def c5_model(t):
+    """Hours with neither reading nor forecast get the share that a model of the other hours predicts."""
+    from ..ml import models as mo
+
+    feed = lambda e: t.events.where(F.col("event_type") == e).select("ts", "value")
+    capacity = feed("signup").withColumn("value", F.when(F.col("value") > 100, F.col("value")))
+    parts = (wide(t).select("ts", "purchase"), feed("click"), feed("view"), capacity, now(t))
+    known = feeds.wind_power(*parts).where("wind_capacity > 0").withColumn("share", F.col("wind") / F.col("wind_capacity"))
+    trained = mo.Trained(mo.fit_linear(known, ["purchase"], "share", l2=0.0), ["purchase"], 0)
+    return feeds.wind_power(*parts, mo.share_predictor(trained))
+
+
 @query(
     "c6_outage_capacity",
     with_sql(

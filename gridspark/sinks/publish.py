@@ -63,6 +63,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_named_csv(df: DataFrame, path: str, name: str) -> None:
+    """One file <name>.csv for each value of the column `name`, which need not be a column of the
+    file; the values' number is that of stations or series.  Each is written by one task."""
+    spark, staged = df.sparkSession, f"{path}/_staged"
+    df.repartition(name).write.mode("error").partitionBy(name).csv(staged, header=True)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(hadoop(staged)):
+        value = folder.getPath().getName().partition(f"{name}=")[2]
+        if value:
+            parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".csv")]
+            if len(parts) != 1 or not fs.rename(parts[0], hadoop(f"{path}/{value}.csv")):
+                raise RuntimeError(f"{len(parts)} files for {value}")
+
+
 def write_snapshot(df: DataFrame, path: str, day: Column) -> None:
     """The day's snapshot partition; the last write of a day wins."""
     df.withColumn(SNAPSHOT, day.cast("date")).write.mode("overwrite").option(

@@ -122,6 +122,21 @@ def decode_station_xml(docs: DataFrame) -> DataFrame:
     )
 
 
+def decode_station_documents(docs: DataFrame) -> DataFrame:
+    """All elements of each document held in a column: a collection of members with one element
+    each.  Documents that are no XML, and members without an element, have no rows."""
+    element = "`BsWfs:Time` string, `BsWfs:ParameterName` string, `BsWfs:ParameterValue` string"
+    schema = f"`wfs:member` array<struct<`{XML_ROW_TAG}` struct<{element.replace('` string', '`: string')}>>>"
+    parsed = docs.withColumn("_d", F.from_xml("payload", schema, {"mode": "PERMISSIVE"}))
+    rows = parsed.select(*_ids(docs), F.explode("_d.`wfs:member`").alias("_m")).select(*_ids(docs), F.col(f"_m.`{XML_ROW_TAG}`").alias("_e"))
+    return rows.where("_e IS NOT NULL").select(
+        *_ids(docs),
+        parse_utc(F.col("_e.`BsWfs:Time`")).alias("ts"),
+        F.col("_e.`BsWfs:ParameterName`").alias("parameter"),
+        number(F.col("_e.`BsWfs:ParameterValue`")).alias("value"),
+    )
+
+
 def station_wide(rows: DataFrame, parameters: Sequence[str], station: str = "station") -> DataFrame:
     """One column per parameter; a repeated (station, ts, parameter) is reported in
     `repeats`, so a check can refuse it."""

@@ -92,3 +92,23 @@ def test_workers_need_no_package():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=600)
     assert "rows " in done.stdout, done.stderr[-2000:]
+
+
+def test_a_gap_of_decades_is_emitted_in_stretches(spark):
+    from pyspark.sql import functions as F
+
+    from gridspark.operators import interval, spine
+
+    ends = [("s", "1990-01-01 00:00:00", 0.0), ("s", "2030-01-01 00:00:00", 100.0), ("t", "2000-01-01 00:00:00", 1.0)]
+    rows = spark.createDataFrame(ends, "series_id string, at string, value double").select("series_id", F.to_timestamp("at").alias("ts"), "value")
+    hours = 40 * 365 * 24 + 10 * 24
+    for grid in (spine.complete_grid(rows, "series_id"), spine.densify(rows, "value", "series_id")):
+        got = grid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ts").alias("d"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max("value").alias("v"))
+        assert {r.series_id: (r.n, r.d, r.a.year, r.z.year, r.v) for r in got.collect()} == {
+            "s": (hours + 1, hours + 1, 1990, 2030, 100.0), "t": (1, 1, 2000, 2000, 1.0)
+        }
+    both = spine.complete_grid(rows, "series_id", start="1999-12-31 22:00:00", end="2000-01-01 03:00:00").where("series_id = 't'")
+    assert [r.ts.hour for r in both.orderBy("ts").collect()] == [22, 23, 0, 1, 2, 3]
+    one = spark.createDataFrame([("1990-01-01 00:30:00", "2030-01-01 00:30:00")], "a string, b string").select(F.to_timestamp("a").alias("start"), F.to_timestamp("b").alias("end"))
+    got = interval.interval_sum(one, F.lit(2.0)).agg(F.count(F.lit(1)), F.min("ts"), F.max("ts"), F.sum("amount")).first()
+    assert got[0] == hours and (got[1].hour, got[2].hour) == (1, 0) and got[3] == 2.0 * hours

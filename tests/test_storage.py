@@ -229,3 +229,22 @@ def test_stream_drops_late_hours(spark, frame, folder):
     st.write_append(stream, f"{folder}/out", f"{folder}/c").awaitTermination()
     got = {str(r.ts): r.value for r in spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()}
     assert got == {f"2026-01-01 {h}:00:00": 1.0 for h in ("00", "09", "10")}
+
+
+def test_documents_with_many_elements(spark):
+    element = "<wfs:member><BsWfs:BsWfsElement gml:id='e{0}'><BsWfs:Time>2026-01-01T0{0}:00:00Z</BsWfs:Time><BsWfs:ParameterName>{1}</BsWfs:ParameterName><BsWfs:ParameterValue>{2}</BsWfs:ParameterValue></BsWfs:BsWfsElement></wfs:member>"
+    whole = "<?xml version='1.0'?><wfs:FeatureCollection numberMatched='3' xmlns:wfs='w' xmlns:BsWfs='b' xmlns:gml='g'>" + "".join(
+        element.format(*e) for e in [(0, "temperature", "1.5"), (1, "temperature", "NaN"), (1, "wind", "4")]
+    ) + "<wfs:member/></wfs:FeatureCollection>"
+    docs = spark.createDataFrame([(7, whole), (8, "<wfs:FeatureCollection/>"), (9, "no xml <"), (10, None)], "station int, payload string")
+    got = feeds.decode_station_documents(docs).collect()
+    assert sorted((r.station, r.ts.hour, r.parameter, r.value) for r in got if r.value is not None) == [(7, 0, "temperature", 1.5), (7, 1, "wind", 4.0)]
+    assert len(got) == 3
+
+
+def test_named_files(spark, folder):
+    rows = spark.createDataFrame([(f"s{k % 3}", k, f"x{k}") for k in range(30)], "name string, n int, v string").repartition(5)
+    publish.write_named_csv(rows, f"{folder}/named", "name")
+    for k in range(3):
+        back = spark.read.csv(f"{folder}/named/s{k}.csv", header=True, schema="n int, v string")
+        assert sorted(r.n for r in back.collect()) == list(range(k, 30, 3))
