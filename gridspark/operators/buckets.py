@@ -167,3 +167,21 @@ def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], *,
     deal = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", deal).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+HOT_ROWS = 100_000  # rows from which a key is dealt over several tasks
+
+
+def hot_salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], *, hot_rows: int = HOT_ROWS, salts: int = 16) -> DataFrame:
+    """`salted_join` for a small side that is large itself: only rows of hot keys are copied.
+
+    The keys are counted first.  There is at most one hot key per `hot_rows` rows, and just these
+    are broadcast, as long as their number allows it.
+    """
+    keys = as_list(keys)
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = big.join(hot, keys, "left").withColumn("_salt", deal).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    few = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(few, [*keys, "_salt"]).drop("_salt")

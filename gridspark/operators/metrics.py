@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import as_list, salted_join
+from .buckets import as_list, hot_salted_join
 from .quantile import global_average_rank
 
 MAPE_EPSILON = 1e-10
@@ -69,8 +69,9 @@ def spearman(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     pairs = rows.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("_c"))
     ra = global_average_rank(rows, actual).withColumnRenamed("rank", "_ra")
     rp = global_average_rank(rows, predicted).withColumnRenamed("rank", "_rp")
-    # One value may pair with very many others, so both joins are salted.
-    j = salted_join(salted_join(pairs, ra, actual), rp, predicted)
+    # One value may pair with very many others, but few do, and the rank tables are as long as the
+    # values: only hot values are copied.
+    j = hot_salted_join(hot_salted_join(pairs, ra, actual), rp, predicted)
     c, x, y = F.col("_c"), F.col("_ra"), F.col("_rp")
     n = j.agg(F.sum("_c")).scalar()
     # Ranks always have mean (n + 1) / 2, so centred products are exact sums.

@@ -36,11 +36,14 @@ def pair_series(df: DataFrame, value: str, keys: str | Sequence[str] = (), ts: s
 def pair_documents(df: DataFrame, value: str, keys: str | Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """One JSON document [[ms, value], …] per key and UTC month, in time order.
 
-    A month of an hourly series has at most 744 pairs, which bounds the array.
+    Rows are first reduced to one per key and hour, the latest of the hour and of those the
+    largest, so a month has at most 744 pairs, which bounds the array.
     """
     keys = as_list(keys)
-    pair = F.array(epoch_ms(ts).cast("double"), F.col(value).cast("double"))
-    docs = df.groupBy(*keys, F.date_trunc("month", ts).alias("month")).agg(F.sort_array(F.collect_list(pair)).alias("_p"))
+    latest = F.max(F.struct(F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v")))
+    hours = df.groupBy(*keys, F.date_trunc("hour", ts).alias("_hour")).agg(latest.alias("_l"))
+    pair = F.array(epoch_ms("_hour").cast("double"), F.col("_l._v"))
+    docs = hours.groupBy(*keys, F.date_trunc("month", "_hour").alias("month")).agg(F.sort_array(F.collect_list(pair)).alias("_p"))
     return docs.select(*keys, "month", F.to_json("_p").alias("payload"))
 
 

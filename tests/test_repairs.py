@@ -112,3 +112,27 @@ def test_a_gap_of_decades_is_emitted_in_stretches(spark):
     one = spark.createDataFrame([("1990-01-01 00:30:00", "2030-01-01 00:30:00")], "a string, b string").select(F.to_timestamp("a").alias("start"), F.to_timestamp("b").alias("end"))
     got = interval.interval_sum(one, F.lit(2.0)).agg(F.count(F.lit(1)), F.min("ts"), F.max("ts"), F.sum("amount")).first()
     assert got[0] == hours and (got[1].hour, got[2].hour) == (1, 0) and got[3] == 2.0 * hours
+
+
+def test_hot_keys_alone_are_copied(spark):
+    from pyspark.sql import functions as F
+
+    from gridspark.operators import buckets
+
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = buckets.hot_salted_join(big, small, "k", hot_rows=500, salts=4)
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, 2 * k) for v in range(3000) for k in [1 if v % 3 == 0 else v])
+
+
+def test_pair_documents_hold_one_pair_an_hour(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from gridspark.sinks import publish
+
+    rows = [("s", f"2026-01-01 {h:02d}:{m:02d}:00", float(10 * h + m)) for h in range(3) for m in (0, 20, 40)] + [("s", "2026-01-01 02:40:00", 1.0), ("s", "2026-02-01 00:00:00", None)]
+    df = spark.createDataFrame(rows, "k string, at string, v double").select("k", F.to_timestamp("at").alias("ts"), "v")
+    got = {r.month.month: json.loads(r.payload) for r in publish.pair_documents(df, "v", "k").collect()}
+    assert [p[1] for p in got[1]] == [40.0, 50.0, 60.0] and len(got[2]) == 1
