@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 
-__all__ = ["lower_ascii", "materialize", "partitions", "scratch_path", "table"]
+__all__ = ["lower_ascii", "materialize", "partitions", "scratch_path", "table", "whole_row"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,3 +23,8 @@ def lower_ascii(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct; names may hold dots and backticks."""
+    return F.struct(*("`" + c.replace("`", "``") + "`" for c in df.columns))

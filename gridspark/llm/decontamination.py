@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, whole_row
 
 #: Selected positions.  Whatever words of 9 to 13 are substituted within the default tolerance,
 #: some mask at some place selects none of them.
@@ -106,7 +106,7 @@ def drop_contaminated(
     bad = _alignments(docs, benchmark, window, share, id_col, text_col).select("_id", "_text_hash").distinct()
     bad = small(materialize(bad, "contaminated"))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
     )

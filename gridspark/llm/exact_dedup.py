@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, whole_row
 
 
 def duplicate_groups(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +65,7 @@ def drop_duplicates(docs: DataFrame, salts: int = 8, id_col: str = "doc_id", tex
     key = lambda i, sha: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), sha).alias("key")
     kept = exact_dedup(docs, salts, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")))
     sha = F.sha2(lower_ascii(F.col(text_col)), 256)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key(F.col(id_col).cast("long"), sha))
+    rows = docs.select(whole_row(docs).alias("row"), key(F.col(id_col).cast("long"), sha))
     return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 

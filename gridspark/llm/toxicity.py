@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, whole_row
 
 #: The model's letters; every other character ends a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçèéêëìíîïñòóôöõùúûüýÿßœæ"
@@ -35,14 +35,14 @@ SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 2.0, 0.5
 BETWEEN = " .-_*~"
 SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+(€£#%])[ .\-_*~]++){2,}(?:[^\W_]|[@$!|+(€£#%])(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(
-    r"[^\W\d_].*[0-9@$!|+(€£*#%]|[0-9@$!|+(€£*#%].*[^\W\d_]|[0-9@$!|+(€£*#%].*[0-9@$!|+(€£*#%]|[^\W\d_][^\s\w]*[._\-]+[^\s\w]*[^\W\d_]|([^\W\d_])\1", re.S
-)
+LETTER, SIGN, TWICE = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(€£*#%]"), re.compile(f"([{LETTERS}])\\1")
+APART = re.compile(r"[^\W\d_]((?:[^\w\s]|_)++)(?=[^\W\d_])")
 NUMBER = re.compile(r"[#$€£+(\-]?\d[\d.,:/\-]*[%+)]?")
 AROUND = "\"'.,;:?&#%*!)>]}"  # not part of a word at its ends
 ENDS = "\"'.,;:?&)>]}"  # of these, those that stand for no letter
 PREFIXES = range(3, 8)
-WORDS_KEPT = 200_000  # words whose features a task remembers
+HEAD = PREFIXES[0]
+WORDS_KEPT = 400_000  # words whose features a task remembers
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -79,27 +79,34 @@ def char_model(counts: DataFrame) -> np.ndarray:
     return np.log(np.maximum(three, 1e-12)).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """Readings of each run of equal characters: (letters, cost)."""
-    out = []
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, k = m[1], len(m[0])
         if c in CODE:
-            out.append([(c * k, 0.0)] if k == 1 else [(c, REPEAT_COST * (k > 1)), (c * 2, REPEAT_COST * (k > 2))])
+            yield [(c * k, 0.0)] if k == 1 else [(c, REPEAT_COST * (k > 1)), (c * 2, REPEAT_COST * (k > 2))]
         elif c in SIGNS:
             reads = [(x * n, SIGN_COST * n + REPEAT_COST * (k > n)) for x in SIGNS[c] for n in {1, min(k, 2)}]
-            out.append([*reads, ("", DROP_COST)] if not c.isalnum() else reads)
+            yield [*reads, ("", DROP_COST)] if not c.isalnum() else reads
         else:
-            out.append([("", 0.0 if c in BETWEEN else DROP_COST)])
-    return out
+            yield [("", 0.0 if c in BETWEEN else DROP_COST)]
+
+
+def disguised(token: str) -> bool:
+    """Whether a token may hide a word: a letter and a sign, two signs, signs between letters of
+    which one sets apart, or a doubled letter.  One pass over the token for each."""
+    signs = SIGN.findall(token)
+    if len(signs) > 1 or signs and LETTER.search(token) or TWICE.search(token):
+        return True
+    return any(not set("._-").isdisjoint(m[1]) for m in APART.finditer(token))
 
 
 def viterbi(token: str, model: np.ndarray) -> str:
     """The likeliest letters behind a token."""
-    best = {(0, 0): (0.0, "")}  # the last two letters -> cost so far, letters so far
+    best = {(0, 0): (0.0, None)}  # the last two letters -> cost so far, (what came before, letters)
     for readings in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, link) in best.items():
             for letters, extra in readings:
                 x, y, c = a, b, cost + extra
                 for ch in letters:
@@ -107,10 +114,27 @@ def viterbi(token: str, model: np.ndarray) -> str:
                     c -= float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in step or c < step[x, y][0]:
-                    step[x, y] = (c, text + letters)
+                    step[x, y] = (c, (link, letters) if letters else link)
         best = step
-    ends = [(c - float(model[a, b, 0]), t) for (a, b), (c, t) in best.items()]
-    return min(ends)[1]
+    link = min(((c - float(model[a, b, 0]), link) for (a, b), (c, link) in best.items()), key=lambda e: e[0])[1]
+    out = []
+    while link:
+        link, letters = link
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def may_begin(token: str, heads: set[str]) -> bool:
+    """Whether some reading of the token begins with one of `heads` (of `HEAD` letters, or whole
+    words that are shorter)."""
+    begun, done = {""}, set()
+    for readings in lattice(token):
+        begun = {(a + letters)[:HEAD] for a in begun for letters, _ in readings}
+        done |= {a for a in begun if len(a) == HEAD}
+        begun = {a for a in begun if len(a) < HEAD}
+        if not begun:
+            break
+    return not heads.isdisjoint(done | begun)
 
 
 def _own(word: str) -> list[str]:
@@ -121,19 +145,34 @@ def reader(model: np.ndarray, known: dict[str, float] | None = None) -> Callable
     """text -> its features: plain and restored words, and their first 3 to 7 letters; only
     those in `known`, if given."""
 
+    # Every feature of a word begins like the word.
+    heads = None if known is None else {f.rstrip("~")[:HEAD] for f in known}
+
     def features(words: list[str]) -> tuple[str, ...]:
+        if heads is not None:
+            words = [w for w in words if w[:HEAD] in heads]
+            if not words:
+                return ()
         found = [f for w in words if len(w) > 1 for f in _own(w)]
         return tuple(found if known is None else [f for f in found if f in known])
 
+    def restored(token: str) -> list[str]:
+        return [viterbi(token, model)] if heads is None or may_begin(token, heads) else []
+
     class Cache(dict):
         def __missing__(self, token: str) -> tuple[str, ...]:
             if len(self) > WORDS_KEPT:
                 self.clear()
-            words = WORD.findall(token)
-            # Signs at the ends may be letters or punctuation.
-            for core in {token.strip(ends).lstrip("([{<") for ends in (AROUND, ENDS)}:
-                if MIXED.search(core) and not NUMBER.fullmatch(core):
-                    words.append(viterbi(core, model))
+            if token.isalpha():
+                words = [token]
+                if TWICE.search(token):
+                    words += restored(token)
+            else:
+                words = WORD.findall(token)
+                # Signs at the ends may be letters or punctuation.
+                for core in {token.strip(ends).lstrip("([{<") for ends in (AROUND, ENDS)}:
+                    if disguised(core) and not NUMBER.fullmatch(core):
+                        words += restored(core)
             out = self[token] = features(words)
             return out
 
@@ -141,9 +180,12 @@ def reader(model: np.ndarray, known: dict[str, float] | None = None) -> Callable
 
     def read(text: str) -> set[str]:
         text = text.lower()
-        out = set().union(*map(cache.__getitem__, set(text.split())))
+        out = set()
+        for found in map(cache.__getitem__, set(text.split())):
+            if found:
+                out.update(found)
         for m in SPACED.finditer(text):
-            out.update(features([viterbi(m[0], model)]))
+            out.update(features(restored(m[0])))
         return out
 
     return read
@@ -273,7 +315,8 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> tuple[dict[str, floa
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null texts count as empty; an empty text gets the score of the intercept.  Null ids are
+    Null texts count as empty; an empty text gets the score of the intercept.  Texts and tokens of
+    any length are read whole, in time that grows with their length.  Null ids are
     not held out, and labels without id or verdict teach nothing; of several labels of one id
     the toxic one counts.  Repeated rows are scored alike and all returned.  Without any label
     all scores are 0.5.  Extra columns are ignored.  An empty table gives an empty result.
@@ -286,7 +329,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns."""
+    """The rows that are not predicted toxic, with all their columns, whatever their names.  Nulls,
+    empty and long texts, repeated rows and empty tables are treated as in `toxicity`."""
     weights, model = train(docs, labels, **options)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), "text")
     return scored(rows, weights, model).where("score < 0.5").select("row.*")

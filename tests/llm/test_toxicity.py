@@ -1,6 +1,8 @@
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,10 +70,23 @@ def test_signs_at_the_ends_and_between_spaces(spark):
         assert word in read(text), (text, read(text))
     assert X.SPACED.search("you m @ r o n!")[0] == "m @ r o n"
     for token in ("a$$", "a55", "hat3", "puta5", "id10", "$#!t", "4$$"):
-        assert X.MIXED.search(token) and not X.NUMBER.fullmatch(token)
+        assert X.disguised(token) and not X.NUMBER.fullmatch(token)
     assert not read("1990 $455 50% 1,234.50")
 
 
+def test_long_tokens_take_time_in_proportion():
+    model = np.zeros((X.SIZE,) * 3, np.float32)
+    read = X.reader(model)
+    many = "".join(chr(0x4E00 + (7 * k) % 20000) for k in range(300_000))
+    for text in (many, many + many[::-1], "." * 300_000 + "a", "a" + "._" * 150_000, "a-" * 150_000, "ab" * 150_000):
+        began = time.perf_counter()
+        read(text)
+        assert time.perf_counter() - began < (1 if "-" not in text else 20)
+    assert [X.disguised(t) for t in ("abc", "a.b", "a._!b", "a!b", "..a", "letter", "漢漢字", "4", "ab4", "44")] == [
+        False, True, True, True, False, True, False, False, True, True
+    ]
+
+
 def brute(token, model):
     """All paths of the lattice."""
     paths = [(0.0, "")]
