@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,42 +51,72 @@ PHRASES = re.compile(
 NEXT, SAME_PARENT = 0.6, 0.9  # costs of different labels
 
 
+class _Open(NamedTuple):
+    """An open element, and what its path from the root adds up to."""
+
+    tag: str = ""
+    score: float = 0.0  # evidence of the path
+    inner: bool = False  # in an article
+    block_tag: str = ""  # innermost block element
+    block: int = 0  # its number
+    above: int = 0  # that of the block element around it
+    bad: bool = False  # in an element whose name tells of boilerplate
+    outer: bool = False  # in an element that holds no articles
+
+
+class _Block(NamedTuple):
+    text: str
+    links: int  # characters in links
+    at: _Open
+
+
+ROOT = _Open()
+
+
 class _Page(HTMLParser):
-    """Collects blocks: text, characters in links, open elements."""
+    """Collects blocks.  What a block needs of its path is kept on the stack of open elements, so
+    the time does not depend on the depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, frozenset, str, bool, int]] = []
-        self.blocks: list[tuple[str, int, tuple]] = []
+        self.open: list[_Open] = []
+        self.names: Counter[str] = Counter()  # of the open elements
+        self.silent = 0
+        self.blocks: list[_Block] = []
         self.text: list[str] = []
         self.links, self.ids, self.has_inner = 0, 0, False
 
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else ROOT
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((text, min(self.links, len(text)), tuple(self.open)))
+            self.blocks.append(_Block(text, min(self.links, len(text)), self.top()))
         self.text.clear()
         self.links = 0
 
     def close_to(self, i: int) -> None:
-        if any(e[0] in BLOCK for e in self.open[i:]):
+        if any(e.tag in BLOCK for e in self.open[i:]):
             self.flush()
+        for e in self.open[i:]:
+            self.names[e.tag] -= 1
+            self.silent -= e.tag in SILENT
         del self.open[i:]
 
     def end_head(self) -> None:
-        for i, e in enumerate(self.open):
-            if e[0] == "head":
-                return self.close_to(i)
+        if self.names["head"]:
+            self.close_to(next(i for i, e in enumerate(self.open) if e.tag == "head"))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body" or tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+        if tag == "body" or tag not in IN_HEAD and self.top().tag == "head":
             self.end_head()
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCK:
             self.flush()
             for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
+                name = self.open[i].tag
                 if name == "p" or name in CLOSES.get(tag, ()):
                     self.close_to(i)
                 elif name in FENCE:
@@ -95,61 +126,70 @@ class _Page(HTMLParser):
         known = dict(attrs)
         words = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{known.get('class') or ''} {known.get('id') or ''}").lower()))
         hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", "")
+        around = self.top()
         if tag in INNER:  # comments may be articles too
-            around = frozenset().union(words, *(e[1] for e in self.open if e[0] not in ("html", "body") and not e[1] & ABOUT))
-            self.has_inner |= not around & BAD and not any(e[0] in OUTER for e in self.open)
+            self.has_inner |= not words & BAD and not around.bad and not around.outer
         self.ids += 1
-        self.open.append((tag, words, (known.get("role") or "").lower(), hidden, self.ids))
+        score, inner = step(around.score, around.inner, tag, words, (known.get("role") or "").lower(), hidden)
+        named = tag not in ("html", "body") and not words & ABOUT and bool(words & BAD)
+        holder = (tag, self.ids, around.block) if tag in BLOCK else (around.block_tag, around.block, around.above)
+        self.open.append(_Open(tag, score, inner, *holder, around.bad or named, around.outer or tag in OUTER))
+        self.names[tag] += 1
+        self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag and tag in SILENT:
+        if tag not in VOID and self.top().tag == tag and tag in SILENT:
             self.close_to(len(self.open) - 1)  # other elements stay open, as in browsers
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.close_to(i)
-                return
-        if tag in BLOCK:
+        if self.names[tag]:
+            i = len(self.open) - 1
+            while self.open[i].tag != tag:
+                i -= 1
+            self.close_to(i)
+        elif tag in BLOCK:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] == "head" and data.strip():
+        if self.top().tag == "head" and data.strip():
             self.end_head()
-        names = {e[0] for e in self.open}
-        if names & SILENT:
+        if self.silent:
             return
         self.text.append(data)
-        if "a" in names:
+        if self.names["a"]:
             self.links += len(data.strip())
 
 
-def evidence(block: tuple[str, int, tuple], has_inner: bool) -> float:
+def step(score: float, inner: bool, tag: str, words: frozenset, role: str, hidden: bool) -> tuple[float, bool]:
+    """Evidence of a path, and whether it is in an article, with one more element."""
+    if tag in ("html", "body"):
+        return score, inner
+    if tag in INNER or role in ("main", "article"):
+        inner = True
+        score += 4.0 if score >= 0 else 0.0
+    # A header inside an article has the title of the article.
+    if tag in OUTER and not (tag == "header" and inner) or role in ROLES or hidden:
+        score -= 12.0
+    elif words & BAD and not words & ABOUT and tag not in INNER:
+        score -= 12.0
+    elif words & BAD and tag in INNER and words & {"comment", "comments", "ad", "ads", "teaser", "related", "sponsored", "promo"}:
+        score -= 16.0
+    elif words & GOOD:
+        score += 1.5
+    return score, inner
+
+
+def evidence(block: _Block, has_inner: bool) -> float:
     """Log odds that a block is content."""
-    text, links, path = block
-    score, inner = 0.0, False
-    for k, (tag, words, role, hidden, _) in enumerate(path):
-        if tag in ("html", "body"):
-            continue
-        if tag in INNER or role in ("main", "article"):
-            inner = True
-            score += 4.0 if score >= 0 else 0.0
-        # A header inside an article has the title of the article.
-        if tag in OUTER and not (tag == "header" and inner) or role in ROLES or hidden:
-            score -= 12.0
-        elif words & BAD and not words & ABOUT and tag not in INNER:
-            score -= 12.0
-        elif words & BAD and tag in INNER and words & {"comment", "comments", "ad", "ads", "teaser", "related", "sponsored", "promo"}:
-            score -= 16.0
-        elif words & GOOD:
-            score += 1.5
+    text, links, at = block
+    score, inner = at.score, at.inner
     if has_inner and not inner:
         score -= 4.0
     n = len(text)
     score += min(2.5, max(-1.5, math.log(n / 40)))
     score -= 6.0 * max(0.0, links / n - 0.3)
-    tag = next((e[0] for e in reversed(path) if e[0] in BLOCK), "")
+    tag = at.block_tag
     score += {"p": 1.0, "li": -0.5, "td": -0.3, "th": -0.3}.get(tag, 0.5 if tag[:1] == "h" and tag[1:].isdigit() else 0.0)
     score += 0.5 * (text[-1] in ".!?…。")
     if n < 160 and not inner and PHRASES.search(text):
@@ -214,16 +254,14 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                 at[to[path.pop() ^ 1]] += 1
 
 
-def smoothness(blocks: list[tuple[str, int, tuple]]) -> list[tuple[int, int, float]]:
+def smoothness(blocks: list[_Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours, and between nearest blocks that hang on one parent."""
     edges = [(i, i + 1, NEXT) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}
-    for i, (_, _, path) in enumerate(blocks):
-        holders = [e for e in path if e[0] in BLOCK]
-        parent = holders[-2][4] if len(holders) > 1 else 0
-        if parent in last:
-            edges.append((last[parent], i, SAME_PARENT))
-        last[parent] = i
+    for i, block in enumerate(blocks):
+        if block.at.above in last:
+            edges.append((last[block.at.above], i, SAME_PARENT))
+        last[block.at.above] = i
     return edges
 
 
@@ -237,14 +275,15 @@ def main_text(html: str | None) -> str:
         return ""
     odds = [evidence(b, page.has_inner) for b in page.blocks]
     keep = minimum_cut(odds, smoothness(page.blocks))
-    return "\n".join(b[0] for b, k in zip(page.blocks, keep) if k)
+    return "\n".join(b.text for b, k in zip(page.blocks, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null and empty pages, and pages of boilerplate only, have an empty text; a null url stays
-    null.  Pages of any length are parsed whole.  Repeated rows are all returned, extra columns
+    null.  Pages of any length and depth are parsed whole, in time that grows with their
+    length.  Repeated rows are all returned, extra columns
     are ignored, and an empty table gives an empty result.
     """
 
