@@ -1,6 +1,6 @@
-import time
 import itertools
 import random
+import time
 
 import pytest
 
