@@ -24,7 +24,7 @@ from .linear import Linear, fold_predictions, mean_squared_error, solve, sums_of
 from .trees import Ensemble, Fit, best_round, bin_splits, fit_trees
 
 SEED = 42
-ROUNDS, PATIENCE = 100, 10
+ROUNDS, PATIENCE, INNER_PATIENCE = 100, 10, 5
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -53,7 +53,7 @@ def fit_boosted(
     `max_iter`).  The number of trees with the least error is kept; its metrics on the marked rows
     are returned with a model of that many trees on all rows, which grows beside the first one."""
     fit = Fit(train=f"not {validation}", held=validation, rounds=max_iter, depth=depth, patience=patience, seed=SEED, **params)
-    probe, whole = fit_trees(train, features, target, features, [fit, replace(fit, train="true", held="false", follow=0)])
+    probe, whole = fit_trees(train, features, target, features, [fit, replace(fit, train="true", held="false", follow=(0,))])
     trees = best_round(probe.errors)
     held = predict(probe.first(trees), train.where(F.col(validation)), features)
     return Trained(whole.first(trees), list(features), trees, evaluate(held, target), probe.errors)
@@ -241,7 +241,8 @@ def nested_search(
     `params`), its number of trees (boosting: the mean of the best inner rounds), and its metrics.
 
     Every inner and outer fit of every set grows over the same binned rows, or is solved from the
-    same sums by (outer fold, inner fold)."""
+    same sums by (outer fold, inner fold).  Inner boosting stops after `INNER_PATIENCE` rounds
+    without gain, and the outer fit of the set with the last of its inner ones."""
     grid = GRIDS[model] if grid is None else grid
     data = random_folds(random_folds(df, key, outer, seed=7, name="outer_fold"), key, inner, name="inner_fold")
     data = data.select(*dict.fromkeys([*key, *features, target, "outer_fold", "inner_fold"]))
@@ -265,7 +266,8 @@ def nested_search(
         for k, i, j in cells:
             where = f"outer_fold <> {k}"
             held = "false" if j is None else f"{where} and inner_fold = {j}"
-            fits.append(Fit(train=where if j is None else f"{where} and inner_fold <> {j}", held=held, seed=SEED, **{**TREES[model], **grid[i]}))
+            more = {"follow": tuple(range(len(fits) - inner, len(fits)))} if j is None else {"patience": INNER_PATIENCE}
+            fits.append(Fit(train=where if j is None else f"{where} and inner_fold <> {j}", held=held, seed=SEED, **{**TREES[model], **more, **grid[i]}))
         fitted = dict(zip(cells, fit_trees(data, features, target, key, fits)))
         for k in range(outer):
             found = [[fitted[k, i, j].errors for j in range(inner)] for i in range(len(grid))]
@@ -273,7 +275,7 @@ def nested_search(
             whole = fitted[k, chosen[k], None]
             rounds = len(whole.trees)
             if not TREES[model].get("forest"):
-                rounds = max(1, round(float(np.mean([best_round(e) for e in found[chosen[k]]]))))
+                rounds = max(1, min(rounds, round(float(np.mean([best_round(e) for e in found[chosen[k]]])))))
             best[k], trees[k] = whole.first(rounds), rounds
         scored = _by_fold(data, best, features, target, "outer_fold")
     metrics = evaluate(scored.select("outer_fold", target, "prediction"), target, ["outer_fold"])

@@ -44,7 +44,7 @@ class Fit:
     loss: str = "squared"  # or "logistic"
     rounds: int = 40
     patience: int | None = None  # rounds without gain on the held-out rows after which to stop
-    follow: int | None = None  # number of the fit with which this one ends
+    follow: tuple[int, ...] = ()  # numbers of the fits with the last of which this one ends
     depth: int = 5
     leaves: int | None = None  # of a level only the best splits are made, so that there are no more leaves
     eta: float = 0.1
@@ -431,7 +431,7 @@ def fit_trees(df: DataFrame, features: Sequence[str], target: str, key: Sequence
             state.trees[k].append(tree)
         at += 1
         live = {k for k in live if at < fits[k].rounds and not _over(state.errors[k], fits[k].patience)}
-        live = {k for k in live if fits[k].follow is None or fits[k].follow in live}
+        live = {k for k in live if not fits[k].follow or not live.isdisjoint(fits[k].follow)}
         if at % KEEP == 0 and live:
             state.keep()
     grown = []

@@ -356,17 +356,6 @@ def m11_nested(t):
     return found.select("outer_fold", "n", sound.alias("sound"))
 
 
-@query(
-    "m11_nested_forest",
-    with_sql(f"SELECT CAST(floor({HASH.format(seed=7, key='ts')} * 5) AS BIGINT) AS outer_fold, count(*) AS n, TRUE AS sound FROM training GROUP BY 1", SHIP, FRAME, TRAINING),
-)
-def m11_forest(t):
-    """The same folds over the parameter sets of a forest."""
-    rows, features = price_rows(t)
-    found = mo.nested_search(rows, features, "price", ["ts"], model="forest")
-    return found.select("outer_fold", "n", ((F.col("r2") > -0.25) & (F.col("trees") == 30)).alias("sound"))
-
-
 def nested_linear_sql() -> str:
     outer, inner = (f"CAST(floor({HASH.format(seed=s, key='ts')} * {n}) AS BIGINT)" for s, n in ((7, 5), (42, 3)))
     trials = ", ".join(f"({i}, {v})" for i, v in enumerate(LINEAR_GRID))
