@@ -4,10 +4,10 @@ A text is a weighted set of shingles of five words; a shingle weighs its count t
 inverse document frequency of its words.  Improved consistent weighted sampling draws, for
 every bin of shingles, the one that a random order by weight puts first, so that two texts
 draw the same one about as often as their weighted Jaccard similarity says.  Bands of draws
-bring likely pairs together; in every bucket all members are compared with pivots, by their
-exact weighted Jaccard similarity, and the confirmed links are joined to classes.  Rounds with
-more and more pivots follow until no bucket has two members that are neither compared nor in
-one class.
+bring likely pairs together; in every bucket all members are compared with two pivots, by their
+exact weighted Jaccard similarity, and the confirmed links are joined to classes.  Members of
+buckets that still hold several classes are compared once more, all pairs that can be similar
+at all: those that share one of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, whole_row
 from .components import components
 from .decontamination import small
 from .tokens import mix, portions, run_hashes, run_starts, word_hashes, word_lists
@@ -31,9 +31,8 @@ WORDS = 5
 SIMILARITY = 0.8
 GROUPS, BINS = 4, 32  # every shingle is in one bin of each group
 ROWS = 5  # draws in a band; 25 bands find a pair of similarity 0.8 with probability 0.99995
+CROWD, TURNS = 64, 2  # members of a shingle whose neighbours are compared first, and how often
 BUCKETS = 1 << 16  # counters of document frequencies, by hash of the word
-MORE = 16  # the pivots of a bucket multiply by this from round to round
-BLOCK = 1000  # members of a bucket that meet its pivots in one task
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, 64)]
 
 
@@ -165,27 +164,89 @@ def candidates(keys: DataFrame) -> DataFrame:
 
 
 def unresolved(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets with several classes: key, node, root (their class), top (the
-    bucket's largest class), size (of the bucket), rest (its members outside the largest class)."""
+    """(node, root): the members of buckets that hold several classes, with their class."""
     named = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "bucket-classes")
-    largest = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size")
-    )
-    largest = largest.where("most.n < size").select("key", F.col("most.root").alias("top"), "size", (F.col("size") - F.col("most.n")).alias("rest"))
-    return named.join(small(materialize(largest, "bucket-sizes")), "key")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return named.join(small(materialize(mixed, "mixed-buckets")), "key", "left_semi").select("node", "root").distinct()
 
 
-def further(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): every pivot of `members` (the rows with `pivot`) with the bucket's
-    members of other classes.  A large bucket is dealt in blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = members.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "root")
-    right = members.where("pivot").select(
-        "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("other"), F.col("root").alias("other_root")
-    )
-    met = left.join(right, ["key", "block"]).where("root != other_root")
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def rare_shingles(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """For `members(node, root)` the shingles at which a similar text of another class may meet
+    them: kind (0: by weights, 1: by counts), shingle, node, size (of the text), rest (what this
+    shingle and all later ones weigh), small (whether it is enough for the smaller of two texts).
+
+    Shingles are ordered, those that only one class has first, then by the number of members that
+    have them.  A pair's overlap lies after its first common shingle, so that shingle must leave
+    either text enough: `similarity` s of the larger text's size, and of the smaller one's 2 s /
+    (1 + s).  What a family of texts shares comes late in the order, so texts that differ by more
+    than the threshold allows do not meet in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in portions(batch.column("text")):
+                doc, shingle, weight, count = weighted_shingles(batch.column("text").slice(a, b - a), idf)
+                sums = [np.bincount(doc, v, b - a)[doc] for v in (weight, count)]
+                ids = [batch.column(c).slice(a, b - a).take(pa.array(doc)) for c in ("node", "root")]
+                arrays = [pa.array(shingle.view(np.int64)), *(pa.array(np.asarray(v, float)) for v in (weight, count, *sums))]
+                yield pa.RecordBatch.from_arrays([*ids, *arrays], names=["node", "root", "shingle", "w", "c", "all_w", "all_c"])
+
+    schema = "node binary, root binary, shingle long, w double, c double, all_w double, all_c double"
+    rows = materialize(members.join(texts, "node").select("node", "root", "text").mapInArrow(run, schema), "member-shingles")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = rows.join(shared.where("lo != hi").select("shingle", "n"), "shingle")
+    order = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))  # the shingles of one text
+    rows = rows.withColumns({f"rest_{x}": F.sum(x).over(order) for x in ("w", "c")})
+    least = lambda x, share: F.col(f"rest_{x}") >= F.col(f"all_{x}") * (share - 1e-9)
+    kinds = [
+        F.when(
+            least(x, similarity),
+            F.struct(
+                F.lit(k).alias("kind"),
+                F.col(f"all_{x}").alias("size"),
+                F.col(f"rest_{x}").alias("rest"),
+                least(x, 2 * similarity / (1 + similarity)).alias("small"),
+            ),
+        )
+        for k, x in enumerate(("w", "c"))
+    ]
+    heads = rows.select("node", "shingle", F.explode(F.array_compact(F.array(*kinds))).alias("k"))
+    return heads.select("k.kind", "shingle", "node", "k.size", "k.rest", "k.small")
+
+
+def _fits(similarity: float) -> Column:
+    """Whether a smaller text (columns with _u) and a larger one that meet at a shingle may be similar."""
+    enough = F.least("rest", "rest_u") >= (F.col("size") + F.col("size_u")) * (similarity / (1 + similarity) - 1e-9)
+    return enough & (F.col("size_u") <= F.col("size") * (1 + 1e-9)) & (F.col("size_u") >= F.col("size") * (similarity - 1e-9))
+
+
+def _pair(u: str, v: str) -> tuple[Column, Column]:
+    return F.least(u, v).alias("a"), F.greatest(u, v).alias("b")
+
+
+def neighbours(heads: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of neighbours at crowded shingles, in an order that depends on the turn."""
+    crowd = heads.groupBy("kind", "shingle").count().where(F.col("count") >= CROWD).select("kind", "shingle")
+    place = F.xxhash64(F.lit(turn), "node")
+    rows = heads.join(small(crowd), ["kind", "shingle"]).withColumn("part", F.pmod(place, F.lit(CROWD // 4)))
+    order = Window.partitionBy("kind", "shingle", "part").orderBy(place)
+    late = rows.withColumns({f"{c}_u": F.lag(c).over(order) for c in ("node", "size", "rest")}).where("node_u is not null")
+    swapped = late.where("size_u > size").select("node_u", "node", *(F.col(x).alias(y) for c in ("size", "rest") for x, y in ((c, f"{c}_u"), (f"{c}_u", c))))
+    both = late.where("size_u <= size").select(*swapped.columns).unionByName(swapped)
+    return both.where(_fits(similarity)).select(*_pair("node", "node_u")).distinct()
+
+
+def further(heads: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) that meet in `heads`, are in different classes and may be similar; no
+    similar pair of different classes is left out."""
+    heads = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = heads.groupBy("kind", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    heads = heads.join(mixed.select("kind", "shingle"), ["kind", "shingle"], "left_semi")
+    heads = materialize(heads, "rare-shingles")
+    left = heads.where("small").select("kind", "shingle", *(F.col(c).alias(f"{c}_u") for c in ("node", "root", "size", "rest")))
+    met = left.join(heads, (left.kind == heads.kind) & (left.shingle == heads.shingle) & (F.col("root") != F.col("root_u")) & _fits(similarity))
+    return met.select(*_pair("node", "node_u")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,22 +298,18 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     texts = materialize(texts, "pair-texts")
     links = materialize(similar(pairs, texts, idf, similarity), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 3")
-    # Who has been a pivot is compared with the whole bucket.  What is left of three is one.
-    left, pivots = keys.join(ends, "key").where("node != lo and node != hi").select("key", "node"), MORE
-    while True:
-        members = unresolved(left, roots)
-        # Of two members of different classes one is outside the largest class.
-        share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        members = materialize(members.withColumn("pivot", (F.col("root") != F.col("top")) & (share * F.col("rest") < pivots)), "members")
-        if members.isEmpty():
-            break
-        new = materialize(further(members).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    members = materialize(unresolved(keys, roots), "members")
+    heads = materialize(rare_shingles(members, texts, idf, similarity), "heads")
+    for turn in range(TURNS + 1):
+        # Neighbours first: what they link into one class need not be compared pair by pair.
+        met = neighbours(heads, similarity, turn) if turn < TURNS else further(heads, roots, similarity)
+        new = materialize(met.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not new.isEmpty():
-            links = links.unionByName(materialize(similar(new, texts, idf, similarity), "more-links"))
-            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            found = materialize(similar(new, texts, idf, similarity), "more-links")
             pairs = pairs.unionByName(new)
-        left, pivots = members.where("not pivot").select("key", "node"), pivots * MORE
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
@@ -270,7 +327,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     Documents are in one class if a chain of links joins them; equal texts are linked, and
     different ones if their Jaccard similarity, by weights or by plain counts, is `similarity`
     or more.  The smallest doc_id of a class names it (null if it has none).  Null texts count
-    as empty; texts without a word are linked to equal ones only.  Repeated rows are in one
+    as empty; texts without a word are linked to equal ones only.  Long texts are compared whole.  Repeated rows are in one
     class and all returned.  Extra columns are ignored.  An empty table gives an empty result.
     """
     rows, nodes = _classes(docs, similarity, id_col, text_col)
@@ -278,12 +335,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every class the row with the smallest doc_id, with all its columns; of rows that
-    repeat id and text, one."""
+    """Of every class the row with the smallest doc_id, with all its columns, whatever their names;
+    of rows that repeat id and text, one.  Nulls, empty and long texts and empty tables are treated
+    as in `near_duplicates`; of rows without an id the one with the least digest stays."""
     _, nodes = _classes(docs, similarity, id_col, text_col)
     kept = nodes.where("node = first").select("class_id", "first")
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"),
     )

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from gridspark.llm import near_dedup as N
@@ -81,8 +82,7 @@ def family(seed, size=100, twins=30):
     return [(i, " ".join(changes[k].get(p, w) for p, w in enumerate(base))) for i, k in enumerate(order)]
 
 
-def test_pairs_inside_a_family_that_fills_the_buckets(docs, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 50)
+def test_pairs_inside_a_family_that_fills_the_buckets(docs):
     rows = family(5)
     want = brute_classes(rows)
     assert len(want) == 100 and sum(len(g) == 2 for g in want) == 30
@@ -92,6 +92,54 @@ def test_pairs_inside_a_family_that_fills_the_buckets(docs, monkeypatch):
     assert sorted(sorted(g) for g in got.values()) == want
 
 
+@pytest.mark.parametrize("seed, similarity", [(1, 0.8), (2, 0.6), (3, 0.9)])
+def test_pairs_by_rare_shingles_lose_no_similar_pair(spark, seed, similarity):
+    """Texts of all sizes and overlaps: whatever is similar by weights or by counts is a pair."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):
+        a = rng.randrange(40)
+        part = base[a : a + rng.randint(5, 60)] * rng.choice([1, 1, 2])
+        texts.append(" ".join(rng.choice(base) if rng.random() < 0.03 else w for w in part))
+    texts = sorted(set(texts))
+    idf = np.random.default_rng(seed).uniform(0.5, 8, N.BUCKETS)
+    rows = spark.createDataFrame([(b"%03d" % k, b"%03d" % (k // 2), t) for k, t in enumerate(texts)], "node binary, root binary, text string")
+    heads = N.rare_shingles(rows.select("node", "root"), rows.select("node", "text"), idf, similarity)
+    pairs = N.further(heads, rows.select("node", "root"), similarity)
+    found = {(int(bytes(r.a)), int(bytes(r.b))) for r in pairs.collect()}
+    every = spark.createDataFrame([(b"%03d" % i, b"%03d" % j) for j in range(len(texts)) for i in range(j)], "a binary, b binary")
+    want = {(int(bytes(r.a)), int(bytes(r.b))) for r in N.similar(every, rows.select("node", "text"), idf, similarity).collect()}
+    want = {(i, j) for i, j in want if i // 2 != j // 2}
+    assert want and want <= found and all(i // 2 != j // 2 for i, j in found)
+
+
+def test_a_large_family_gives_few_pairs(spark):
+    """2,000 texts of one template, any two 0.6 similar: two million pairs, next to none compared."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        for p in rng.sample(range(5, 395, 6), 10):
+            words[p] = f"x{k}_{p}"
+        rows.append((b"%05d" % k, " ".join(words)))
+    rows.append((b"99999", rows[0][1].replace("w399", "y")))
+    rows = spark.createDataFrame(rows, "node binary, text string").repartition(8)
+    idf = np.full(N.BUCKETS, 1.0)
+    own = rows.selectExpr("node", "node AS root")
+    heads = N.materialize(N.rare_shingles(own, rows, idf, 0.8), "heads")
+    pairs = N.further(heads, own, 0.8).collect()
+    assert (b"00000", b"99999") in {(bytes(r.a), bytes(r.b)) for r in pairs}
+    assert len(pairs) < 2000 and N.neighbours(heads, 0.8, 0).count() < 4000
+
+
+def test_names_that_need_quotes(docs):
+    df = docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "z")]).selectExpr("*", "1 AS `a.b`", "2 AS `c``d`")
+    kept = N.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_drop_keeps_one_of_each_class(docs):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (None, "x y z u v w"), (None, "p q r s t u"), (9, None)]
     df = docs(rows)
@@ -104,7 +152,6 @@ def test_drop_keeps_one_of_each_class(docs):
 
 
 def test_weighted_similarity_decides(spark):
-    import numpy as np
     import pyarrow as pa
 
     idf = np.random.default_rng(0).uniform(0.5, 8, N.BUCKETS)
@@ -124,8 +171,6 @@ def test_weighted_similarity_decides(spark):
 
 
 def test_draws_agree_as_often_as_weights_do():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     n = 4000
     shingle = rng.integers(0, 2**63, n).astype(np.uint64)
