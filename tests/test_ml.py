@@ -37,7 +37,7 @@ def price_rows(hours):
 @pytest.fixture(scope="module")
 def trained(price_rows):
     rows, features = price_rows
-    return mo.train_price_model(rows, features, "price", ["ts"])
+    return mo.train_price_model(rows, features, "price", ["ts"], max_iter=30, eta=0.2)
 
 
 def test_temperatures_are_features(price_rows):
