@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .buckets import as_list, hot_salted_join
 from .quantile import global_average_rank
 
@@ -134,23 +137,34 @@ def sampled_metrics(
     """Error metrics of seeded random samples of `size` rows, one row per replicate.
 
     Each replicate orders rows by its own hash of the key and takes exactly the first `size`
-    (all, if there are fewer): first within salted groups, of which Spark keeps `size` rows
-    per task before the shuffle, then among the salts' winners.
+    (all, if there are fewer).  The rows are counted first, so that only those whose hash lies
+    below a bound, which some more than `size` rows should do, are sorted: first within salted
+    groups, of which Spark keeps `size` rows per task before the shuffle, then among the salts'
+    winners.  A replicate that found too few (keys repeat) is taken again with a higher bound.
     """
     from pyspark.sql import Window
 
     from .quantile import stable_hash
 
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    parts = F.array(
-        *[F.struct(F.lit(r).alias("replicate"), stable_hash(*key, seed=r).alias("h")) for r in range(replicates)]
-    )
+    n = rows.count()
     salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*key), F.lit(salts)).alias("_salt")
-    sample = rows.select(actual, predicted, salt, F.explode(parts).alias("_r")).select(actual, predicted, "_salt", "_r.replicate", "_r.h")
-    for group in (["replicate", "_salt"], ["replicate"]):
-        w = Window.partitionBy(*group).orderBy("h", actual, predicted)
-        sample = sample.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
+    bound, todo, found = (size + 8 * math.sqrt(size) + 50) / max(n, 1), list(range(replicates)), []
+    while todo:
+        parts = F.array(*[F.struct(F.lit(r).alias("replicate"), stable_hash(*key, seed=r).alias("h")) for r in todo])
+        sample = rows.select(actual, predicted, salt, F.explode(parts).alias("_r")).select(actual, predicted, "_salt", "_r.replicate", "_r.h")
+        sample = sample.where(F.col("h") < bound)
+        for group in (["replicate", "_salt"], ["replicate"]):
+            w = Window.partitionBy(*group).orderBy("h", actual, predicted)
+            sample = sample.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
+        sample = materialize(sample.select("replicate", actual, predicted), "sample")
+        held = dict(sample.groupBy("replicate").count().collect())  # one row per replicate
+        # Every hash is below one.
+        todo = [r for r in todo if held.get(r, 0) < min(size, n)] if bound < 1 else []
+        found.append(sample.where(~F.col("replicate").isin(todo)))
+        bound *= 8
+    sample = functools.reduce(DataFrame.unionByName, found)
     return forecast_evaluation(sample.withColumn("ts", F.lit(None).cast("timestamp")), actual, predicted, "replicate").drop(
         "first_ts", "last_ts"
     )

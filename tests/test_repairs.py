@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import metrics, patch
 from gridspark.operators.feeds import spot_price
+from gridspark.operators.quantile import stable_hash
 from gridspark.session import scratch_path
 from gridspark.sinks.store import upsert, upsert_frame
 from gridspark.sources.feeds import decode_hydrology
@@ -78,6 +79,32 @@ def test_sample_is_exact(spark):
     assert {r.n for r in metrics.sampled_metrics(rows.limit(60), "a", "p", ["id"], replicates=3, size=500).collect()} == {60}
 
 
+def test_samples_sort_few_rows(spark, monkeypatch, capsys):
+    """What the samples write is bounded by their size; a key of many rows is taken with a higher bound."""
+    written = []
+    keep = metrics.materialize
+    monkeypatch.setattr(metrics, "materialize", lambda df, label: written.append(df) or keep(df, label))
+    rows = spark.range(200_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("p"))
+    got = metrics.sampled_metrics(rows, "a", "p", ["id"], replicates=3, size=100).collect()
+    assert {r.replicate: r.n for r in got} == {0: 100, 1: 100, 2: 100}
+    assert len(written) == 1
+    # Rows are filtered by their hash before anything sorts them.
+    written[0].explain()
+    assert "< 0.00115" in capsys.readouterr().out
+    # The same rows as a sort of all of them.
+    want = []
+    for r in range(3):
+        first = rows.orderBy(stable_hash("id", seed=r), "a", "p").limit(100)
+        want.append(first.agg(F.avg(F.abs(F.col("a") - F.col("p")))).first()[0])
+    assert [r.mae for r in sorted(got, key=lambda r: r.replicate)] == pytest.approx(want, abs=1e-12)
+    # Three keys: most bounds hold no hash at first.
+    same = rows.limit(3000).withColumn("id", F.col("id") % 3)
+    written.clear()
+    assert {r.n for r in metrics.sampled_metrics(same, "a", "p", ["id"], replicates=4, size=500).collect()} == {500}
+    assert len(written) > 1
+    assert metrics.sampled_metrics(rows.limit(0), "a", "p", ["id"]).collect() == []
+
+
 def test_nan_is_missing(spark):
     df = spark.createDataFrame([(float("nan"),), (2.0,)], "v double")
     assert nan_to_null(df).agg(F.avg("v")).first()[0] == 2.0
