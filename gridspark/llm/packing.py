@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
+from .tokens import portions
 
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE = 300_000
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -37,11 +36,9 @@ def byte_names() -> dict[str, int]:
 
 def encoder(path: str):
     """texts -> bytes of each text's unsigned 32-bit ids, as the byte-level BPE tokenizer in
-    `path` gives them without special tokens added.
-
-    Texts are cut at single spaces and line ends, which no merge crosses, so a word has the
-    same ids everywhere.  Words that are not cached yet are encoded together: tiktoken runs
-    the vocabulary's merges over them, one to a line, and the line ends' id parts them again.
+    `path` gives them without special tokens added.  tiktoken runs the vocabulary's merges over whole texts,
+    parted at special tokens only: in a corpus with ever new words that is faster than to
+    remember the ids of words, and takes no memory.
     """
     import tiktoken
 
@@ -51,66 +48,19 @@ def encoder(path: str):
     special = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in spec["added_tokens"]}
     ranks = {bytes(name[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
     bpe = tiktoken.Encoding("bpe", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
-    ids = lambda text: bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-    line_end = ids("\n")
-    newline = line_end.tobytes()
-    fixed = {"": ids(" ").tobytes(), "\n": b""}
-    cache: dict[str, bytes] = dict(fixed)
-    uneven = re.compile(f"[{WHITE}][{WHITE}]").search
+    ids = lambda text: bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
     apart = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def learn(words: list[str], lead: str) -> None:
-        if words:
-            got = ids("\n".join([lead + w.lstrip("\n") for w in words]))
-            ends = [*np.flatnonzero(got == line_end[0]).tolist(), len(got)]
-            raw, a = got.tobytes(), 0
-            for w, b in zip(words, ends, strict=True):
-                cache[w] = raw[4 * a : 4 * b]
-                a = b + 1
-
     def whole(text: str) -> bytes:
+        if not apart or not apart.search(text):
+            return ids(text)
         out, at = [], 0
-        for m in apart.finditer(text) if apart else ():
-            out += [ids(text[at : m.start()]).tobytes(), special[m[0]]]
+        for m in apart.finditer(text):
+            out += [ids(text[at : m.start()]), special[m[0]]]
             at = m.end()
-        return b"".join([*out, ids(text[at:]).tobytes()])
-
-    def encode(texts: list[str]) -> list[bytes]:
-        cut, need = [], set()
-        for text in texts:
-            if uneven(text) or apart and apart.search(text):
-                cut.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for words in lines:
-                words[0] = "\n" + words[0]  # no space before it
-                need.update(words)
-            cut.append(lines)
-        if len(cache) > CACHE:
-            cache.clear()
-            cache.update(fixed)
-        miss = [w for w in need if w not in cache]
-        learn([w for w in miss if w[0] == "\n"], "")
-        learn([w for w in miss if w[0] != "\n"], " ")
-        get = cache.__getitem__
-        return [
-            whole(text) if lines is None else newline.join([b"".join(map(get, words)) for words in lines])
-            for text, lines in zip(texts, cut)
-        ]
-
-    return encode
-
-
-def _portions(rows: list[tuple], chars: int = 1 << 20) -> Iterator[list[tuple]]:
-    part, size = [], 0
-    for row in rows:
-        part.append(row)
-        size += len(row[1])
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        return b"".join([*out, ids(text[at:])])
+
+    return lambda texts: [whole(text) for text in texts]
 
 
 def token_pieces(
@@ -124,9 +74,9 @@ def token_pieces(
         encode = encoder(path)
         for batch in batches:
             out: list[tuple] = []
-            rows = [(d, t or "") for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            for part in _portions(rows):
-                for (doc, _), ids in zip(part, encode([t for _, t in part])):
+            for i, j in portions(batch.column(1), 1 << 20):
+                part = batch.slice(i, j - i)
+                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += last
                     n = len(ids) // 4
                     edges = [0, *range((n - 1) % size + 1, n + 1, size)]

@@ -82,3 +82,18 @@ def test_hot_length_ranks(spark, docs):
     got = packing.pack(docs([(k, "same text") for k in range(3000)]), PATH)
     assert got.count() == 3000 and got.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
     assert packing.pack(docs([]), PATH).count() == 0
+
+
+def test_encoder_remembers_no_words():
+    import tracemalloc
+
+    encode = packing.encoder(PATH)
+    encode(["a b"])
+    tracemalloc.start()
+    try:
+        for k in range(0, 60_000, 3000):
+            encode([" ".join(f"w{n}" for n in range(k, k + 3000))])
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 1e6
