@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, whole_row
+from .common import materialize
+from .tokens import portions
 
 #: The model's letters; every other character ends a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçèéêëìíîïñòóôöõùúûüýÿßœæ"
@@ -42,7 +43,14 @@ AROUND = "\"'.,;:?&#%*!)>]}"  # not part of a word at its ends
 ENDS = "\"'.,;:?&)>]}"  # of these, those that stand for no letter
 PREFIXES = range(3, 8)
 HEAD = PREFIXES[0]
-WORDS_KEPT = 400_000  # words whose features a task remembers
+WORDS_KEPT, FEWER_KEPT = 200_000, 50_000  # words whose known features, or all features, a task remembers
+
+
+def _texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a column; a portion at a time is held as Python strings."""
+    for a, b in portions(column):
+        for text in column.slice(a, b - a).to_pylist():
+            yield text or ""
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -54,8 +62,8 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             codes[ord(c)] = k
         total = np.zeros(SIZE**3, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = codes[np.frombuffer(f"  {(text or '').lower()} ".encode("utf-32-le", "replace"), dtype="<u4")]
+            for text in _texts(batch.column(0)):
+                x = codes[np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "replace"), dtype="<u4")]
                 total += np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
@@ -161,7 +169,7 @@ def reader(model: np.ndarray, known: dict[str, float] | None = None) -> Callable
 
     class Cache(dict):
         def __missing__(self, token: str) -> tuple[str, ...]:
-            if len(self) > WORDS_KEPT:
+            if len(self) > (FEWER_KEPT if heads is None else WORDS_KEPT):
                 self.clear()
             if token.isalpha():
                 words = [token]
@@ -224,22 +232,25 @@ def fit(
         return {"": 0.0 if not n else 5.0 if n1 else -5.0}
     p = n1 / n
 
-    def names(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader(model)
-        for x in parts:
-            for t in x["text"]:
-                yield pd.DataFrame({"f": sorted(read(t))})
+        for batch in batches:
+            for t in _texts(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(read(t)), pa.string())], names=["f"])
 
-    common = texts.where("toxic = 1").select("text").mapInPandas(names, "f string").groupBy("f").count()
+    common = texts.where("toxic = 1").select("text").mapInArrow(names, "f string").groupBy("f").count()
     common = common.where(F.col("count") >= least).orderBy(F.desc("count"), "f").limit(candidates)
     index = {f: i for i, f in enumerate(sorted(r["f"] for r in common.select("f").collect()))}
 
-    def hits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader(model, index)
-        for x in parts:
-            yield pd.DataFrame({"toxic": x["toxic"], "f": [sorted(index[f] for f in read(t)) for t in x["text"]]})
+        for batch in batches:
+            for a, b in portions(batch.column("text")):
+                part = batch.slice(a, b - a)
+                found = pa.array([sorted(index[f] for f in read(t)) for t in _texts(part.column("text"))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), found], names=["toxic", "f"])
 
-    data = materialize(texts.select("toxic", "text").mapInPandas(hits, "toxic int, f array<int>"), "toxic-hits")
+    data = materialize(texts.select("toxic", "text").mapInArrow(hits, "toxic int, f array<int>"), "toxic-hits")
     sums = data.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(
         F.count(F.lit(1)).alias("c"), F.sum("toxic").alias("c1")
     )
@@ -299,10 +310,12 @@ def scored(docs: DataFrame, weights: dict[str, float], model: np.ndarray, name:
         known = {f: w for f, w in weights.items() if f}
         read = reader(model, known)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            sums = np.array([weights[""] + sum(known[f] for f in sorted(read(t or ""))) for t in texts], dtype=float)
-            prob = pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, prob], names=[*batch.schema.names, name])
+            # Small batches go back, so that neither side holds a large one twice.
+            for a, b in portions(batch.column(text_col)):
+                part = batch.slice(a, b - a)
+                sums = np.array([weights[""] + sum(known[f] for f in sorted(read(t))) for t in _texts(part.column(text_col))], dtype=float)
+                prob = pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))
+                yield pa.RecordBatch.from_arrays([*part.columns, prob], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
@@ -332,5 +345,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns, whatever their names.  Nulls,
     empty and long texts, repeated rows and empty tables are treated as in `toxicity`."""
     weights, model = train(docs, labels, **options)
-    rows = docs.select(whole_row(docs).alias("row"), "text")
-    return scored(rows, weights, model).where("score < 0.5").select("row.*")
+    # Columns by number, since names may clash; each goes to the tasks once.
+    at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
+    rows = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    return scored(rows, weights, model, text_col=f"_{at}").where("score < 0.5").drop("score").toDF(*docs.columns)

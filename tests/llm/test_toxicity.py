@@ -127,3 +127,28 @@ def test_given_documents(spark):
     got = X.toxicity(table(spark, folder, "documents"), labels).where("held_out").join(labels, "doc_id")
     n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0))
+
+
+def test_portions_of_a_batch_are_scored_one_by_one(spark, docs, monkeypatch):
+    """Small batches go back; every column goes to the tasks once, and comes back under its name."""
+    rows = docs([(k, f"text {k} " + "x" * 50) for k in range(40)] + [(None, None)]).coalesce(1).withColumn("a.`b", F.lit(1))
+    model = np.zeros((64, 64, 64), np.float32)
+    sent = []
+    keep = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, *a, **k: sent.append((df, run)) or keep(df, run, *a, **k))
+    monkeypatch.setattr(X, "train", lambda *a, **k: ({"": -5.0, "text": 1.0}, model))
+    kept = X.drop_toxic(rows, None)
+    assert kept.columns == rows.columns and kept.count() == 41
+    df, run = sent[-1]
+    assert len(df.columns) == len(rows.columns)  # the text is in no second column
+    monkeypatch.setattr(X, "portions", lambda column: ((i, min(i + 10, len(column))) for i in range(0, len(column), 10)))
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    assert [b.num_rows for b in run(iter([batch]))] == [10, 10, 10, 10, 1]
+
+
+def test_few_words_are_remembered():
+    read = X.reader(np.zeros((64, 64, 64), np.float32))
+    cache = next(c.cell_contents for c in read.__closure__ if isinstance(c.cell_contents, dict))
+    for k in range(0, 120_000, 1000):
+        read(" ".join(f"w{n}" for n in range(k, k + 1000)))
+    assert 0 < len(cache) <= 100_000
