@@ -47,15 +47,20 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, dtype=np.int64), 0
+        last, places = np.zeros(BUCKETS, dtype=np.int64), np.arange(0)
         for batch in batches:
             texts = batch.column(0)
             n += len(texts)
             for a, b in portions(texts):
                 words, first = _prepared(texts.slice(a, b - a))
                 bucket = (words % np.uint64(BUCKETS)).astype(np.int64)
-                doc = np.repeat(np.arange(b - a), np.diff(first))
-                pairs = np.unique(doc * BUCKETS + bucket)
-                total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+                if len(places) < len(bucket):
+                    places = np.arange(len(bucket))
+                for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+                    # Each bucket of a text counts at its last place.
+                    own, at = bucket[i:j], places[i:j]
+                    last[own] = at
+                    total[own[last[own] == at]] += 1
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(seen, -1).astype(np.int32)), pa.array(np.append(total[seen], n))], names=["bucket", "n"]
@@ -271,13 +276,15 @@ def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
 
         for batch in batches:
             out = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                (x, v), (y, w) = vector(a, ta), vector(b, tb)
-                if len(x) and len(y):
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    common = np.minimum(v, w[:, at])[:, y[at] == x].sum(1)
-                    if (common >= similarity * (v.sum(1) + w.sum(1) - common) - 1e-9).any():
-                        out.append((a, b))
+            for i, j in portions(batch.column("text_a")):
+                part = batch.slice(i, j - i)
+                for a, b, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
+                    (x, v), (y, w) = vector(a, ta), vector(b, tb)
+                    if len(x) and len(y):
+                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                        common = np.minimum(v, w[:, at])[:, y[at] == x].sum(1)
+                        if (common >= similarity * (v.sum(1) + w.sum(1) - common) - 1e-9).any():
+                            out.append((a, b))
             cols = list(zip(*out)) if out else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["a", "b"])
 

@@ -52,7 +52,7 @@ def word_lists(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 def word_hashes(coded: pa.DictionaryArray) -> np.ndarray:
     """64-bit hashes of the words."""
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
     table = np.fromiter(map(xxhash.xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
     return table[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from gridspark.llm import near_dedup as N
 from gridspark.llm.components import components
@@ -197,3 +198,14 @@ def test_components(spark):
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_document_frequencies_count_each_text_once(spark, docs):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "B", "b", "c", "dd", "é"], k=rng.randint(0, 12))) for _ in range(300)] + [None, "", "  "]
+    got = dict(N.document_frequencies(docs(list(enumerate(texts)))).collect())
+    want = {-1: len(texts)}
+    for t in texts:
+        for k in {xxhash.xxh3_64_intdigest(w) % N.BUCKETS for w in (t or "").lower().split()}:
+            want[k] = want.get(k, 0) + 1
+    assert got == want
